@@ -29,12 +29,6 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
     """Headered CSV; give a schema for large inputs, as inferring one reads the data twice."""
     reader = spark.read.option("header", True)
     reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
-    return nan_to_null(_unique_names(reader, path))
-
-
-def _unique_names(reader, path) -> DataFrame:
-    # Names that differ in case only are one name to Spark unless told otherwise; the reader
-    # renames such duplicates by position, which this undoes nowhere: harmonize by exact name.
     return reader.csv(path)
 
 
