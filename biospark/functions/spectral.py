@@ -6,12 +6,17 @@ computation. The arrays hold one window each, hence at most the window length.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+# The functions travel with the plan, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Band edges in Hz (both ends belong to the band), upsampling, segment limit.
 LF_BAND = (0.04, 0.15)
 HF_BAND = (0.15, 0.4)

@@ -246,12 +246,15 @@ def _densify(
     unlimited = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     here = {}
     for c in numeric:
-        here[f"__here_{c}"] = _known(c) if halo is not None else F.coalesce(_known(c), F.col(f"__before_{c}"))
-        seen[f"__prev_{c}"] = F.last(f"__here_{c}", True).over(so_far)
-        following = F.expr(f"lead(`__here_{c}`, 1) ignore nulls {over}")
-        if halo is None:
-            following = F.coalesce(following, F.first(f"__after_{c}", True).over(unlimited))
-        seen[f"__next_{c}"] = following
+        here[f"__us_{c}"] = F.when(F.col(c).isNotNull(), F.col("__us"))
+        here[f"__v_{c}"] = F.col(c)
+        for part, name in (("us", f"__us_{c}"), ("v", f"__v_{c}")):
+            following = F.expr(f"lead(`{name}`, 1) ignore nulls {over}")
+            if halo is None:
+                here[name] = F.coalesce(here[name], F.col(f"__before_{c}.{part}"))
+                following = F.coalesce(following, F.first(F.col(f"__after_{c}.{part}"), True).over(unlimited))
+            seen[f"__prev{name}"] = F.last(name, True).over(so_far)
+            seen[f"__next{name}"] = following
     for c in text:
         seen[f"__text_{c}"] = F.last(F.coalesce(F.col(c), F.col(f"__before_{c}.v")), True).over(so_far)
 
@@ -284,10 +287,9 @@ def _densify(
 
 def _fill(c: str, options: GridOptions) -> Column:
     """Value of a missing grid point from its known neighbours, if its run is short enough."""
-    before, after = F.col(f"__prev_{c}"), F.col(f"__next_{c}")
-    x0 = _floor_div(before["us"] - F.col("__anchor"), options.step_us)
-    x1 = _floor_div(after["us"] - F.col("__anchor"), options.step_us)
-    y0, y1 = before["v"], after["v"]
+    x0 = _floor_div(F.col(f"__prev__us_{c}") - F.col("__anchor"), options.step_us)
+    x1 = _floor_div(F.col(f"__next__us_{c}") - F.col("__anchor"), options.step_us)
+    y0, y1 = F.col(f"__prev__v_{c}"), F.col(f"__next__v_{c}")
     if options.method == "forward":
         value = y0
     elif options.method == "backward":

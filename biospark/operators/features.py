@@ -29,37 +29,54 @@ def _has_axes(columns: list[str]) -> bool:
 
 
 def with_neighbours(rows: DataFrame, partition: list[str], pos: str, rate: float) -> DataFrame:
-    """Add RR, previous known samples and candidate peaks, along ``pos`` within ``partition``."""
+    """Add RR and, per row, what it shares with its previous known sample along ``pos`` within ``partition``.
+
+    ``__<signal>_from`` is the position of that sample: a window that starts later does not contain it.
+    """
     columns = rows.columns
     order = Window.partitionBy(*partition).orderBy(pos)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    if _has_axes(columns):
-        rows = rows.withColumn("__acc", magnitude(*[F.col(a) for a in AXES]))
-    if "hr" in columns:
-        rows = rows.withColumn("__rr", F.try_divide(F.lit(60.0), F.col("hr")))
+    over = f"over (partition by {', '.join(f'`{p}`' for p in partition)} order by `{pos}`)"
 
-    def known(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("pos"), F.col(c).alias("v")))
+    def known_pos(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.col(pos))
 
+    derived: dict[str, Column] = {}
     seen: dict[str, Column] = {}
+    shared: dict[str, Column] = {}
+    if _has_axes(columns):
+        derived["__acc"] = magnitude(*[F.col(a) for a in AXES])
     if "hr" in columns:
-        seen["__rr_prev"] = F.last(known("__rr"), True).over(earlier)
+        derived["__rr"] = F.try_divide(F.lit(60.0), F.col("hr"))
+        seen["__rr_before"] = F.last("__rr", True).over(earlier)
+        seen["__rr_from"] = F.last(known_pos("__rr"), True).over(earlier)
+        jump = F.col("__rr") - F.col("__rr_before")
+        shared["__rr_jump2"] = jump * jump
+        shared["__rr_far"] = (F.abs(jump) > PNN_SECONDS).cast("int")
     if "eda_scl" in columns:
-        seen["__eda_prev"] = F.last(known("eda_scl"), True).over(earlier)
+        seen["__eda_before"] = F.last("eda_scl", True).over(earlier)
+        seen["__eda_from"] = F.last(known_pos("eda_scl"), True).over(earlier)
         seen["__eda_rank"] = F.count("eda_scl").over(so_far)
+        shared["__eda_area"] = (F.col("eda_scl") + F.col("__eda_before")) / 2
+        # A plateau is one candidate: only rows where the level changes are compared.
+        step = F.col("eda_scl").isNotNull() & ~F.col("eda_scl").eqNullSafe(F.col("__eda_before"))
+        shared["__eda_step"] = F.when(step, F.col("eda_scl"))
+        shared["__eda_step_pos"] = F.when(step, F.col(pos))
     if "temp" in columns:
         seen["__temp_rank"] = F.count("temp").over(so_far)
-    rows = rows.withColumns(seen) if seen else rows
+    for added in (derived, seen, shared):
+        rows = rows.withColumns(added) if added else rows
     if "eda_scl" in columns and int(rate) == 1:
-        # A plateau is one candidate: only rows where the level changes are compared.
-        step = F.col("eda_scl").isNotNull() & ~F.col("eda_scl").eqNullSafe(F.col("__eda_prev.v"))
-        rows = rows.withColumn("__eda_step", F.when(step, known("eda_scl")))
-        over = f"over (partition by {', '.join(f'`{p}`' for p in partition)} order by `{pos}`)"
-        rows = rows.withColumn("__eda_next", F.expr(f"lead(__eda_step, 1) ignore nulls {over}")).drop("__eda_step")
-        peak = step & (F.col("eda_scl") > F.col("__eda_prev.v")) & (F.col("eda_scl") > F.col("__eda_next.v"))
-        rows = rows.withColumn("__eda_peak", F.coalesce(peak, F.lit(False)))
-    return rows
+        rows = rows.withColumns(
+            {
+                "__eda_after": F.expr(f"lead(__eda_step, 1) ignore nulls {over}"),
+                "__eda_until": F.expr(f"lead(__eda_step_pos, 1) ignore nulls {over}"),
+            }
+        )
+        peak = (F.col("__eda_step") > F.col("__eda_before")) & (F.col("__eda_step") > F.col("__eda_after"))
+        rows = rows.withColumn("__eda_top", F.when(peak, F.col("__eda_step")))
+    return rows.drop("__rr_before", "__eda_before", "__eda_step", "__eda_step_pos", "__eda_after")
 
 
 def aggregate_windows(
@@ -76,31 +93,29 @@ def aggregate_windows(
     aggs += [F.count(c).alias(f"__valid_{c}") for c in checked]
 
     def inside(neighbour: str) -> Column:
-        return F.col(f"{neighbour}.pos") >= F.col(start)
+        return F.col(f"{neighbour}_from") >= F.col(start)
 
     def in_order(c: str) -> Column:
         pairs = F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(pos), F.col(c).alias("v"))))
         return F.sort_array(pairs).getField("v")
 
     if "hr" in columns:
-        jump = F.when(inside("__rr_prev"), F.col("__rr") - F.col("__rr_prev.v"))
         aggs += _moments("hr", "hr") + [
-            F.avg(jump * jump).alias("__rr_jump2"),
-            F.avg((F.abs(jump) > PNN_SECONDS).cast("int")).alias("__rr_far"),
+            F.avg(F.when(inside("__rr"), F.col("__rr_jump2"))).alias("__rr_jump2"),
+            F.avg(F.when(inside("__rr"), F.col("__rr_far"))).alias("__rr_far"),
             F.stddev_pop("__rr").alias("__rr_sd"),
             in_order("__rr").alias("__rr_list"),
         ]
     if "eda_scl" in columns:
-        area = F.when(inside("__eda_prev"), (F.col("eda_scl") + F.col("__eda_prev.v")) / 2)
         aggs += _moments("eda_scl", "eda") + [
-            F.regr_slope("eda_scl", "__eda_rank").alias("__eda_slope"), F.sum(area).alias("__eda_area"),
+            F.regr_slope("eda_scl", "__eda_rank").alias("__eda_slope"),
+            F.sum(F.when(inside("__eda"), F.col("__eda_area"))).alias("__eda_area"),
         ]
         if int(rate) == 1:
-            ends_inside = inside("__eda_prev")
+            ends_inside = inside("__eda")
             if size is not None:
-                ends_inside &= F.col("__eda_next.pos") < F.col(start) + size
-            top = F.when(F.col("__eda_peak") & ends_inside, F.col("eda_scl"))
-            aggs.append(F.collect_list(top).alias("__eda_tops"))
+                ends_inside &= F.col("__eda_until") < F.col(start) + size
+            aggs.append(F.collect_list(F.when(ends_inside, F.col("__eda_top"))).alias("__eda_tops"))
         elif int(rate) > 1:
             aggs.append(in_order("eda_scl").alias("__eda_list"))
     if "temp" in columns:

@@ -26,18 +26,18 @@ def time_bucket(ts: Column, width_us: int) -> Column:
 def bucket_offsets(totals: DataFrame, keys: list[str], bucket: str, sums: list[str]) -> DataFrame:
     """Sum of all earlier buckets of the same key, for one row per (key, bucket).
 
-    Two steps, so that a key with very many buckets is not one task: groups of FAN_IN
-    neighbouring buckets are summed first, then the buckets inside each group.
+    Two steps, so that a key with very many buckets is not sorted row by row in one task: FAN_IN
+    neighbouring buckets are packed into one row, the packed rows get their offset, then the buckets
+    inside each of them do.
     """
-    grouped = totals.withColumn("__group", F.floor(F.col(bucket) / FAN_IN))
-    coarse = grouped.groupBy(*keys, "__group").agg(*[F.sum(s).alias(f"__g_{s}") for s in sums])
-    earlier_groups = _partition(keys).orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = coarse.select(
-        *keys, "__group",
-        *[F.coalesce(F.sum(f"__g_{s}").over(earlier_groups), F.lit(0)).alias(f"__g_{s}") for s in sums],
+    packed = totals.groupBy(*keys, F.floor(F.col(bucket) / FAN_IN).alias("__group")).agg(
+        F.collect_list(F.struct(bucket, *sums)).alias("__buckets"), *[F.sum(s).alias(f"__g_{s}") for s in sums]
     )
+    earlier_groups = _partition(keys).orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
+    offset = {f"__g_{s}": F.coalesce(F.sum(f"__g_{s}").over(earlier_groups), F.lit(0)) for s in sums}
+    unpacked = packed.withColumns(offset).select(*keys, "__group", *offset, F.inline("__buckets"))
     earlier = Window.partitionBy(*keys, "__group").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return grouped.join(coarse, [*keys, "__group"]).select(
+    return unpacked.select(
         *keys, bucket,
         *[(F.col(f"__g_{s}") + F.coalesce(F.sum(s).over(earlier), F.lit(0))).alias(f"__before_{s}") for s in sums],
     )

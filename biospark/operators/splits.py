@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from biospark.operators.ordered import hash_bucket, row_positions
 from biospark.operators.quality import subject_profile
+from biospark.session import stage
 
 # Least windows per subject, least subjects for the main path.
 MIN_WINDOWS = 10
@@ -30,8 +31,9 @@ def split_subjects(
     """Subject -> split (train, val, test, excluded), with its profile.
 
     Subjects need MIN_WINDOWS windows; with fewer than MIN_SUBJECTS such subjects, all subjects take part.
+    The profile, one row per subject, is stored first, so the windows are computed once.
     """
-    profile = subject_profile(windows).filter(F.col("subject").isNotNull())
+    profile = stage(subject_profile(windows.filter(F.col("subject").isNotNull())))
     enough = F.col("n_windows") >= MIN_WINDOWS
     totals = profile.agg(F.count("*").alias("all"), F.count(F.when(enough, 1)).alias("valid"))
     profile = profile.withColumn("__totals", totals.select(F.struct("all", "valid")).scalar())

@@ -17,6 +17,12 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call sites recorded for every column expression make wide plans slow to build.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # Above this size the JVM interprets generated code; without it Spark splits the code instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # Few shuffled bytes become many grid rows, so small inputs still deserve all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     if master:
         builder = builder.master(master)
