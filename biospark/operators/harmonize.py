@@ -75,9 +75,13 @@ def merge_datasets(
     resample_1hz: bool = True,
     harmonize_labels: bool = True,
     grid: GridOptions = GridOptions(),
-    sort: bool = True,
+    sort: bool = False,
 ) -> DataFrame:
-    """Harmonized sources as one table: class labels, relative time, common grid, stable order."""
+    """Harmonized sources as one table: class labels, relative time, common grid.
+
+    ``sort`` orders the whole table by dataset, subject and timestamp. That costs a second evaluation
+    for sampling the ranges, so the jobs only sort within the partitions they write.
+    """
     if not sources:
         raise ValueError("At least one dataset must be provided")
     merged = sources[0]
@@ -88,7 +92,7 @@ def merge_datasets(
     merged = synchronize_timestamps(merged)
     if resample_1hz:
         merged = align_to_grid(merged, grid)
-    # Range partitioning on all three columns: one long recording spans many partitions.
+    # Ranges cover all three columns: one long recording spans many partitions.
     return merged.orderBy("dataset", "subject", "timestamp") if sort else merged
 
 

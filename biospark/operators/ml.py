@@ -15,6 +15,7 @@ from biospark.contracts import feature_columns
 from biospark.functions.scalars import nan_to_null
 from biospark.operators import metrics
 from biospark.operators.splits import grouped_folds, stratified_folds
+from biospark.session import stage
 
 # MLlib's limit; trees of unlimited depth become trees of this depth.
 DEEPEST_TREE = 30
@@ -258,10 +259,11 @@ def cross_validate_model(
 ) -> DataFrame:
     """Scores per metric and fold (metric, fold, score); one fit per fold serves all metrics.
 
-    ``train`` is read once per fold and pass, so give a stored or staged table.
+    The folds are stored once, as every fit reads them several times.
     """
     seed = model_options.get("random_state", 42)
     folds = grouped_folds(train, cv_folds, seed) if by_subject else stratified_folds(train, k=cv_folds, random_state=seed)
+    folds = stage(folds)
     scores = None
     for fold in range(cv_folds):
         model = BaselineModel(**model_options).fit(folds.filter(F.col("fold") != fold).drop("fold"), feature_cols)

@@ -142,7 +142,7 @@ def rate_text(interval: Column) -> Column:
     rate = F.lit(1.0) / F.when(interval > 0, interval)
     # Quarters are exact in binary and round half to even.
     shown = F.when(F.pmod(rate * 4, F.lit(2.0)) == 1, F.bround(rate, 1)).otherwise(rate)
-    return F.coalesce(F.format_string("%.1f Hz", F.when(interval > 0, shown)), F.lit("Unknown"))
+    return F.when(interval > 0, F.format_string("%.1f Hz", shown)).otherwise("Unknown")
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:

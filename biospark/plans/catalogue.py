@@ -158,7 +158,7 @@ def merge_sources(spark, sf_dir):
 
 @query
 def merge_without_resampling(spark, sf_dir):
-    merged = harmonize.merge_datasets(*_two_sources(spark, sf_dir), resample_1hz=False, sort=False)
+    merged = harmonize.merge_datasets(*_two_sources(spark, sf_dir), resample_1hz=False)
     return tidy(merged.select("dataset", "subject", "timestamp", "hr", "acc_mag", "label", "timestamp_relative"))
 
 
