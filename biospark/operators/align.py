@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biospark.contracts import series_keys
-from biospark.functions.scalars import duration_micros, micros, numeric_columns, text_columns
+from biospark.functions.scalars import duration_micros, micros, nan_to_null, numeric_columns, text_columns
 
 METHODS = ("linear", "forward", "backward")
 DUPLICATE_POLICIES = ("reject_subject", "error", "first", "unchecked")
@@ -111,6 +111,7 @@ def dense_chunks(df: DataFrame, options: GridOptions, size: int, overlap: int =
     ts = options.timestamp
     if ts not in df.columns:
         raise ValueError(f"Timestamp column '{ts}' not found")
+    df = nan_to_null(df)
     columns = df.columns
     keys = list(options.keys) if options.keys is not None else series_keys(columns)
     series = keys or ["__series"]
@@ -155,17 +156,12 @@ def _floor_div(value: Column, by: int) -> Column:
 
 
 def _bounds(rows: DataFrame, series: list[str], options: GridOptions) -> DataFrame:
-    """Per series: grid anchor and number of grid points; duplicated instants handled by policy."""
-    if options.on_duplicate in ("reject_subject", "error"):
+    """Per series: grid anchor and number of grid points; series with a repeated instant may be left out."""
+    if options.on_duplicate == "reject_subject":
         instants = rows.groupBy(*series, "__us").agg(F.count("*").alias("__copies"))
         bounds = instants.groupBy(*series).agg(
             F.min("__us").alias("__anchor"), F.max("__us").alias("__last"), F.max("__copies").alias("__copies")
-        )
-        unique = F.col("__copies") == 1
-        if options.on_duplicate == "error":
-            message = F.concat_ws(" ", F.lit("duplicate timestamp in"), *[F.col(k) for k in series])
-            unique = F.when(unique, True).otherwise(F.raise_error(message).cast("boolean"))
-        bounds = bounds.filter(unique)
+        ).filter("__copies = 1")
     else:
         bounds = rows.groupBy(*series).agg(F.min("__us").alias("__anchor"), F.max("__us").alias("__last"))
     points = _floor_div(F.col("__last") - F.col("__anchor"), options.step_us) + 1
@@ -228,11 +224,17 @@ def _densify(
     over = f"over (partition by {', '.join(f'`{k}`' for k in series)}, __chunk order by __us, __sample)"
 
     # The marker is the first row of its chunk. Chunks without one lie outside the series.
-    chunked = chunked.withColumns(
-        {c: F.first(c, True).over(so_far) for c in ("__anchor", "__n")}
-    ).filter(
-        F.col("__anchor").isNotNull() & (~F.col("__sample") | (F.pmod(F.col("__us") - F.col("__anchor"), F.lit(step)) == 0))
-    )
+    attached = {c: F.first(c, True).over(so_far) for c in ("__anchor", "__n")}
+    if options.on_duplicate == "error":
+        # Copies of an instant share a chunk, so this needs no pass of its own.
+        attached["__repeats"] = F.lag("__us").over(order) == F.col("__us")
+    chunked = chunked.withColumns(attached).filter(F.col("__anchor").isNotNull())
+    if options.on_duplicate == "error":
+        message = F.concat_ws(" ", F.lit("duplicate timestamp in"), *[F.col(k) for k in series])
+        failed = F.raise_error(message).cast("boolean")
+        chunked = chunked.filter(F.when(F.col("__repeats"), failed).otherwise(True)).drop("__repeats")
+    on_grid = F.pmod(F.col("__us") - F.col("__anchor"), F.lit(step)) == 0
+    chunked = chunked.filter(~F.col("__sample") | on_grid)
     border = F.col("__chunk") * span - F.col("__anchor")
     first = F.greatest(F.ceil(border / step).cast("long"), F.lit(0).cast("long"))
     own_last = F.ceil((border + span) / step).cast("long") - 1

@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biospark.contracts import CONTRACT, series_keys
+from biospark.contracts import CONTRACT, feature_columns, series_keys
 from biospark.functions.scalars import duration_micros, micros, nan_to_null, seconds_between
 from biospark.operators.ordered import previous_value, time_bucket
 
 # Fixed value: hours in seconds.
 HOUR = 3600.0
-LEVELS = ("overall", "dataset", "subject")
 ORDER_BUCKET = 65536
 
 
@@ -72,10 +71,6 @@ def validate_schema(df: DataFrame, strict: bool = False, order: str | None = Non
     return not issues, issues
 
 
-def _levels(df: DataFrame) -> list[str]:
-    return ["overall", *series_keys(df.columns)]
-
-
 def _roll_up(per_recording: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
     """Aggregate a per-recording table overall, per dataset and per recording."""
     sets = [keys[:i] for i in range(len(keys) + 1)]
@@ -209,16 +204,18 @@ def cohort_means(windows: DataFrame, columns: list[str], labels: tuple[str, ...]
 
 
 def window_metadata(windows: DataFrame, options: dict[str, object]) -> DataFrame:
-    """One row: feature columns, window options, totals, subjects, label distribution."""
-    from biospark.contracts import feature_columns
-
+    """One row: feature columns, window options, totals, label distribution."""
     labels = value_counts(windows, "label").agg(
         F.sort_array(F.collect_list(F.struct("label", "count"))).alias("label_distribution")
     )
-    return windows.agg(
-        F.count("*").alias("total_windows"), F.sort_array(F.collect_set("subject")).alias("subjects")
-    ).select(
+    totals = windows.agg(F.count("*").alias("total_windows"), F.count_distinct("subject").alias("total_subjects"))
+    return totals.select(
         F.array(*[F.lit(c) for c in feature_columns(windows.columns)]).alias("feature_columns"),
         *[F.lit(v).alias(k) for k, v in options.items()],
-        "total_windows", "subjects", labels.scalar().alias("label_distribution"),
+        "total_windows", "total_subjects", labels.scalar().alias("label_distribution"),
     )
+
+
+def subjects(df: DataFrame) -> DataFrame:
+    """The distinct subjects, a null subject included."""
+    return df.select("subject").distinct()

@@ -69,8 +69,11 @@ def split_table(subjects: DataFrame, random_state: int = 42) -> DataFrame:
 def create_stratified_splits(
     windows: DataFrame, test_size: float = 0.2, val_size: float = 0.2, random_state: int = 42
 ) -> DataFrame:
-    """The window table with a ``split`` column; subjects never span two splits."""
-    subjects = split_subjects(windows, test_size, val_size, random_state).select("subject", "split")
+    """The window table with a ``split`` column; subjects never span two splits.
+
+    The subject table is stored first: its size on disk decides whether the join broadcasts it.
+    """
+    subjects = stage(split_subjects(windows, test_size, val_size, random_state).select("subject", "split"))
     return windows.join(subjects, "subject").select(*windows.columns, "split")
 
 
@@ -86,5 +89,5 @@ def stratified_folds(
 def grouped_folds(df: DataFrame, k: int = 5, random_state: int = 42) -> DataFrame:
     """Add ``fold`` by subject, so that no subject is in two folds."""
     subjects = _ranked(df.select("subject").filter(F.col("subject").isNotNull()).distinct(), random_state)
-    folds = subjects.select("subject", F.pmod("rank", F.lit(k)).cast("int").alias("fold"))
+    folds = stage(subjects.select("subject", F.pmod("rank", F.lit(k)).cast("int").alias("fold")))
     return df.join(folds, "subject").select(*df.columns, "fold")

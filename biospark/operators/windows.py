@@ -38,6 +38,10 @@ class WindowOptions:
     bucket: str = "1 hour"
     chunk: int = align.CHUNK_POSITIONS
 
+    def __post_init__(self):
+        if self.size < 1 or self.hop < 1:
+            raise ValueError("window and hop must hold at least one sample")
+
     @property
     def size(self) -> int:
         return int(self.window_size_sec * self.sampling_rate)
@@ -62,7 +66,6 @@ def align_and_extract(
     df: DataFrame, grid: align.GridOptions = align.GridOptions(), options: WindowOptions = WindowOptions()
 ) -> DataFrame:
     """The aligner followed by the window features, in one shuffle of the samples."""
-    df = nan_to_null(df)
     dense = align.dense_chunks(df, grid, options.chunk_size, overlap=options.size - 1)
     return window_features(_explode_windows(dense, options), df, options)
 
@@ -142,6 +145,7 @@ def window_features(rows: DataFrame, source: DataFrame, options: WindowOptions)
 def _valid_share(source: DataFrame, checked: list[str], options: WindowOptions) -> Column:
     """Mean non-null share over the checked columns, for complete windows."""
     known = sum((F.col(f"__valid_{c}") for c in checked), F.lit(0))
+    source = nan_to_null(source)
     if options.ratio_columns is None:
         holds_values = [F.coalesce(F.max(F.when(F.col(c).isNotNull(), 1)), F.lit(0)) for c in checked]
         columns = source.agg(sum(holds_values, F.lit(0)).alias("n")).scalar()

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from biospark.contracts import ACC_COLUMNS, EDA_COLUMNS, HRV_COLUMNS, TEMP_COLUMNS, feature_columns
-from biospark.functions.scalars import any_null
 from biospark.operators import align, harmonize, metrics, ml, quality, splits
 from biospark.operators.windows import align_and_extract, extract_features_from_windows
 from biospark.plans import views
@@ -387,6 +386,11 @@ def dataset_counts(spark, sf_dir):
     return quality.value_counts(data, "dataset").join(quality.subjects_by_dataset(data), "dataset")
 
 
+@query
+def distinct_subjects(spark, sf_dir):
+    return quality.subjects(_two_datasets(spark, sf_dir))
+
+
 @query
 def unusable_rows(spark, sf_dir):
     """Rows whose timestamp or subject is missing (here: those without a heart rate)."""
@@ -411,7 +415,7 @@ def window_metadata(spark, sf_dir):
     meta = quality.window_metadata(windows, {"window_size_sec": 20, "hop_size_sec": 5})
     return meta.select(
         F.size("feature_columns").cast("long").alias("feature_count"), "total_windows",
-        F.size("subjects").cast("long").alias("subject_count"),
+        F.col("total_subjects").alias("subject_count"),
         F.concat_ws(",", F.transform("label_distribution", lambda x: F.concat_ws("=", x["label"], x["count"]))).alias("labels"))
 
 

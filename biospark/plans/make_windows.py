@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from biospark.operators.align import GridOptions
 from biospark.operators.harmonize import filter_female_subjects
-from biospark.operators.quality import schema_issues, window_metadata
+from biospark.operators.quality import schema_issues, subjects, window_metadata
 from biospark.operators.splits import create_stratified_splits
 from biospark.operators.windows import WindowOptions, align_and_extract, extract_features_from_windows
 from biospark.session import build_session
@@ -30,7 +30,7 @@ def run(
     female_only: bool = False,
     resample: bool = True,
 ) -> dict[str, str]:
-    """Write ``windows`` (all), ``splits`` (partitioned by split) and ``metadata`` under ``output``."""
+    """Write ``windows``, ``splits`` (partitioned by split), ``subjects`` and ``metadata`` under ``output``."""
     df = read_table(spark, input_path)
     issues = schema_issues(df)
     if issues:
@@ -40,13 +40,14 @@ def run(
     if female_only and "subject" in df.columns:
         df = filter_female_subjects(df)
     features = align_and_extract(df, grid, options) if resample else extract_features_from_windows(df, options)
-    paths = {name: f"{output.rstrip('/')}/{name}" for name in ("windows", "splits", "metadata")}
+    paths = {name: f"{output.rstrip('/')}/{name}" for name in ("windows", "splits", "subjects", "metadata")}
     write_table(features, paths["windows"])
     windows = spark.read.schema(features.schema).parquet(paths["windows"])
     if windows.isEmpty():
         raise ValueError("No valid windows found for feature extraction")
     split = create_stratified_splits(windows)
     write_table(split, paths["splits"], ["split"])
+    write_table(subjects(windows), paths["subjects"])
     facts = {
         "window_size_sec": options.window_size_sec, "hop_size_sec": options.hop_size_sec,
         "sampling_rate": options.sampling_rate,

@@ -344,6 +344,7 @@ def statements() -> dict[str, str]:
             SELECT level, dataset, subject, "column", CAST(missing_count AS BIGINT) AS missing_count, {rnd('missing_count / CAST(n AS DOUBLE) * 100')} AS missing_pct FROM lng""",
         "sampling_rate": f"WITH {TWO}, {GAPS} SELECT level, dataset, subject, {rnd('median_interval')} AS median_interval, {RATE} AS sampling_rate FROM med",
         "dataset_counts": f"WITH {TWO} SELECT dataset, count(*) AS count, count(DISTINCT subject) AS subjects FROM two GROUP BY dataset",
+        "distinct_subjects": f"WITH {TWO} SELECT DISTINCT subject FROM two",
         "unusable_rows": f"WITH {TWO} SELECT count(*) - count(dataset) AS null_dataset, count(*) - count(subject) AS null_subject, count(*) - count(hr) AS null_timestamp FROM two",
         "subject_profile": short(LABEL, LABELLED, PROFILE, **DENSE) + f"SELECT subject, {dbl('stress_ratio')}, n_windows FROM prof",
         "cohort_compare": short(LABEL, LABELLED, HRV, EDA, TEMP, **DENSE) + f""", cc AS (SELECT label, unnest(['hrv_hr_mean', 'hrv_rmssd', 'eda_mean', 'temp_mean']) AS feature,
