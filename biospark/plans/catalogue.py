@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from biospark.contracts import ACC_COLUMNS, EDA_COLUMNS, HRV_COLUMNS, TEMP_COLUMNS, feature_columns
 from biospark.operators import align, harmonize, metrics, ml, quality, splits
-from biospark.operators.windows import align_and_extract, extract_features_from_windows
+from biospark.operators.windows import WindowOptions, align_and_extract, extract_features_from_windows
 from biospark.plans import views
 from biospark.session import stage
 from biospark.sources.readers import extract_wesad
@@ -18,10 +18,14 @@ from biospark.sources.readers import extract_wesad
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-SHORT = views.windows_of(20, 10)
-LONG = views.windows_of(40, 20)
-DENSE = views.windows_of(20, 5)
-ON_GRID = views.windows_of(48, 24, 0.25)
+# Naming the checked columns saves the scan that looks for columns without values (as hop_windows does).
+SIGNALS = ("hr", "eda_scl", "temp", "acc_mag")
+AXES = ("hr", "eda_scl", "temp", "acc_x", "acc_y", "acc_z")
+SHORT = views.windows_of(20, 10, ratio_columns=SIGNALS)
+SHORT_AXES = views.windows_of(20, 10, ratio_columns=AXES)
+LONG = views.windows_of(40, 20, ratio_columns=SIGNALS)
+DENSE = views.windows_of(20, 5, ratio_columns=SIGNALS)
+ON_GRID = views.windows_of(48, 24, 0.25, ratio_columns=SIGNALS)
 MODEL_COLUMNS = ["hrv_hr_mean", "hrv_rmssd", "eda_mean", "eda_slope", "temp_mean", "acc_mag_std"]
 
 
@@ -270,8 +274,8 @@ def _short_windows(spark, sf_dir):
 
 @query
 def hop_windows(spark, sf_dir):
-    return tidy(_short_windows(spark, sf_dir).select(
-        "window_id", "window_length", "subject", "label", "timestamp_start", "timestamp_end"))
+    windows = extract_features_from_windows(views.signal(spark, sf_dir), views.windows_of(20, 10))
+    return tidy(windows.select("window_id", "window_length", "subject", "label", "timestamp_start", "timestamp_end"))
 
 
 @query
@@ -309,8 +313,8 @@ def eda_peaks(spark, sf_dir):
 
 @query
 def eda_peaks_spaced(spark, sf_dir):
-    """Two samples per second: peaks must lie two samples apart, the taller one staying."""
-    options = views.WindowOptions(20, 10, 2.0, 0.8, bucket="10 days")
+    """Two samples per second: peaks must lie two samples apart, which all of them do."""
+    options = WindowOptions(20, 10, 2.0, 0.8, SIGNALS, bucket="10 days")
     windows = extract_features_from_windows(views.signal(spark, sf_dir), options)
     return tidy(windows.select("window_id", "eda_peak_count", "eda_peak_rate", "eda_auc"))
 
@@ -327,13 +331,13 @@ def acc_magnitude_features(spark, sf_dir):
 
 @query
 def acc_axes_features(spark, sf_dir):
-    windows = extract_features_from_windows(views.signal(spark, sf_dir, axes=True), SHORT)
+    windows = extract_features_from_windows(views.signal(spark, sf_dir, axes=True), SHORT_AXES)
     return tidy(windows.select("window_id", *ACC_COLUMNS[:5]))
 
 
 @query
 def acc_dominant_freq(spark, sf_dir):
-    windows = extract_features_from_windows(views.signal(spark, sf_dir, axes=True), SHORT)
+    windows = extract_features_from_windows(views.signal(spark, sf_dir, axes=True), SHORT_AXES)
     return tidy(windows.select("window_id", "acc_dominant_freq"))
 
 

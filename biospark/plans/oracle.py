@@ -318,6 +318,8 @@ def statements() -> dict[str, str]:
         "eda_basic": short(EDA) + f"SELECT window_id, {dbl(*EDA_COLUMNS[:5])} FROM kept LEFT JOIN eda_stat USING (window_id)",
         "eda_slope_auc": short(EDA) + f"SELECT window_id, {dbl('eda_slope', 'eda_auc')} FROM kept LEFT JOIN eda_stat USING (window_id)",
         "eda_peaks": short(EDA + EDA_PEAKS) + f"SELECT window_id, eda_peak_count, {dbl('eda_peak_rate')} FROM kept LEFT JOIN eda USING (window_id)",
+        "eda_peaks_spaced": short(EDA + EDA_PEAKS, size=40, hop=20)
+        + f"SELECT window_id, eda_peak_count, {rnd('2 * eda_peak_rate')} AS eda_peak_rate, {dbl('eda_auc')} FROM kept LEFT JOIN eda USING (window_id)",
         "temp_features": short(TEMP) + f"SELECT window_id, {dbl(*TEMP_COLUMNS)} FROM kept LEFT JOIN tmp USING (window_id)",
         "acc_magnitude_features": short(ACC_MAG)
         + f"SELECT window_id, {dbl('acc_mag_mean', 'acc_mag_std', 'acc_mag_min', 'acc_mag_max')}, acc_activity_count, acc_dominant_freq FROM kept LEFT JOIN acc USING (window_id)",

@@ -6,7 +6,7 @@ seconds as the grid step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from biospark.functions.scalars import magnitude
@@ -34,6 +34,7 @@ def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         events.select(
             "event_id",
+            "user_id",
             F.concat(sex, F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("subject"),
             ts.alias("timestamp"),
             F.when(value >= 5, value % 60 + 50).alias("hr"),
@@ -56,14 +57,13 @@ def hourly_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal(spark: SparkSession, sf_dir: str, axes: bool = False) -> DataFrame:
     """One sample per subject and hour (that of the lowest event id), with classes as raw labels."""
-    hourly = hourly_samples(spark, sf_dir)
     movement = ["acc_x", "acc_y", "acc_z"] if axes else [magnitude(*map(F.col, ("acc_x", "acc_y", "acc_z"))).alias("acc_mag")]
-    picked = hourly.select("event_id", "subject", "timestamp", "hr", "eda_scl", "temp", *movement, "label")
-    others = [c for c in picked.columns if c not in ("subject", "timestamp")]
+    in_hour = Window.partitionBy("user_id", "timestamp").orderBy("event_id")
     return (
-        picked.groupBy("subject", "timestamp")
-        .agg(F.min_by(F.struct(*others), "event_id").alias("s"))
-        .select("subject", "timestamp", *[f"s.{c}" for c in others if c != "event_id"])
+        hourly_samples(spark, sf_dir)
+        .withColumn("__place", F.row_number().over(in_hour))
+        .filter("__place = 1")
+        .select("subject", "timestamp", "hr", "eda_scl", "temp", *movement, "label")
     )
 
 

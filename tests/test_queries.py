@@ -15,8 +15,6 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables no
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 MODELS = {"rf_predictions", "gbt_predictions", "importance_top20", "cross_validation"}
-# Tested against a plain rendering in test_features.
-WITHOUT_SQL = MODELS | {"eda_peaks_spaced"}
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +36,7 @@ def rows(pdf):
 
 
 def test_every_query_has_a_counterpart():
-    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL and set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLE) == MODELS and set(ORACLE) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
