@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from biospark.contracts import POSITIVE_LABEL
 from biospark.operators.ordered import previous_value, quantile_bucket, running_sums
+from biospark.session import stage
 
 
 def _counts(df: DataFrame, label: str, predicted: str, group: list[str]) -> DataFrame:
@@ -112,9 +113,12 @@ def per_group_report(
 def score_table(
     df: DataFrame, score: str, label: str = "label", positive: object = POSITIVE_LABEL
 ) -> DataFrame:
-    """One row per distinct score: positives and negatives there, and running counts from the top score down."""
+    """One row per distinct score: positives and negatives there, and running counts from the top score down.
+
+    The counts and the result are stored, so the predictions are read once however many metrics follow.
+    """
     is_positive = F.col(label) == F.lit(positive)
-    counted = (
+    counted = stage(
         df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(
@@ -123,8 +127,10 @@ def score_table(
         )
         .withColumn("down", -F.col("score"))
     )
-    return running_sums(
-        quantile_bucket(counted, "down"), [], "__bucket", ["down"], {"tp": F.col("pos"), "fp": F.col("neg")}
+    return stage(
+        running_sums(
+            quantile_bucket(counted, "down"), [], "__bucket", ["down"], {"tp": F.col("pos"), "fp": F.col("neg")}
+        )
     )
 
 
@@ -135,7 +141,10 @@ def _with_totals(points: DataFrame) -> DataFrame:
 
 def roc_auc(df: DataFrame, score: str, label: str = "label", positive: object = POSITIVE_LABEL) -> DataFrame:
     """Chance that a positive outranks a negative, ties counting half; null unless both classes occur."""
-    points = score_table(df, score, label, positive)
+    return roc_auc_of(score_table(df, score, label, positive))
+
+
+def roc_auc_of(points: DataFrame) -> DataFrame:
     outranked = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return points.agg(F.when(pairs > 0, outranked / pairs).alias("roc_auc"))
@@ -143,7 +152,10 @@ def roc_auc(df: DataFrame, score: str, label: str = "label", positive: object =
 
 def average_precision(df: DataFrame, score: str, label: str = "label", positive: object = POSITIVE_LABEL) -> DataFrame:
     """Step-wise area under the precision-recall curve."""
-    points = score_table(df, score, label, positive)
+    return average_precision_of(score_table(df, score, label, positive))
+
+
+def average_precision_of(points: DataFrame) -> DataFrame:
     steps = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
     return points.agg(F.when(F.sum("pos") > 0, steps / F.sum("pos")).alias("average_precision"))
 
@@ -152,34 +164,40 @@ def roc_curve(
     df: DataFrame, score: str, label: str = "label", positive: object = POSITIVE_LABEL, drop_intermediate: bool = True
 ) -> DataFrame:
     """threshold, fpr, tpr; the start (0, 0) has a null threshold. Points on a straight stretch may be left out."""
-    points = score_table(df, score, label, positive)
+    return roc_curve_of(score_table(df, score, label, positive), drop_intermediate)
+
+
+def roc_curve_of(points: DataFrame, drop_intermediate: bool = True) -> DataFrame:
+    curve = _with_totals(points)
     if drop_intermediate:
         # Below a point comes the next lower score: the curve bends there if its step differs.
-        points = points.withColumn("__step", F.struct("pos", "neg"))
-        points = previous_value(points, [], F.col("__bucket") * -1, "score", "__step", "__next_step")
+        curve = curve.withColumn("__step", F.struct("pos", "neg"))
+        curve = previous_value(curve, [], F.col("__bucket") * -1, "score", "__step", "__next_step")
         ends = points.agg(F.struct(F.min("score").alias("lo"), F.max("score").alias("hi")).alias("e")).scalar()
-        points = _with_totals(points).withColumn("__ends", ends)
         bends = ~F.col("__step").eqNullSafe(F.col("__next_step"))
-        points = points.filter(bends | (F.col("score") == F.col("__ends.lo")) | (F.col("score") == F.col("__ends.hi")))
-    else:
-        points = _with_totals(points)
-    curve = points.select(
+        curve = curve.withColumn("__ends", ends).filter(
+            bends | (F.col("score") == F.col("__ends.lo")) | (F.col("score") == F.col("__ends.hi"))
+        )
+    curve = curve.select(
         F.col("score").alias("threshold"),
-        (F.col("fp") / F.col("__t.n")).alias("fpr"),
-        (F.col("tp") / F.col("__t.p")).alias("tpr"),
+        F.try_divide(F.col("fp"), F.col("__t.n")).alias("fpr"),
+        F.try_divide(F.col("tp"), F.col("__t.p")).alias("tpr"),
     )
-    return curve.unionByName(_single_point(df, "fpr", 0.0, "tpr", 0.0))
+    return curve.unionByName(_single_point(points, "fpr", 0.0, "tpr", 0.0))
 
 
 def pr_curve(df: DataFrame, score: str, label: str = "label", positive: object = POSITIVE_LABEL) -> DataFrame:
     """threshold, precision, recall; the end (1, 0) has a null threshold."""
-    points = _with_totals(score_table(df, score, label, positive))
-    curve = points.select(
+    return pr_curve_of(score_table(df, score, label, positive))
+
+
+def pr_curve_of(points: DataFrame) -> DataFrame:
+    curve = _with_totals(points).select(
         F.col("score").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        (F.col("tp") / F.col("__t.p")).alias("recall"),
+        F.try_divide(F.col("tp"), F.col("__t.p")).alias("recall"),
     )
-    return curve.unionByName(_single_point(df, "precision", 1.0, "recall", 0.0))
+    return curve.unionByName(_single_point(points, "precision", 1.0, "recall", 0.0))
 
 
 def _single_point(df: DataFrame, x: str, x_value: float, y: str, y_value: float) -> DataFrame:

@@ -238,11 +238,12 @@ def evaluate_model(predictions: DataFrame, positive: str = "stress") -> dict[str
         "confusion_matrix": metrics.confusion_matrix(predictions),
     }
     if score in predictions.columns:
+        points = metrics.score_table(predictions, score, positive=positive)
         tables |= {
-            "roc_auc": metrics.roc_auc(predictions, score, positive=positive),
-            "pr_auc": metrics.average_precision(predictions, score, positive=positive),
-            "roc_curve": metrics.roc_curve(predictions, score, positive=positive),
-            "pr_curve": metrics.pr_curve(predictions, score, positive=positive),
+            "roc_auc": metrics.roc_auc_of(points),
+            "pr_auc": metrics.average_precision_of(points),
+            "roc_curve": metrics.roc_curve_of(points),
+            "pr_curve": metrics.pr_curve_of(points),
         }
     if "subject" in predictions.columns:
         tables["per_subject"] = metrics.per_group_report(predictions)

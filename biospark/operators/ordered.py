@@ -100,7 +100,7 @@ def series_minimum(df: DataFrame, keys: list[str], bucket: Column, value: str, n
 
 def quantile_bucket(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
     """Add ``__bucket``: which of about equally full value ranges the row falls in."""
-    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    points = F.expr(f"array({', '.join(f'{i / buckets!r}D' for i in range(1, buckets))})")
     bounds = df.agg(F.percentile_approx(value, points, F.lit(10 * buckets)).alias("b")).scalar()
     below = F.filter(F.col("__bounds"), lambda b: b < F.col(value))
     return df.withColumn("__bounds", bounds).withColumn("__bucket", F.size(below).cast("long")).drop("__bounds")

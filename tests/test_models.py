@@ -105,7 +105,9 @@ def test_straight_stretches_of_the_curve_drop_out(spark):
     table = spark.createDataFrame(rows, "label string, score double")
     kept = {r.threshold for r in metrics.roc_curve(table, "score").collect()}
     assert kept == {None, 0.9, 0.6, 0.5}
-    assert metrics.roc_auc(table.filter("label = 'stress'"), "score").first()[0] is None
+    one_class = table.filter("label = 'stress'")
+    assert metrics.roc_auc(one_class, "score").first()[0] is None
+    assert {r.fpr for r in metrics.roc_curve(one_class, "score").collect()} == {0.0, None}
 
 
 def test_class_metrics(spark):
