@@ -13,7 +13,8 @@ from tests.conftest import SMALL
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables not present")
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES = {k: v for k, v in entry.queries().items() if k in entry.catalogue.QUERIES}
+ORACLE = {k: v for k, v in entry.oracle_sql().items() if k in QUERIES}
 MODELS = {"rf_predictions", "gbt_predictions", "importance_top20", "cross_validation"}
 
 
