@@ -5,24 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from biospark.llm import exact, quality
+from biospark.llm import bpe, exact, mixing, quality, simhash
 from biospark.llm.words import GAP_CLASS, WORD, WORD_CLASS, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), shingle=3, reach=2)
+    return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir)).drop("clean_text")
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_groups(documents(spark, sf_dir))
 
 
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.round_trip(documents(spark, sf_dir))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op3_quality_rules, op9_exact_dedup)
+    for f in (op1_simhash_near_dedup, op3_quality_rules, op8_source_mix, op9_exact_dedup, op10_bpe_round_trip)
 }
 
 
