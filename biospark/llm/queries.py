@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biospark.llm import bpe, exact, mixing, quality, simhash
+from biospark.llm import bpe, exact, langid, license, linededup, mixing, quality, simhash, tokenbin, toxicity
 from biospark.llm.words import GAP_CLASS, WORD, WORD_CLASS, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,10 +18,34 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.license_scan(documents(spark, sf_dir))
+    return found.select("doc_id", "start", "end", "license", F.round("dice", 9).alias("dice"), "part")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir)).drop("clean_text")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.predict(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.token_report(documents(spark, sf_dir))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.deduplicate_lines(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_lines", "n_deleted", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -39,7 +63,18 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op3_quality_rules, op8_source_mix, op9_exact_dedup, op10_bpe_round_trip)
+    for f in (
+        op1_simhash_near_dedup,
+        op2_license_scan,
+        op3_quality_rules,
+        op4_language_id,
+        op5_toxicity,
+        op6_token_binary,
+        op7_line_dedup,
+        op8_source_mix,
+        op9_exact_dedup,
+        op10_bpe_round_trip,
+    )
 }
 
 

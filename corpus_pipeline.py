@@ -1,22 +1,59 @@
-"""The corpus pipeline: each stage calls one operator of ``biospark.llm`` and hands its documents to the next."""
+"""The corpus pipeline: each stage calls one operator of ``biospark.llm`` and hands its documents to the next.
+
+Every stage but the last returns the columns of its input; all handle what their operators handle (nulls,
+empty tables, repeated rows, further columns).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from biospark.llm import exact
+from biospark.llm import bpe, exact, mixing, simhash, toxicity
 from biospark.llm.words import documents
 from biospark.session import stage
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches the threshold go; the model learns from ``labels``."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with the same text the one with the largest identifier stays."""
     return exact.drop_duplicates(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("exact_dedup", exact_dedup)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by fingerprints that differ in at most two bits the smallest identifier stays."""
+    return simhash.drop_near_duplicates(docs, shingle=3, reach=2)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per document and pass of the mix that uses it, with the words taken in that pass."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's token identifiers, and digests of them and of what they decode to."""
+    coded = bpe.round_trip(docs)
+    return coded.select(
+        "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("source_mix", mix_sources),
+    ("bpe", encode),
+]
 # Subsequence kernels, random draws and byte-pair merges are not expressible in SQL.
 ORACLE_SQL: str | None = None
 
