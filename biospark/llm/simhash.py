@@ -84,14 +84,15 @@ def _distance(a: np.ndarray, b: np.uint64) -> np.ndarray:
 
 
 def _split(points: np.ndarray, reach: int) -> tuple[np.uint64, int] | None:
-    """The vantage point and radius with the smallest larger side; None if no split helps."""
-    best, found = 0.8 * len(points), None
+    """A vantage point and a radius with small sides and a small overlap; None if some side is always nearly everything."""
+    best, found = np.inf, None
     for at in np.linspace(0, len(points) - 1, 8).astype(int):
         counts = np.bincount(_distance(points, points[at]), minlength=65 + reach)
         upto = counts.cumsum()
         left, right = upto[reach : reach + 64], len(points) - upto[:64]
+        larger = np.maximum(left, right)
         # A small overlap is worth a little imbalance.
-        cost = np.maximum(left, right) + left + right - len(points)
+        cost = np.where(larger < 0.8 * len(points), larger + left + right, np.inf)
         radius = int(cost.argmin())
         if cost[radius] < best:
             best, found = cost[radius], (points[at], radius)
