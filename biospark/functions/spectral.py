@@ -88,36 +88,3 @@ def dominant_frequency(rate: float = 1.0):
 
     peak.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(peak, "double")
-
-
-def _spaced_peaks(y: np.ndarray, height: float, spacing: int) -> int:
-    """Plateau-aware maxima of at least ``height``; of two closer than ``spacing`` the taller stays."""
-    edges = np.flatnonzero(np.diff(y)) + 1
-    starts, ends = np.r_[0, edges], np.r_[edges, len(y)] - 1
-    tops = y[starts]
-    inner = np.arange(1, len(tops) - 1)
-    inner = inner[(tops[inner] > tops[inner - 1]) & (tops[inner] > tops[inner + 1]) & (tops[inner] >= height)]
-    at = (starts[inner] + ends[inner]) // 2
-    taken: list[int] = []
-    for i in np.argsort(tops[inner], kind="stable")[::-1]:
-        if all(abs(at[i] - other) >= spacing for other in taken):
-            taken.append(at[i])
-    return len(taken)
-
-
-def spaced_peak_count(spacing: int):
-    """Arrow function: (array, height) -> number of peaks at least ``spacing`` samples apart."""
-
-    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for arrays, heights in batches:
-            yield pd.Series(
-                [0 if a is None or len(a) < 2 else _spaced_peaks(np.asarray(a), h, spacing)
-                 for a, h in zip(arrays, heights)],
-                dtype="int64",
-            )
-
-    count.__annotations__ = {
-        "batches": Iterator[tuple[pd.Series, pd.Series]],
-        "return": Iterator[pd.Series],
-    }
-    return F.pandas_udf(count, "long")

@@ -117,11 +117,14 @@ def dense_chunks(df: DataFrame, options: GridOptions, size: int, overlap: int =
     series = keys or ["__series"]
     df = df if keys else df.withColumn("__series", F.lit(0))
     if options.grid == "bucket_mean":
-        columns = [c for c in columns if c in {ts, *keys, *numeric_columns(df), *text_columns(df)}]
+        known = {ts, *keys, *numeric_columns(df), *text_columns(df)}
+        if others := [c for c in columns if c not in known]:
+            raise ValueError(f"grid='bucket_mean' has no mean for columns {others}, which are neither numbers nor text")
         df = tumbling_mean(df, series, ts, options.step).select(*columns, *([] if keys else series))
 
     values = [c for c in columns if c not in {ts, *keys}]
-    numeric = [c for c in numeric_columns(df) if c in values]
+    # A tie breaker is an identifier: grid points without a sample have none.
+    numeric = [c for c in numeric_columns(df) if c in values and c != options.tie_breaker]
     text = [c for c in text_columns(df) if c in values]
     # A limit beyond the chunk would copy most rows; then borders are crossed by carried values.
     halo = options.limit if options.limit is not None and options.limit <= size // 4 else None

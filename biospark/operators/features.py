@@ -63,20 +63,26 @@ def with_neighbours(rows: DataFrame, partition: list[str], pos: str, rate: float
         step = F.col("eda_scl").isNotNull() & ~F.col("eda_scl").eqNullSafe(F.col("__eda_before"))
         shared["__eda_step"] = F.when(step, F.col("eda_scl"))
         shared["__eda_step_pos"] = F.when(step, F.col(pos))
+        shared["__eda_step_rank"] = F.when(step, F.col("__eda_rank"))
     if "temp" in columns:
         seen["__temp_rank"] = F.count("temp").over(so_far)
     for added in (derived, seen, shared):
         rows = rows.withColumns(added) if added else rows
-    if "eda_scl" in columns and int(rate) == 1:
+    if "eda_scl" in columns and int(rate) >= 1:
         rows = rows.withColumns(
             {
                 "__eda_after": F.expr(f"lead(__eda_step, 1) ignore nulls {over}"),
                 "__eda_until": F.expr(f"lead(__eda_step_pos, 1) ignore nulls {over}"),
+                "__eda_step_end": F.expr(f"lead(__eda_step_rank, 1) ignore nulls {over}") - 1,
             }
         )
         peak = (F.col("__eda_step") > F.col("__eda_before")) & (F.col("__eda_step") > F.col("__eda_after"))
-        rows = rows.withColumn("__eda_top", F.when(peak, F.col("__eda_step")))
-    return rows.drop("__rr_before", "__eda_before", "__eda_step", "__eda_step_pos", "__eda_after")
+        # The middle of a plateau, counted in known samples.
+        middle = F.floor((F.col("__eda_step_rank") + F.col("__eda_step_end")) / 2).alias("at")
+        rows = rows.withColumn("__eda_top", F.when(peak, F.struct(F.col("__eda_step").alias("v"), middle)))
+    return rows.drop(
+        "__rr_before", "__eda_before", "__eda_step", "__eda_step_pos", "__eda_step_rank", "__eda_step_end", "__eda_after"
+    )
 
 
 def aggregate_windows(
@@ -111,13 +117,11 @@ def aggregate_windows(
             F.regr_slope("eda_scl", "__eda_rank").alias("__eda_slope"),
             F.sum(F.when(inside("__eda"), F.col("__eda_area"))).alias("__eda_area"),
         ]
-        if int(rate) == 1:
+        if int(rate) >= 1:
             ends_inside = inside("__eda")
             if size is not None:
                 ends_inside &= F.col("__eda_until") < F.col(start) + size
             aggs.append(F.collect_list(F.when(ends_inside, F.col("__eda_top"))).alias("__eda_tops"))
-        elif int(rate) > 1:
-            aggs.append(in_order("eda_scl").alias("__eda_list"))
     if "temp" in columns:
         known_at = F.when(F.col("temp").isNotNull(), F.col(pos))
         aggs += _moments("temp", "temp") + [
@@ -192,16 +196,29 @@ def _hrv(stats: DataFrame) -> dict[str, Column]:
     }
 
 
+def _spaced(peaks: Column, spacing: int) -> Column:
+    """How many peaks stay if, from the highest down (the later one first on ties), each must lie ``spacing`` known samples
+    from those that stay already."""
+    order = F.array_sort(F.transform(peaks, lambda p: F.struct((-p["v"]).alias("v"), (-p["at"]).alias("at"))))
+    none = F.array().cast("array<bigint>")
+    stay = F.aggregate(
+        order,
+        none,
+        lambda kept, p: F.when(
+            F.forall(kept, lambda k: F.abs(k + p["at"]) >= spacing), F.concat(kept, F.array(-p["at"]))
+        ).otherwise(kept),
+    )
+    return F.size(stay)
+
+
 def _eda(rate: float) -> dict[str, Column]:
     height = F.col("__eda_mean") + F.col("__eda_std") * 0.5
     if int(rate) < 1:
         # No whole sample per second: the spacing is undefined and peaks are reported as none.
         peaks, area = F.lit(0).cast("long"), F.lit(None).cast("double")
-    elif int(rate) == 1:
-        peaks = F.size(F.filter("__eda_tops", lambda y: y >= height)).cast("long")
-        area = F.col("__eda_area")
     else:
-        peaks, area = spectral.spaced_peak_count(int(rate))(F.col("__eda_list"), height), F.col("__eda_area")
+        high = F.filter("__eda_tops", lambda top: top["v"] >= height)
+        peaks, area = (F.size(high) if int(rate) == 1 else _spaced(high, int(rate))).cast("long"), F.col("__eda_area")
     per_minute = peaks / (F.col("__eda_n") / F.lit(float(rate))) * 60
     return _basic("eda", "eda") | {
         "eda_slope": _at_least_two("eda", F.col("__eda_slope")),

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from biospark.contracts import CONTRACT, SOURCE_COLUMNS, series_keys
-from biospark.functions.scalars import any_null, duration_micros, label_class, nan_to_null, seconds_between
+from biospark.functions.scalars import any_null, label_class, nan_to_null, seconds_between
 from biospark.operators.align import GridOptions, align_to_grid
-from biospark.operators.ordered import series_minimum, time_bucket
+from biospark.session import stage
 
 
 def harmonize_columns(df: DataFrame, dataset_type: str) -> DataFrame:
@@ -58,16 +58,17 @@ def harmonize_stress_labels(df: DataFrame) -> DataFrame:
     return df.withColumn("label", label_class(F.col("label")))
 
 
-def synchronize_timestamps(df: DataFrame, bucket: str = "1 hour") -> DataFrame:
-    """Add ``timestamp_relative``: seconds since the first sample of the same recording."""
+def synchronize_timestamps(df: DataFrame) -> DataFrame:
+    """Add ``timestamp_relative``: seconds since the first sample of the same recording.
+
+    The first instants, one row per recording, are stored; their size decides whether the join broadcasts them.
+    """
     keys = series_keys(df.columns)
     for key in keys:
         df = df.filter(F.col(key).isNotNull())
-    ts = F.col("timestamp")
-    started = series_minimum(df, keys, F.coalesce(time_bucket(ts, duration_micros(bucket)), F.lit(0)), "timestamp", "__t0")
-    return started.withColumn("timestamp_relative", seconds_between(F.col("__t0"), ts)).select(
-        *df.columns, "timestamp_relative"
-    )
+    started = stage(df.groupBy(*keys).agg(F.min("timestamp").alias("__t0")))
+    joined = df.join(started, keys) if keys else df.withColumn("__t0", started.scalar())
+    return joined.select(*df.columns, seconds_between(F.col("__t0"), F.col("timestamp")).alias("timestamp_relative"))
 
 
 def merge_datasets(

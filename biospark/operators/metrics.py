@@ -145,7 +145,7 @@ def roc_auc(df: DataFrame, score: str, label: str = "label", positive: object =
 
 
 def roc_auc_of(points: DataFrame) -> DataFrame:
-    outranked = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
+    outranked = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return points.agg(F.when(pairs > 0, outranked / pairs).alias("roc_auc"))
 
@@ -156,7 +156,8 @@ def average_precision(df: DataFrame, score: str, label: str = "label", positive:
 
 
 def average_precision_of(points: DataFrame) -> DataFrame:
-    steps = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    # As doubles: products of counts do not fit whole numbers.
+    steps = F.sum(F.col("pos").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp")))
     return points.agg(F.when(F.sum("pos") > 0, steps / F.sum("pos")).alias("average_precision"))
 
 

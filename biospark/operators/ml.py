@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    OneVsRest,
+    OneVsRestModel,
+    RandomForestClassificationModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biospark.contracts import feature_columns
 from biospark.functions.scalars import nan_to_null
 from biospark.operators import metrics
+from biospark.operators.ordered import quantile_bucket, running_sums
 from biospark.operators.splits import grouped_folds, stratified_folds
 from biospark.session import stage
 
-# MLlib's limit; trees of unlimited depth become trees of this depth.
+# MLlib's limit; the depth of trees when none is given.
 DEEPEST_TREE = 30
+# Labelled rows that a model is trained on unless more are allowed: MLlib keeps the trees, which grow with them, on the
+# driver.
+MOST_TRAINING_ROWS = 10_000_000
 # Fixed value: depth of boosted trees when none is given.
 BOOSTED_DEPTH = 6
 SKETCH = 10000
@@ -27,8 +39,8 @@ SKETCH = 10000
 def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact median of each column as (feature, median), without sorting whole columns.
 
-    A quantile sketch brackets the middle; its error bound guarantees that the median lies in the
-    bracket. Only distinct values inside the bracket are counted and ranked.
+    A quantile sketch brackets the middle; its error bound guarantees that the median lies in the bracket, which is
+    checked. Only distinct values inside the bracket are counted, stored, and ranked in ranges of values.
     """
     around = F.array(F.lit(0.5 - 2 / SKETCH), F.lit(0.5 + 2 / SKETCH))
     doubles = [F.col(c).cast("double").alias(c) for c in columns]
@@ -47,10 +59,12 @@ def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     sizes = bracketed.agg(
         *[F.count(c).alias(f"n_{c}") for c in columns],
         *[F.count(F.when(F.col(c) < low(c), 1)).alias(f"below_{c}") for c in columns],
+        *[F.count(F.when(F.col(c) <= high(c), 1)).alias(f"upto_{c}") for c in columns],
     )
-    sizes = sizes.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("n"), F.col(f"below_{c}").alias("below")) for c in columns]))
-    )
+    counts = [
+        F.struct(F.lit(c).alias("feature"), *[F.col(f"{k}_{c}").alias(k) for k in ("n", "below", "upto")]) for c in columns
+    ]
+    sizes = sizes.select(F.inline(F.array(*counts)))
     middle = (
         bracketed.select(
             F.inline(
@@ -66,15 +80,14 @@ def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
         .groupBy("feature", "value")
         .agg(F.count("*").alias("copies"))
     )
-    up_to = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = middle.withColumn("__upto", F.sum("copies").over(up_to)).join(sizes, "feature")
+    ranged = quantile_bucket(stage(middle), "value")
+    ranked = running_sums(ranged, ["feature"], "__bucket", ["value"], {"__upto": F.col("copies")}).join(sizes, "feature")
     last_rank = F.col("below") + F.col("__upto") - 1
     lower, upper = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
-    return ranked.groupBy("feature").agg(
-        (
-            (F.min(F.when(last_rank >= lower, F.col("value"))) + F.min(F.when(last_rank >= upper, F.col("value")))) / 2
-        ).alias("median")
-    )
+    missed = F.max((F.col("below") > lower) | (F.col("upto") <= upper))
+    found = (F.min(F.when(last_rank >= lower, F.col("value"))) + F.min(F.when(last_rank >= upper, F.col("value")))) / 2
+    outside = F.raise_error(F.lit("the sketch's bracket does not hold the median")).cast("double")
+    return ranked.groupBy("feature").agg(F.when(missed, outside).otherwise(found).alias("median"))
 
 
 def impute_medians(df: DataFrame, columns: list[str], medians: DataFrame | None = None) -> DataFrame:
@@ -151,7 +164,12 @@ class FeatureScaling:
 
 @dataclass
 class BaselineModel:
-    """Median filling, scaling, label encoding and a tree model."""
+    """Median filling, scaling, label encoding and a tree model.
+
+    ``max_depth=None`` means DEEPEST_TREE for forests and BOOSTED_DEPTH for boosted trees. ``class_weight`` is "balanced" or
+    None. ``impute`` fills gaps with training medians ("train") or with those of the scored table ("per_frame"). More than
+    ``max_training_rows`` labelled rows are an error. What cannot be done as asked is an error too.
+    """
 
     model_type: str = "random_forest"
     n_estimators: int = 100
@@ -159,30 +177,44 @@ class BaselineModel:
     random_state: int = 42
     class_weight: str | None = "balanced"
     impute: str = "train"
+    max_training_rows: int = MOST_TRAINING_ROWS
     feature_cols: list[str] = field(default_factory=list)
     classes: list[str] = field(default_factory=list)
     scaling: FeatureScaling | None = None
     model: Model | None = None
 
+    def __post_init__(self):
+        if self.model_type not in ("random_forest", "xgboost", "gbt"):
+            raise ValueError(f"Unsupported model type: {self.model_type}")
+        if self.max_depth is not None and not 0 <= self.max_depth <= DEEPEST_TREE:
+            raise ValueError(f"max_depth {self.max_depth} is not between 0 and {DEEPEST_TREE}")
+        if self.class_weight == "balanced_subsample":
+            raise ValueError("class weights per bootstrap sample ('balanced_subsample') are not available, use 'balanced'")
+        if self.class_weight not in (None, "balanced"):
+            raise ValueError(f"Unknown class_weight: {self.class_weight}")
+        if self.impute not in ("train", "per_frame"):
+            raise ValueError(f"Unknown impute: {self.impute}")
+
     def _estimator(self, classes: int):
         columns = {"featuresCol": "__features", "labelCol": "__label", "weightCol": "__weight"}
         if self.model_type == "random_forest":
-            depth = DEEPEST_TREE if self.max_depth is None else min(self.max_depth, DEEPEST_TREE)
+            depth = DEEPEST_TREE if self.max_depth is None else self.max_depth
             return RandomForestClassifier(
                 numTrees=self.n_estimators, maxDepth=depth, seed=self.random_state, **columns
             )
-        if self.model_type in ("xgboost", "gbt"):
-            depth = BOOSTED_DEPTH if self.max_depth is None else min(self.max_depth, DEEPEST_TREE)
-            boosted = GBTClassifier(maxIter=self.n_estimators, maxDepth=depth, seed=self.random_state, **columns)
-            return boosted if classes == 2 else OneVsRest(classifier=boosted, **columns)
-        raise ValueError(f"Unsupported model type: {self.model_type}")
+        depth = BOOSTED_DEPTH if self.max_depth is None else self.max_depth
+        boosted = GBTClassifier(maxIter=self.n_estimators, maxDepth=depth, seed=self.random_state, **columns)
+        return boosted if classes == 2 else OneVsRest(classifier=boosted, **columns)
 
     def fit(self, train: DataFrame, feature_cols: list[str] | None = None) -> BaselineModel:
         """Fit on a window table; it is read several times, so give a stored or staged one."""
         self.feature_cols = feature_cols or feature_columns(train.columns)
-        self._estimator(2)
         labelled = train.filter(F.col("label").isNotNull())
-        weights = {r["label"]: r["weight"] for r in class_weights(labelled).collect()}
+        counted = class_weights(labelled).collect()
+        rows = sum(r["n"] for r in counted)
+        if rows > self.max_training_rows:
+            raise ValueError(f"{rows} labelled rows exceed max_training_rows ({self.max_training_rows}); sample or raise it")
+        weights = {r["label"]: r["weight"] for r in counted}
         self.classes = sorted(weights)
         self.scaling = FeatureScaling.fit(labelled, self.feature_cols)
         code = F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col("label")) - 1
@@ -219,6 +251,25 @@ class BaselineModel:
         kept = [c for c in ("window_id", "subject", "label", "predicted_label") if c in scored.columns]
         return scored.select(*kept, *[f"prob_{c}" for c in self.classes])
 
+    def save(self, path: str) -> None:
+        """The fitted model with everything that ``transform`` needs, under ``path``."""
+        spark = SparkSession.getActiveSession()
+        settings = {f: getattr(self, f) for f in ("model_type", "n_estimators", "max_depth", "random_state", "class_weight", "impute")}
+        settings |= {"feature_cols": self.feature_cols, "classes": self.classes, "scaling": vars(self.scaling)}
+        spark.createDataFrame([(json.dumps(settings),)], "value string").write.mode("overwrite").text(f"{path}/settings")
+        self.model.write().overwrite().save(f"{path}/trees")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BaselineModel:
+        settings = json.loads(spark.read.text(f"{path}/settings").first()["value"])
+        scaling = FeatureScaling(**settings.pop("scaling"))
+        classes = settings["classes"]
+        if settings["model_type"] == "random_forest":
+            reader = RandomForestClassificationModel
+        else:
+            reader = GBTClassificationModel if len(classes) == 2 else OneVsRestModel
+        return cls(**settings, scaling=scaling, model=reader.load(f"{path}/trees"))
+
     def feature_importance(self, spark) -> DataFrame:
         """feature, importance in descending order; features without any value have importance 0."""
         weights = dict.fromkeys(self.feature_cols, 0.0)

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 # Buckets summed together in the first of the two prefix steps.
 FAN_IN = 1024
+# Rows that a value range should hold, and the most ranges whose bounds one row can carry.
+ROWS_PER_BUCKET = 65536
+MOST_BUCKETS = 10_000
 
 
 def hash_bucket(text: Column, hex_digits: int = 3) -> Column:
@@ -74,36 +77,85 @@ def row_positions(
 def previous_value(
     df: DataFrame, keys: list[str], bucket: Column, order: str, value: str | None = None, name: str = "previous"
 ) -> DataFrame:
-    """Add ``value`` (by default ``order`` itself) of the preceding row of the series; null in the first row."""
+    """Add ``value`` (by default ``order`` itself) of the preceding row of the series; null in the first row.
+
+    The last value of each bucket is carried to the next one in two steps, like ``bucket_offsets``.
+    """
     value = value or order
-    df = df.withColumn("__bucket", bucket)
-    last = df.groupBy(*keys, "__bucket").agg(F.max_by(value, order).alias("__last"))
-    carried = last.select(
-        *keys, "__bucket", F.lag("__last").over(_partition(keys).orderBy("__bucket")).alias("__carry")
+    df = df.withColumn("__bucket", bucket).repartition(*keys, "__bucket")
+    last = df.groupBy(*keys, "__bucket").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("__last"))
+    packed = last.groupBy(*keys, F.floor(F.col("__bucket") / FAN_IN).alias("__group")).agg(
+        F.collect_list(F.struct("__bucket", "__last")).alias("__buckets"), F.max_by("__last", "__bucket").alias("__end")
+    )
+    entered = packed.withColumn("__entry", F.lag("__end").over(_partition(keys).orderBy("__group"))).select(
+        *keys, "__group", "__entry", F.inline("__buckets")
     )
+    inside = Window.partitionBy(*keys, "__group").orderBy("__bucket")
+    carried = entered.select(*keys, "__bucket", F.coalesce(F.lag("__last").over(inside), "__entry").alias("__carry"))
     here = Window.partitionBy(*keys, "__bucket").orderBy(order)
     return (
         df.join(carried, [*keys, "__bucket"])
         .withColumn("__row", F.row_number().over(here))
-        .withColumn(name, F.when(F.col("__row") == 1, F.col("__carry")).otherwise(F.lag(value).over(here)))
+        .withColumn(name, F.when(F.col("__row") == 1, F.col("__carry.v")).otherwise(F.lag(value).over(here)))
         .drop("__bucket", "__carry", "__row")
     )
 
 
-def series_minimum(df: DataFrame, keys: list[str], bucket: Column, value: str, name: str) -> DataFrame:
-    """Add the minimum of ``value`` over the whole series to each of its rows."""
-    df = df.withColumn("__bucket", bucket)
-    least = df.groupBy(*keys, "__bucket").agg(F.min(value).alias(name))
-    least = least.withColumn(name, F.min(name).over(_partition(keys)))
-    return df.join(least, [*keys, "__bucket"]).drop("__bucket")
+def quantile_bucket(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
+    """Add ``__bucket``: which of about equally full value ranges the row falls in.
 
-
-def quantile_bucket(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
-    """Add ``__bucket``: which of about equally full value ranges the row falls in."""
+    Without ``buckets`` their number follows the number of rows (ROWS_PER_BUCKET each, MOST_BUCKETS at most).
+    """
+    if buckets is None:
+        buckets = max(1, min(MOST_BUCKETS, df.count() // ROWS_PER_BUCKET))
+    if buckets == 1:
+        return df.withColumn("__bucket", F.lit(0).cast("long"))
     points = F.expr(f"array({', '.join(f'{i / buckets!r}D' for i in range(1, buckets))})")
     bounds = df.agg(F.percentile_approx(value, points, F.lit(10 * buckets)).alias("b")).scalar()
-    below = F.filter(F.col("__bounds"), lambda b: b < F.col(value))
-    return df.withColumn("__bounds", bounds).withColumn("__bucket", F.size(below).cast("long")).drop("__bounds")
+    bounded = df.withColumn("__bounds", bounds)
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        below = F.get("__bounds", middle) < F.col(value)
+        return (
+            F.when(at["low"] >= at["high"], at)
+            .when(below, F.struct((middle + 1).alias("low"), at["high"].alias("high")))
+            .otherwise(F.struct(at["low"].alias("low"), middle.alias("high")))
+        )
+
+    # Binary search for the number of bounds below the value.
+    steps = F.array(*[F.lit(0)] * buckets.bit_length())
+    start = F.struct(F.lit(0).alias("low"), F.coalesce(F.size("__bounds"), F.lit(0)).alias("high"))
+    return bounded.withColumn("__bucket", F.aggregate(steps, start, halve)["low"].cast("long")).drop("__bounds")
+
+
+def medians(counted: DataFrame, keys: list[str], value: str, copies: str, name: str = "median") -> DataFrame:
+    """Exact median of ``value`` per key, for a stored table with one row per (key, value) and its number of ``copies``.
+
+    Values are dealt to ranges; only the ranges that hold the two middle ranks of a key are looked into, so neither
+    a task nor a hash map holds all values of a key.
+    """
+    ranged = quantile_bucket(counted.filter(F.col(value).isNotNull()), value)
+    sizes = ranged.groupBy(*keys, "__bucket").agg(F.sum(copies).alias("__size"))
+    along = _partition(keys).orderBy("__bucket")
+    sizes = sizes.withColumns(
+        {
+            "__before": F.sum("__size").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"),
+            "__total": F.sum("__size").over(_partition(keys)),
+        }
+    )
+    lower, upper = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
+    end = F.col("__before") + F.col("__size")
+    middle = sizes.filter((F.col("__before") <= upper) & (end > lower))
+    named = middle.withColumnsRenamed({k: f"__k_{k}" for k in keys} | {"__bucket": "__b"}).drop("__size")
+    on = F.col("__bucket") == F.col("__b")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("__before") + F.sum(copies).over(inside)
+    ranked = ranged.join(named, on).withColumn("__upto", upto)
+    least = [F.min(F.when(F.col("__upto") > rank, F.col(value))) for rank in (lower, upper)]
+    return ranked.groupBy(*keys).agg(((least[0] + least[1]) / 2).alias(name))
 
 
 def _partition(keys: list[str]):

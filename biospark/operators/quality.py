@@ -1,7 +1,7 @@
 """Validation against the contract and quality reports.
 
-Reports aggregate once per recording and roll the small result up to all levels, so the data is
-scanned once however many levels there are.
+Reports aggregate once per recording and roll the small result up to all levels, so the number of scans does not
+depend on the number of levels: one for the totals and one for the gaps between samples.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 
 from biospark.contracts import CONTRACT, feature_columns, series_keys
 from biospark.functions.scalars import duration_micros, micros, nan_to_null, seconds_between
-from biospark.operators.ordered import previous_value, time_bucket
+from biospark.operators.ordered import medians, previous_value, quantile_bucket, time_bucket
+from biospark.session import stage
 
 # Fixed value: hours in seconds.
 HOUR = 3600.0
-ORDER_BUCKET = 65536
 
 
 def schema_issues(df: DataFrame) -> list[str]:
@@ -51,9 +51,10 @@ def out_of_order(df: DataFrame, order: str, keys: list[str] | None = None, times
     ``order`` is a whole-number column with the source order, for a table has no order of its own.
     """
     keys = series_keys(df.columns) if keys is None else keys
-    bucket = F.floor(F.col(order) / ORDER_BUCKET)
+    # Ranges of equally many rows, whatever the gaps in the order.
+    ranged = quantile_bucket(df, order).withColumnRenamed("__bucket", "__range")
     return (
-        previous_value(df, keys, bucket, order, timestamp, "__previous")
+        previous_value(ranged, keys, F.col("__range"), order, timestamp, "__previous")
         .filter(F.col(timestamp) < F.col("__previous"))
         .select(*df.columns)
     )
@@ -71,15 +72,15 @@ def validate_schema(df: DataFrame, strict: bool = False, order: str | None = Non
     return not issues, issues
 
 
-def _roll_up(per_recording: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
-    """Aggregate a per-recording table overall, per dataset and per recording."""
-    sets = [keys[:i] for i in range(len(keys) + 1)]
+def _roll_up(per_recording: DataFrame, keys: list[str], aggs: list[Column], always: list[str] = ()) -> DataFrame:
+    """Aggregate a per-recording table overall, per dataset and per recording, in each level also by ``always``."""
+    sets = [[*keys[:i], *always] for i in range(len(keys) + 1)]
     if not keys:
-        return per_recording.agg(*aggs).withColumn("level", F.lit("overall"))
+        return per_recording.groupBy(*always).agg(*aggs).withColumn("level", F.lit("overall"))
     names = F.array(F.lit("overall"), *[F.lit(k) for k in keys])
     # grouping() is 0 for columns that are part of the grouping set of the row.
     depth = sum((1 - F.grouping(k).cast("int") for k in keys), F.lit(1))
-    return per_recording.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(
+    return per_recording.groupingSets([[F.col(k) for k in s] for s in sets], *keys, *always).agg(
         F.element_at(names, depth).alias("level"), *aggs
     )
 
@@ -118,7 +119,7 @@ def get_data_quality_report(df: DataFrame, bucket: str = "1 hour") -> DataFrame:
 def sampling_rate(df: DataFrame, bucket: str = "1 hour") -> DataFrame:
     """Median interval between successive samples of a recording and its rate text, per level.
 
-    The exact median is taken over (interval, count) pairs, not over the samples.
+    The exact median is taken over (interval, count) pairs, which are stored once for all levels.
     """
     keys = series_keys(df.columns)
     picked = df.select(*keys, "timestamp").filter(F.col("timestamp").isNotNull())
@@ -129,8 +130,10 @@ def sampling_rate(df: DataFrame, bucket: str = "1 hour") -> DataFrame:
         .groupBy(*keys, "gap")
         .agg(F.count("*").alias("n"))
     )
-    medians = _roll_up(counted, keys, [F.percentile("gap", 0.5, F.col("n")).alias("median_interval")])
-    return medians.withColumn("sampling_rate", rate_text(F.col("median_interval")))
+    # The interval is part of every level.
+    rolled = stage(_roll_up(counted, keys, [F.sum("n").alias("n")], ["gap"]))
+    found = medians(rolled, ["level", *keys], "gap", "n", "median_interval")
+    return found.select(*keys, "level", "median_interval", rate_text(F.col("median_interval")).alias("sampling_rate"))
 
 
 def rate_text(interval: Column) -> Column:

@@ -26,18 +26,23 @@ def _ranked(subjects: DataFrame, seed: int) -> DataFrame:
 
 
 def split_subjects(
-    windows: DataFrame, test_size: float = 0.2, val_size: float = 0.2, random_state: int = 42
+    windows: DataFrame,
+    test_size: float = 0.2,
+    val_size: float = 0.2,
+    random_state: int = 42,
+    min_windows: int = MIN_WINDOWS,
+    min_subjects: int = MIN_SUBJECTS,
 ) -> DataFrame:
     """Subject -> split (train, val, test, excluded), with its profile.
 
-    Subjects need MIN_WINDOWS windows; with fewer than MIN_SUBJECTS such subjects, all subjects take part.
+    Subjects need ``min_windows`` windows; with fewer than ``min_subjects`` such subjects, all subjects take part.
     The profile, one row per subject, is stored first, so the windows are computed once.
     """
     profile = stage(subject_profile(windows.filter(F.col("subject").isNotNull())))
-    enough = F.col("n_windows") >= MIN_WINDOWS
+    enough = F.col("n_windows") >= min_windows
     totals = profile.agg(F.count("*").alias("all"), F.count(F.when(enough, 1)).alias("valid"))
     profile = profile.withColumn("__totals", totals.select(F.struct("all", "valid")).scalar())
-    main = F.col("__totals.valid") >= MIN_SUBJECTS
+    main = F.col("__totals.valid") >= min_subjects
     takes_part = enough | ~main
     n = F.when(main, F.col("__totals.valid")).otherwise(F.col("__totals.all"))
     n_test = F.when(main, F.ceil(F.lit(test_size) * n)).otherwise(_at_least_one(n * F.lit(test_size)))
@@ -71,8 +76,10 @@ def create_stratified_splits(
 ) -> DataFrame:
     """The window table with a ``split`` column; subjects never span two splits.
 
-    The subject table is stored first: its size on disk decides whether the join broadcasts it.
+    The windows are stored first, so that they are computed once. The subject table is stored too: its size on disk
+    decides whether the join broadcasts it.
     """
+    windows = stage(windows)
     subjects = stage(split_subjects(windows, test_size, val_size, random_state).select("subject", "split"))
     return windows.join(subjects, "subject").select(*windows.columns, "split")
 
@@ -80,8 +87,8 @@ def create_stratified_splits(
 def stratified_folds(
     df: DataFrame, label: str = "label", row_id: str = "window_id", k: int = 5, random_state: int = 42
 ) -> DataFrame:
-    """Add ``fold`` 0..k-1: rows of each label in seeded order, dealt out in turn."""
-    keyed = df.withColumn("__hash", F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(random_state))))
+    """Add ``fold`` 0..k-1: rows of each label in seeded order, dealt out in turn. The rows are stored first."""
+    keyed = stage(df).withColumn("__hash", F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(random_state))))
     placed = row_positions(keyed, [label], hash_bucket(F.col("__hash")), ["__hash", row_id], "__place")
     return placed.select(*df.columns, F.pmod("__place", F.lit(k)).cast("int").alias("fold"))
 

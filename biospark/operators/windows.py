@@ -24,7 +24,8 @@ class WindowOptions:
     """Window length and hop in seconds, sampling rate, validity threshold.
 
     ``ratio_columns``: columns whose non-null share decides whether a window is kept. None takes
-    the numeric columns that hold any value at all, ``"all_numeric"`` every numeric column.
+    the numeric columns that hold any value at all, ``"all_numeric"`` every numeric column. ``tie_breaker`` orders
+    samples of the same instant and is no signal.
     """
 
     window_size_sec: float = 60
@@ -127,7 +128,7 @@ def window_keys(df: DataFrame, options: WindowOptions) -> list[str]:
 def window_features(rows: DataFrame, source: DataFrame, options: WindowOptions) -> DataFrame:
     """Aggregate window rows to the feature table; ``source`` decides which columns count as signals."""
     keys = window_keys(rows, options)
-    signals = [c for c in numeric_columns(source) if c not in keys]
+    signals = [c for c in numeric_columns(source) if c not in {*keys, options.tie_breaker}]
     checked = signals if options.ratio_columns in (None, "all_numeric") else list(options.ratio_columns)
     aggregated = features.aggregate_windows(
         rows, [*keys, "__chunk", "__k", "__start"], options.size, options.sampling_rate, options.timestamp, checked

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from biospark.contracts import ACC_COLUMNS, EDA_COLUMNS, HRV_COLUMNS, TEMP_COLUMNS, feature_columns
+from biospark.functions.scalars import file_stem, subject_from_file
 from biospark.operators import align, harmonize, metrics, ml, quality, splits
 from biospark.operators.windows import WindowOptions, align_and_extract, extract_features_from_windows
 from biospark.plans import views
@@ -122,9 +123,9 @@ def cohort_prefix(spark, sf_dir):
 
 @query
 def cohort_list(spark, sf_dir):
-    """Cohort given as a table: subjects with a purchase above 100."""
+    """Cohort given as a table: subjects with a purchase."""
     raw = views.raw_samples(spark, sf_dir)
-    listed = raw.filter((F.col("event_type") == "purchase") & (F.col("value") > 100)).select("subject")
+    listed = raw.filter(F.col("event_type") == "purchase").select("subject")
     return tidy(harmonize.filter_female_subjects(raw, listed).select("event_id", "subject", "hr"))
 
 
@@ -138,9 +139,26 @@ def label_distribution(spark, sf_dir):
     return quality.value_counts(harmonize.harmonize_stress_labels(views.raw_samples(spark, sf_dir)), "label")
 
 
+@query
+def parsed_timestamps(spark, sf_dir):
+    """Text timestamps of a raw source become instants of the contract."""
+    raw = views.raw_samples(spark, sf_dir)
+    text = raw.select(clock("timestamp").alias("timestamp"), F.col("subject").alias("subject_id"), F.col("hr").alias("BVP_HR"))
+    parsed = harmonize.harmonize_columns(text, "hongn").select("subject", F.unix_micros("timestamp").alias("micros"), "hr")
+    return tidy(parsed)
+
+
+@query
+def subjects_from_names(spark, sf_dir):
+    """Subject from the stem and from the pattern of file names made of a document's source and number."""
+    name = F.concat("source", F.lit("_f"), F.col("doc_id").cast("string"), F.lit(".part.csv"))
+    named = views.table(spark, sf_dir, "documents").select("doc_id", name.alias("name"))
+    return named.select("doc_id", file_stem("name").alias("stem"), subject_from_file("name").alias("subject"))
+
+
 @query
 def relative_time(spark, sf_dir):
-    timed = harmonize.synchronize_timestamps(views.raw_samples(spark, sf_dir), bucket="1 day")
+    timed = harmonize.synchronize_timestamps(views.raw_samples(spark, sf_dir))
     return tidy(timed.select("event_id", "subject", "timestamp_relative"))
 
 
@@ -174,11 +192,10 @@ def tumbling_mean(spark, sf_dir):
 
 @query
 def pair_modalities(spark, sf_dir):
-    """Clicks as one signal, large purchases as the other, on the same hour; some subjects lack the second."""
+    """Clicks as one signal, sign-ups as the other, on the same hour; some subjects lack the second."""
     hourly = views.hourly_samples(spark, sf_dir)
     left = hourly.filter(F.col("event_type") == "click").select("subject", "timestamp", "hr", "temp")
-    right = hourly.filter((F.col("event_type") == "purchase") & (F.col("value") > 100)).select(
-        "subject", "timestamp", "hr", "eda_scl")
+    right = hourly.filter(F.col("event_type") == "signup").select("subject", "timestamp", "hr", "eda_scl")
     return tidy(harmonize.pair_modalities(left, right))
 
 
@@ -203,8 +220,8 @@ def wrist_extraction(spark, sf_dir):
 
 
 def _grid(spark, sf_dir, columns, **options):
-    picked = views.signal(spark, sf_dir).select("subject", "timestamp", *columns)
-    return tidy(align.align_to_grid(picked, views.hourly_grid(**options)))
+    picked = views.signal(spark, sf_dir).select("event_id", "subject", "timestamp", *columns)
+    return tidy(align.align_to_grid(picked, views.hourly_grid(**options)).drop("event_id"))
 
 
 @query
@@ -236,7 +253,7 @@ def grid_text_fill(spark, sf_dir):
 def grid_bucket_mean(spark, sf_dir):
     """Off-grid samples averaged into their hour before alignment."""
     raw = views.raw_samples(spark, sf_dir).select("subject", "timestamp", "hr", "temp")
-    return tidy(align.align_to_grid(raw, views.hourly_grid(grid="bucket_mean")))
+    return tidy(align.align_to_grid(raw, views.hourly_grid(grid="bucket_mean", on_duplicate="unchecked", tie_breaker=None)))
 
 
 @query
@@ -244,7 +261,7 @@ def grid_off_grid_samples(spark, sf_dir):
     """Grid anchored on a subject's first minute: samples at other minutes drop out."""
     raw = views.raw_samples(spark, sf_dir).select(
         "event_id", "subject", F.date_trunc("minute", "timestamp").alias("timestamp"), "hr")
-    options = views.hourly_grid(on_duplicate="first", tie_breaker="event_id", step="20min", max_gap="3h")
+    options = views.hourly_grid(step="20min", max_gap="3h")
     return tidy(align.align_to_grid(raw, options).select("subject", "timestamp", "hr"))
 
 
@@ -259,7 +276,7 @@ def grid_reject_subject(spark, sf_dir):
     """Half-hour samples; subjects with a repeated instant are left out."""
     halves = views.raw_samples(spark, sf_dir).select(
         "subject", F.timestamp_micros(F.floor(F.unix_micros("timestamp") / 300000000).cast("long") * 300000000).alias("timestamp"), "hr")
-    options = views.hourly_grid(on_duplicate="reject_subject", step="5min", max_gap="2h")
+    options = views.hourly_grid(on_duplicate="reject_subject", tie_breaker=None, step="5min", max_gap="2h")
     aligned = align.align_to_grid(halves, options)
     return tidy(aligned.groupBy("subject").agg(
         F.count("*").alias("grid_points"), F.count("hr").alias("known"), F.avg("hr").alias("hr_mean")))
@@ -313,8 +330,8 @@ def eda_peaks(spark, sf_dir):
 
 @query
 def eda_peaks_spaced(spark, sf_dir):
-    """Two samples per second: peaks must lie two samples apart, which all of them do."""
-    options = WindowOptions(20, 10, 2.0, 0.8, SIGNALS, bucket="10 days")
+    """Four samples per second: of peaks less than four samples apart the highest stays."""
+    options = views.windows_of(10, 5, rate=4.0, ratio_columns=SIGNALS)
     windows = extract_features_from_windows(views.signal(spark, sf_dir), options)
     return tidy(windows.select("window_id", "eda_peak_count", "eda_peak_rate", "eda_auc"))
 

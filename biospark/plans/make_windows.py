@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from biospark.operators.align import GridOptions
 from biospark.operators.harmonize import filter_female_subjects
-from biospark.operators.quality import schema_issues, subjects, window_metadata
+from biospark.operators.quality import subjects, validate_schema, window_metadata
 from biospark.operators.splits import create_stratified_splits
 from biospark.operators.windows import WindowOptions, align_and_extract, extract_features_from_windows
 from biospark.session import build_session
@@ -29,12 +29,17 @@ def run(
     grid: GridOptions = GridOptions(),
     female_only: bool = False,
     resample: bool = True,
+    order: str | None = None,
 ) -> dict[str, str]:
-    """Write ``windows``, ``splits`` (partitioned by split), ``subjects`` and ``metadata`` under ``output``."""
+    """Write ``windows``, ``splits`` (partitioned by split), ``subjects`` and ``metadata`` under ``output``.
+
+    ``order`` names a whole-number column with the source order of the rows; then the check includes the time order.
+    """
     df = read_table(spark, input_path)
-    issues = schema_issues(df)
-    if issues:
+    valid, issues = validate_schema(df, order=order)
+    if not valid:
         logging.warning("Schema validation issues: %s", issues)
+    df = df.drop(order) if order else df
     if "timestamp" in df.columns:
         df = df.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     if female_only and "subject" in df.columns:
@@ -65,10 +70,11 @@ def main() -> None:
     parser.add_argument("--sampling-rate", type=float, default=1.0)
     parser.add_argument("--female-only", action="store_true")
     parser.add_argument("--no-resample", action="store_true")
+    parser.add_argument("--order", help="whole-number column with the source order, to check that time never goes back")
     args = parser.parse_args()
     options = WindowOptions(args.window_sec, args.hop_sec, args.sampling_rate)
     paths = run(build_session("make_windows"), args.input, args.output, options,
-                female_only=args.female_only, resample=not args.no_resample)
+                female_only=args.female_only, resample=not args.no_resample, order=args.order)
     for name, path in paths.items():
         print(f"{name}: {path}")
 

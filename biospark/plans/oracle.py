@@ -46,7 +46,11 @@ SIG = RAW + """, sig AS (
       row_number() OVER (PARTITION BY subject, date_trunc('hour', timestamp) ORDER BY event_id) AS pick
     FROM raw) WHERE pick = 1)"""
 
-CLASSED = SIG + f", sigc AS (SELECT * REPLACE ({label_class('label')} AS label) FROM sig)"
+# All samples of an hour, where SIG has the first one only.
+ALL = RAW + """, sig AS (
+  SELECT * REPLACE (date_trunc('hour', timestamp) AS timestamp), sqrt(acc_x * acc_x + acc_y * acc_y + acc_z * acc_z) AS acc_mag FROM raw)"""
+
+CLASSED = ALL + f", sigc AS (SELECT * REPLACE ({label_class('label')} AS label) FROM sig)"
 
 
 def grid(source: str, step: str, step_us: int, numeric: list[str], text: list[str], method: str, limit: int | None, key: str = "subject") -> str:
@@ -86,7 +90,7 @@ def grid(source: str, step: str, step_us: int, numeric: list[str], text: list[st
 
 def windows(source: str, size: int, hop: int, pos: str | None = None) -> str:
     """CTEs ``wp, w, full_w``: rows of each full window ``k``."""
-    position = f"{pos}" if pos else "row_number() OVER (PARTITION BY subject ORDER BY timestamp) - 1"
+    position = f"{pos}" if pos else "row_number() OVER (PARTITION BY subject ORDER BY timestamp, event_id) - 1"
     return f"""wp AS (SELECT *, {position} AS spot FROM {source}),
       wk AS (SELECT *, unnest(range(greatest(CAST(0 AS BIGINT), CAST(floor((spot - {size}) / CAST({hop} AS DOUBLE)) AS BIGINT) + 1),
         CAST(floor(spot / CAST({hop} AS DOUBLE)) AS BIGINT) + 1)) AS k FROM wp),
@@ -167,7 +171,7 @@ SIGNALS = ["hr", "eda_scl", "temp", "acc_mag"]
 AXES = ["hr", "eda_scl", "temp", "acc_x", "acc_y", "acc_z"]
 
 
-def short(*ctes: str, size: int = 20, hop: int = 10, ratio: float = 0.8, columns: list[str] = SIGNALS, source: str = SIG, name: str = "sig") -> str:
+def short(*ctes: str, size: int = 20, hop: int = 10, ratio: float = 0.8, columns: list[str] = SIGNALS, source: str = ALL, name: str = "sig") -> str:
     parts = [source, windows(name, size, hop), kept(size, ratio, columns), *ctes]
     return "WITH " + ",\n  ".join(parts) + "\n"
 
@@ -250,7 +254,9 @@ def _hourly(columns: list[str], text: list[str] = (), method: str = "linear", li
 
 def statements() -> dict[str, str]:
     hourly_all = grid("sig", "1 HOUR", 3600000000, SIGNALS, ["label"], "linear", 5)
-    merged_source = CLASSED + """, src AS (SELECT CASE WHEN starts_with(subject, 'f') THEN 'hongn' ELSE 'swell' END AS dataset, subject, timestamp, hr, eda_scl,
+    # The first sample of an hour starts the relative time as well: they share the hour.
+    first_classed = SIG + f", sigc AS (SELECT * REPLACE ({label_class('label')} AS label) FROM sig)"
+    source = """, src AS (SELECT CASE WHEN starts_with(subject, 'f') THEN 'hongn' ELSE 'swell' END AS dataset, subject, timestamp, hr, eda_scl,
       CASE WHEN starts_with(subject, 'f') THEN acc_mag END AS acc_mag, label,
       (epoch_us(timestamp) - epoch_us(min(timestamp) OVER (PARTITION BY subject))) / CAST(1000000 AS DOUBLE) AS timestamp_relative FROM sigc)"""
     off_grid = """mins AS (SELECT * FROM (SELECT event_id, subject, date_trunc('minute', timestamp) AS timestamp, hr,
@@ -273,20 +279,22 @@ def statements() -> dict[str, str]:
             SELECT subject, count(*) AS late_rows FROM o WHERE timestamp < before GROUP BY subject""",
         "cohort_prefix": f"WITH {RAW} SELECT event_id, subject, {rnd('hr')} AS hr FROM raw WHERE subject LIKE 'f%'",
         "cohort_list": f"""WITH {RAW} SELECT event_id, subject, {rnd('hr')} AS hr FROM raw
-            WHERE subject IN (SELECT subject FROM raw WHERE event_type = 'purchase' AND value > 100)""",
+            WHERE subject IN (SELECT subject FROM raw WHERE event_type = 'purchase')""",
         "label_map": f"WITH {RAW} SELECT event_id, {label_class('label')} AS label FROM raw",
         "label_distribution": f"WITH {RAW} SELECT {label_class('label')} AS label, count(*) AS count FROM raw GROUP BY 1",
+        "parsed_timestamps": f"""WITH {RAW} SELECT subject, epoch_us(date_trunc('second', timestamp)) AS micros, {rnd('hr')} AS hr FROM raw""",
+        "subjects_from_names": """SELECT doc_id, source || '_f' || doc_id AS stem, 'f' || doc_id AS subject FROM documents""",
         "relative_time": f"""WITH {RAW}, r AS (SELECT event_id, subject,
             (epoch_us(timestamp) - epoch_us(min(timestamp) OVER (PARTITION BY subject))) / CAST(1000000 AS DOUBLE) AS timestamp_relative FROM raw)
             SELECT event_id, subject, {dbl('timestamp_relative')} FROM r""",
-        "merge_sources": f"""WITH {merged_source}, {grid('src', '1 HOUR', 3600000000, ['hr', 'eda_scl', 'acc_mag', 'timestamp_relative'], ['label'], 'linear', 5, key='dataset, subject')}
+        "merge_sources": f"""WITH {first_classed + source}, {grid('src', '1 HOUR', 3600000000, ['hr', 'eda_scl', 'acc_mag', 'timestamp_relative'], ['label'], 'linear', 5, key='dataset, subject')}
             SELECT dataset, subject, {clock('timestamp')} AS timestamp, {dbl('hr', 'eda_scl', 'acc_mag')}, label, {dbl('timestamp_relative')} FROM grid""",
-        "merge_without_resampling": f"""WITH {merged_source} SELECT dataset, subject, {clock('timestamp')} AS timestamp, {dbl('hr', 'acc_mag')}, label, {dbl('timestamp_relative')} FROM src""",
+        "merge_without_resampling": f"""WITH {CLASSED + source} SELECT dataset, subject, {clock('timestamp')} AS timestamp, {dbl('hr', 'acc_mag')}, label, {dbl('timestamp_relative')} FROM src""",
         "tumbling_mean": f"""WITH {RAW}, t AS (SELECT subject, date_trunc('hour', timestamp) AS h, avg(hr) AS hr, avg(temp) AS temp FROM raw GROUP BY ALL)
             SELECT subject, {clock('h')} AS timestamp, {dbl('hr', 'temp')} FROM t""",
         "pair_modalities": f"""WITH {RAW}, h AS (SELECT * REPLACE (date_trunc('hour', timestamp) AS timestamp) FROM raw),
             l AS (SELECT subject, timestamp, hr, temp FROM h WHERE event_type = 'click'),
-            r AS (SELECT subject, timestamp, hr AS hr_eda, eda_scl FROM h WHERE event_type = 'purchase' AND value > 100),
+            r AS (SELECT subject, timestamp, hr AS hr_eda, eda_scl FROM h WHERE event_type = 'signup'),
             u AS (SELECT l.*, hr_eda, eda_scl FROM l JOIN r USING (subject, timestamp) WHERE hr IS NOT NULL AND temp IS NOT NULL AND hr_eda IS NOT NULL AND eda_scl IS NOT NULL
               UNION ALL SELECT l.*, NULL, NULL FROM l WHERE subject NOT IN (SELECT subject FROM r) AND hr IS NOT NULL AND temp IS NOT NULL)
             SELECT subject, {clock('timestamp')} AS timestamp, {dbl('hr', 'temp', 'hr_eda', 'eda_scl')} FROM u""",
@@ -318,8 +326,16 @@ def statements() -> dict[str, str]:
         "eda_basic": short(EDA) + f"SELECT window_id, {dbl(*EDA_COLUMNS[:5])} FROM kept LEFT JOIN eda_stat USING (window_id)",
         "eda_slope_auc": short(EDA) + f"SELECT window_id, {dbl('eda_slope', 'eda_auc')} FROM kept LEFT JOIN eda_stat USING (window_id)",
         "eda_peaks": short(EDA + EDA_PEAKS) + f"SELECT window_id, eda_peak_count, {dbl('eda_peak_rate')} FROM kept LEFT JOIN eda USING (window_id)",
-        "eda_peaks_spaced": short(EDA + EDA_PEAKS, size=40, hop=20)
-        + f"SELECT window_id, eda_peak_count, {rnd('2 * eda_peak_rate')} AS eda_peak_rate, {dbl('eda_auc')} FROM kept LEFT JOIN eda USING (window_id)",
+        # Peaks in the order of their heights, the later first on ties; one by one those far enough from the ones that stay.
+        "eda_peaks_spaced": short(EDA, size=40, hop=20).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
+            po AS (SELECT window_id, list(top_at ORDER BY v DESC, top_at DESC) AS tops FROM eda_tops GROUP BY window_id),
+            pg AS (SELECT window_id, tops, 1 AS i, [tops[1]] AS stay FROM po
+              UNION ALL SELECT window_id, tops, i + 1, CASE WHEN len([s FOR s IN stay IF abs(s - tops[i + 1]) < 4]) = 0 THEN list_append(stay, tops[i + 1]) ELSE stay END
+              FROM pg WHERE i < len(tops)),
+            pn AS (SELECT window_id, len(stay) AS peaks FROM pg WHERE i = len(tops)),
+            e AS (SELECT window_id, CASE WHEN n IS NOT NULL THEN coalesce(peaks, 0) END AS eda_peak_count,
+              coalesce(peaks, 0) / (n / CAST(4 AS DOUBLE)) * 60 AS eda_peak_rate, eda_auc FROM kept LEFT JOIN eda_stat USING (window_id) LEFT JOIN pn USING (window_id))
+            SELECT window_id, eda_peak_count, {dbl('eda_peak_rate', 'eda_auc')} FROM e""",
         "temp_features": short(TEMP) + f"SELECT window_id, {dbl(*TEMP_COLUMNS)} FROM kept LEFT JOIN tmp USING (window_id)",
         "acc_magnitude_features": short(ACC_MAG)
         + f"SELECT window_id, {dbl('acc_mag_mean', 'acc_mag_std', 'acc_mag_min', 'acc_mag_max')}, acc_activity_count, acc_dominant_freq FROM kept LEFT JOIN acc USING (window_id)",

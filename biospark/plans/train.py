@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +20,18 @@ from biospark.sources.writers import write_report, write_reports, write_table
 
 
 def load(spark: SparkSession, data: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(train, test, feature columns) of a windows folder, or of a single table split by subject."""
-    if _exists(spark, f"{data.rstrip('/')}/splits"):
-        train, _, test = read_splits(spark, f"{data.rstrip('/')}/splits")
-        listed = spark.read.json(f"{data.rstrip('/')}/metadata").select("feature_columns").first()
-        return train, test, list(listed["feature_columns"])
+    """(train, test, feature columns) of a windows folder, or of a single table split by subject.
+
+    The feature columns of a windows folder are those of its metadata, if there are any, else all that are not
+    identifiers.
+    """
+    splits = f"{data.rstrip('/')}/splits"
+    if _exists(spark, splits):
+        train, _, test = read_splits(spark, splits)
+        metadata = f"{data.rstrip('/')}/metadata"
+        listed = spark.read.json(metadata).first() if _exists(spark, metadata) else None
+        named = listed["feature_columns"] if listed and "feature_columns" in listed else None
+        return train, test, list(named) if named else feature_columns(train.columns)
     table = read_table(spark, data)
     halves = table.join(stage(split_table(table)), "subject")
     train, test = (halves.filter(F.col("split") == s).select(*table.columns) for s in ("train", "test"))
@@ -31,8 +39,10 @@ def load(spark: SparkSession, data: str) -> tuple[DataFrame, DataFrame, list[str
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    try:
+        return not spark.read.format("binaryFile").load(path).select("path").isEmpty()
+    except AnalysisException:  # the path does not exist
+        return False
 
 
 def run(
@@ -54,7 +64,7 @@ def run(
     for metric, row in (("test_accuracy", "accuracy"), ("test_f1_weighted", "weighted avg")):
         info = info.withColumn(metric, report.filter(F.col("name") == row).select("f1").scalar())
     write_report(info, f"{out}/model_info")
-    model.model.write().overwrite().save(f"{out}/model")
+    model.save(f"{out}/model")
     if cross_val:
         scores = summarize_scores(cross_validate_model(train, columns, cv_folds, **model_options))
         write_report(scores, f"{out}/cross_validation")
@@ -72,7 +82,7 @@ def main() -> None:
     parser.add_argument("--random-state", type=int, default=42)
     parser.add_argument("--n-estimators", type=int, default=100)
     parser.add_argument("--max-depth", type=int)
-    parser.add_argument("--class-weight", choices=["balanced", "balanced_subsample"], default="balanced")
+    parser.add_argument("--class-weight", choices=["balanced"], default="balanced")
     args = parser.parse_args()
     tables = run(
         build_session("train"), args.data, args.output, args.cross_val, args.cv_folds, model_type=args.model,

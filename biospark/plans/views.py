@@ -6,14 +6,14 @@ seconds as the grid step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biospark.functions.scalars import magnitude
 from biospark.operators.align import GridOptions
 from biospark.operators.windows import WindowOptions
 
-HOURLY = {"step": "1h", "max_gap": "5h", "on_duplicate": "unchecked"}
+HOURLY = {"step": "1h", "max_gap": "5h", "on_duplicate": "first", "tie_breaker": "event_id"}
 # Part of the last shown digit that is added before rounding query results.
 SHIFT = 0.13717
 # Raw label per event type, in mixed letter case.
@@ -56,20 +56,16 @@ def hourly_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal(spark: SparkSession, sf_dir: str, axes: bool = False) -> DataFrame:
-    """One sample per subject and hour (that of the lowest event id), with classes as raw labels."""
+    """All samples of each subject by hour, with classes as raw labels; the event id orders those of one hour."""
     movement = ["acc_x", "acc_y", "acc_z"] if axes else [magnitude(*map(F.col, ("acc_x", "acc_y", "acc_z"))).alias("acc_mag")]
-    in_hour = Window.partitionBy("user_id", "timestamp").orderBy("event_id")
-    return (
-        hourly_samples(spark, sf_dir)
-        .withColumn("__place", F.row_number().over(in_hour))
-        .filter("__place = 1")
-        .select("subject", "timestamp", "hr", "eda_scl", "temp", *movement, "label")
+    return hourly_samples(spark, sf_dir).select(
+        "event_id", "subject", "timestamp", "hr", "eda_scl", "temp", *movement, "label"
     )
 
 
-def windows_of(size: int, hop: int, ratio: float = 0.8, **options) -> WindowOptions:
+def windows_of(size: int, hop: int, ratio: float = 0.8, rate: float = 1.0, **options) -> WindowOptions:
     """Row-count windows; ten days of samples per position bucket."""
-    return WindowOptions(size, hop, 1.0, ratio, bucket="10 days", **options)
+    return WindowOptions(size, hop, rate, ratio, tie_breaker="event_id", bucket="10 days", **options)
 
 
 def hourly_grid(**options) -> GridOptions:

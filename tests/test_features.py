@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from biospark.contracts import FEATURE_TABLE_COLUMNS, HRV_COLUMNS, feature_columns
-from biospark.functions.spectral import _spaced_peaks, welch_psd
+from biospark.functions.spectral import welch_psd
 from biospark.operators import features
 from biospark.operators.align import GridOptions, align_to_1hz
 from biospark.operators.windows import WindowOptions, align_and_extract, extract_features_from_windows
@@ -201,12 +201,18 @@ def plain_spaced(y, height, spacing):
     return len(kept)
 
 
-@pytest.mark.parametrize("spacing", [1, 2, 3, 7])
-def test_spaced_peaks(spacing):
+@pytest.mark.parametrize("spacing", [2, 3, 7])
+def test_spaced_peaks(spark, spacing):
     rng = np.random.default_rng(spacing)
-    for _ in range(300):
+    rows, expected = [], {}
+    for i in range(150):
         y = rng.integers(0, 6, rng.integers(2, 40)).astype(float)
-        assert _spaced_peaks(y, 2.5, spacing) == plain_spaced(list(y), 2.5, spacing)
+        rows += [(f"s{i:03d}", j / spacing, float(v)) for j, v in enumerate(y)]
+        expected[f"s{i:03d}"] = plain_spaced(list(y), y.mean() + 0.5 * y.std(ddof=1), spacing)
+    table = samples(spark, rows, "subject string, seconds double, eda_scl double")
+    got = features.compute_eda_features(table, ["subject"], "timestamp", sampling_rate=float(spacing)).collect()
+    assert {r.subject: r.eda_peak_count for r in got} == expected
+    assert sum(expected.values()) > 100
 
 
 def test_spaced_peaks_in_windows(spark):

@@ -38,6 +38,76 @@ def test_readers_and_subjects(spark, tmp_path):
     assert readers.load_wesad_data(spark, str(tmp_path / "s3.csv"), subject="z").first().subject == "z"
 
 
+def test_columns_are_matched_by_header(spark, tmp_path):
+    write_csv(tmp_path / "w_f01.csv", ["timestamp", "BVP_HR", "TEMP"], [(at(0), 80.5, 33.5)])
+    write_csv(tmp_path / "w_f02.csv", ["timestamp", "TEMP", "BVP_HR"], [(at(0), 33.5, 80.5)])
+    write_csv(tmp_path / "w_f03.csv", ["BVP_HR", "timestamp", "note"], [(60.5, at(0), "x")])
+    rows = readers.load_hongn_data(spark, str(tmp_path / "*.csv")).orderBy("subject").collect()
+    assert [(r.subject, r.hr, r.temp) for r in rows] == [("f01", 80.5, 33.5), ("f02", 80.5, 33.5), ("f03", 60.5, None)]
+    given = readers.read_csv(spark, str(tmp_path / "*.csv"), "TEMP double, timestamp timestamp, BVP_HR double").orderBy("BVP_HR")
+    assert given.columns == ["TEMP", "timestamp", "BVP_HR"]
+    assert [(r.TEMP, r.BVP_HR) for r in given.collect()] == [(None, 60.5), (33.5, 80.5), (33.5, 80.5)]
+
+
+def test_contract_columns_are_not_inferred(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", ["timestamp", "subject", "hr", "label"], [(at(0), "007", 70, "1")])
+    df = readers.read_csv(spark, str(tmp_path / "a.csv"))
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["timestamp", "string", "double", "string"]
+    assert df.first().subject == "007"
+    with pytest.raises(Exception):
+        readers.read_csv(spark, str(tmp_path / "none*.csv")).count()
+
+
+def test_other_columns_of_different_types(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", ["timestamp", "x", "y"], [(at(0), 1, 1)])
+    write_csv(tmp_path / "b.csv", ["timestamp", "y", "x"], [(at(0), "word", 2.5)])
+    df = readers.read_csv(spark, str(tmp_path / "*.csv"))
+    assert dict(df.dtypes) == {"timestamp": "timestamp", "x": "double", "y": "string"}
+    assert {(r.x, r.y) for r in df.collect()} == {(1.0, "1"), (2.5, "word")}
+
+
+def test_prefix_of_the_first_source(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", ["timestamp", "subject_id", "BVP_HR"], [(at(0), "f1", 70.5), (at(1), "m1", 71.5), (at(2), "m2", 71.5)])
+    path = str(tmp_path / "a.csv")
+    assert readers.load_hongn_data(spark, path).count() == 1
+    assert readers.load_hongn_data(spark, path, subject_prefix=None).count() == 3
+    assert tuple(readers.rows_by_prefix(spark, path).first()) == (1, 2)
+
+
+def test_recordings_that_cannot_be_read_are_errors(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    write_csv(raw / "p01_ECG.csv", ["timestamp", "HR", "RMSSD"], [(at(0), 70.5, 20.5)])
+    write_csv(raw / "p02_ECG.csv", ["RMSSD", "timestamp", "HR"], [(30.5, at(0), 60.5)])
+    assert {(r.subject, r.HR, r.RMSSD) for r in readers.extract_swell(spark, str(raw)).collect()} == {("p01", 70.5, 20.5), ("p02", 60.5, 30.5)}
+    write_csv(raw / "p01_EDA.csv", ["time", "EDA"], [(at(0), 1.5)])
+    with pytest.raises(ValueError, match="timestamp"):
+        readers.extract_swell(spark, str(raw))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.extract_swell(spark, str(tmp_path / "absent"))
+
+
+def test_split_folders(spark, tmp_path):
+    columns = "window_id string, subject string, label string, eda_mean double"
+    rows = [(f"w{i}", f"s{i % 4}", "stress" if i % 2 else "baseline", float(i % 7)) for i in range(80)]
+    table = spark.createDataFrame(rows, columns)
+    table.withColumn("split", F.when(F.col("subject") == "s0", "test").otherwise("train")).write.partitionBy("split").parquet(
+        str(tmp_path / "w" / "splits"))
+    training, test, features = train.load(spark, str(tmp_path / "w"))
+    assert (training.count(), test.count(), features) == (60, 20, ["eda_mean"])
+    table.withColumn("split", F.lit("train")).write.partitionBy("split").parquet(str(tmp_path / "v" / "splits"))
+    with pytest.raises(ValueError, match="No test split"):
+        train.run(spark, str(tmp_path / "v"), str(tmp_path / "out"))
+
+
+def test_window_job_checks_the_time_order(spark, tmp_path, caplog):
+    rows = [(at(i), "f1", 70.0, i) for i in range(200)] + [(at(50.5), "f1", 70.0, 200)]
+    spark.createDataFrame(rows, "timestamp timestamp, subject string, hr double, row long").write.parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="No valid windows"):
+        make_windows.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), WindowOptions(500, 30), order="row")
+    assert "not monotonically increasing" in caplog.text
+
+
 def test_table_formats_round_trip(spark, tmp_path):
     table = spark.createDataFrame([(at(0.5), "a", 1.25), (at(1), "b", None)], "timestamp timestamp, subject string, hr double")
     for name in ("t.csv", "t_parquet"):

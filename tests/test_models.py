@@ -4,6 +4,7 @@ import itertools
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,56 @@ def test_cross_validation(spark):
     found = {r.metric: r for r in ml.summarize_scores(scores).collect()}
     assert set(found) == {"accuracy", "f1_weighted", "roc_auc"}
     assert all(len(r.scores) == 3 and r["mean"] > 0.8 and r["std"] == pytest.approx(statistics.pstdev(r.scores)) for r in found.values())
+
+
+@pytest.mark.parametrize(
+    "options", [{"max_depth": 31}, {"class_weight": "typo"}, {"class_weight": "balanced_subsample"}, {"impute": "mean"}, {"model_type": "svm"}]
+)
+def test_options_that_cannot_be_met_are_errors(options):
+    with pytest.raises(ValueError):
+        ml.BaselineModel(**options)
+
+
+def test_bound_on_training_rows(spark):
+    with pytest.raises(ValueError, match="max_training_rows"):
+        ml.BaselineModel(max_training_rows=10).fit(separable(spark, ["baseline", "stress"]), ["x"])
+
+
+@pytest.mark.parametrize("model_type, labels", [("random_forest", 2), ("gbt", 2), ("gbt", 3)])
+def test_saved_models_predict_alike(spark, tmp_path, model_type, labels):
+    table = separable(spark, ["baseline", "physical", "stress"][-labels:])
+    model = ml.BaselineModel(model_type, n_estimators=3, max_depth=3).fit(table, ["x", "noise"])
+    model.save(str(tmp_path / "m"))
+    again = ml.BaselineModel.load(spark, str(tmp_path / "m"))
+    assert again.predictions(table).collect() == model.predictions(table).collect()
+
+
+def test_counts_beyond_whole_numbers(spark):
+    big = 4_000_000_000
+    points = spark.createDataFrame([(0.9, big, 1, big, 1), (0.1, 1, big, big + 1, big + 1)], "score double, pos long, neg long, tp long, fp long")
+    assert metrics.average_precision_of(points).first()[0] == pytest.approx(1.0, abs=1e-6)
+    assert metrics.roc_auc_of(points).first()[0] == pytest.approx(1.0, abs=1e-6)
+
+
+def test_medians_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 20)
+    rng = np.random.default_rng(1)
+    values = {k: np.round(rng.normal(size=n) * 10, 2) for k, n in (("a", 1001), ("b", 400), ("c", 1), ("d", 2))}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [(None, 3.0), (None, 4.0)]
+    counted = spark.createDataFrame(rows, "k string, v double").groupBy("k", "v").count()
+    got = {r.k: r["median"] for r in ordered.medians(counted, ["k"], "v", "count").collect()}
+    assert got == {k: pytest.approx(float(np.median(vs))) for k, vs in values.items()} | {None: 3.5}
+
+
+def test_previous_values_over_sparse_orders(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "FAN_IN", 4)
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 10)
+    orders = np.cumsum(np.random.default_rng(2).integers(1, 10**6, 500))
+    rows = [("hot" if i % 3 else "cold", int(o), i % 11 if i % 5 else None) for i, o in enumerate(orders)]
+    df = ordered.quantile_bucket(spark.createDataFrame(rows, "k string, o long, v long"), "o").withColumnRenamed("__bucket", "b")
+    assert df.select("b").distinct().count() > 20
+    got = {r.o: r.previous for r in ordered.previous_value(df, ["k"], F.col("b"), "o", "v").collect()}
+    before, expected = {}, {}
+    for k, o, v in rows:
+        expected[o], before[k] = before.get(k), v
+    assert got == expected

@@ -50,7 +50,7 @@ def test_windows_need_no_further_shuffle(stored):
     assert plan(align_and_extract(picked, GRID, options)).count("Exchange") == grid_only
 
 
-def test_only_spectra_and_spaced_peaks_use_python(stored):
+def test_only_spectra_use_python(stored):
     def windows(signal):
         options = WindowOptions(60, 30, ratio_columns=(signal,), chunk=500)
         return plan(extract_features_from_windows(stored.select("subject", "timestamp", signal), options))
