@@ -151,13 +151,9 @@ class Scanner:
             if not words or words.count(" ") > largest or next(self.automaton.iter(f" {words} "), None) is None:
                 continue
             own = bigrams(words)
-            best = max(
-                ((dice(own, self.grams[name]), name) for name in self.candidates(own.total())),
-                key=lambda x: (x[0], [-ord(c) for c in x[1]]),
-                default=(0.0, ""),
-            )
-            if best[0] >= self.threshold - 1e-12:
-                found.append((start, end, best[1], best[0]))
+            loss, name = min(((-dice(own, self.grams[name]), name) for name in self.candidates(own.total())), default=(0.0, ""))
+            if -loss >= self.threshold - 1e-12:
+                found.append((start, end, name, -loss))
         return found
 
 
