@@ -19,12 +19,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PART_CHARS = 1 << 16
+# Documents whose tokens are held at once.
+GROUP = 128
 # A space after a character that is neither white space nor a control character.
 SAFE_CUT = re.compile(r"(?<=[^\s\x00-\x20\x7f-\xa0]) ")
 
@@ -53,6 +57,10 @@ def encode_text(coder: tiktoken.Encoding, text: str | None) -> bytes:
     return b"".join(packed)
 
 
+def decode_ids(coder: tiktoken.Encoding, packed: bytes) -> bytes:
+    return coder.decode_bytes(np.frombuffer(packed, "<u4").tolist())
+
+
 def encoded(text: Column, ranks_path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Column:
     """Packed token identifiers (binary) of a text column."""
 
@@ -72,9 +80,7 @@ def decoded(ids: Column, ranks_path: str = RANKS, pattern: str = public_tokenize
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = encoding(ranks_path, pattern)
         for packed in batches:
-            yield pd.Series(
-                [None if p is None else coder.decode_bytes(np.frombuffer(p, "<u4").tolist()) for p in packed], dtype=object
-            )
+            yield pd.Series([None if p is None else decode_ids(coder, p) for p in packed], dtype=object)
 
     return decode(ids)
 
@@ -86,11 +92,24 @@ def round_trip(
     ranks_path: str = RANKS,
     pattern: str = public_tokenizers.PATTERN,
 ) -> DataFrame:
-    """One row per document: identifier, n_tokens, ids (packed), decoded (bytes)."""
-    rows = docs.select(F.col(id_col).alias(id_col), encoded(F.col(text_col).cast("string"), ranks_path, pattern).alias("ids"))
-    return rows.select(
-        id_col,
-        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        "ids",
-        decoded(F.col("ids"), ranks_path, pattern).alias("decoded"),
-    )
+    """One row per document: identifier, n_tokens, ids (packed), decoded (bytes).
+
+    Encoded and decoded in one pass, ``GROUP`` documents at a time, so a worker holds few tokens besides its input.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoding(ranks_path, pattern)
+        for batch in batches:
+            for start in range(0, batch.num_rows, GROUP):
+                some = batch.slice(start, GROUP)
+                ids = [encode_text(coder, text) for text in some.column("text").to_pylist()]
+                decoded_bytes = [decode_ids(coder, packed) for packed in ids]
+                columns = [
+                    some.column("id"), pa.array([len(p) // 4 for p in ids], pa.int64()), pa.array(ids, pa.binary()),
+                    pa.array(decoded_bytes, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids", "decoded"])
+
+    schema = T.StructType([rows.schema["id"]]).add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")
+    return rows.mapInArrow(code, schema).withColumnRenamed("id", id_col)
