@@ -22,6 +22,7 @@ follow each other in the order of their texts; an empty table gives an empty res
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -46,7 +47,7 @@ PERCENTILE = 95
 SEGMENT_TOKENS = 1 << 20
 SEGMENT_DOCS = 4096
 # Pieces that an encoder remembers in each of its two generations.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 # Texts that are encoded together.
 GROUP = 256
 
@@ -60,6 +61,8 @@ class Encoder:
     """Texts to packed little-endian unsigned 32-bit identifiers."""
 
     def __init__(self, path: str):
+        # Spark runs one worker per core; threads of their own would only contend.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a text that spells a special token is ordinary text
         self.new: dict[str, bytes] = {}
@@ -69,24 +72,30 @@ class Encoder:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _learn(self, pieces: set[str]) -> None:
-        missing = []
+    def _look_up(self, missing: set[str]) -> None:
+        """Bring pieces into the new generation, from the old one or from the tokenizer."""
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
-        for piece in pieces.difference(self.new):
-            known = self.old.get(piece)
-            if known is None:
-                missing.append(piece)
-            else:
-                self.new[piece] = known
-        self.new.update(zip(missing, self._encode(missing)))
+        known = self.old
+        self.new.update({p: known[p] for p in missing if p in known})
+        unknown = [p for p in missing if p not in known]
+        self.new.update(zip(unknown, self._encode(unknown)))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """``texts`` are few, so that their pieces fit in memory."""
-        split = [PIECE.findall(t) if PLAIN.fullmatch(t) else None for t in texts]
-        self._learn(set().union(*[s for s in split if s is not None]))
-        for text, pieces in zip(texts, split):
-            yield self._encode([text])[0] if pieces is None else b"".join(map(self.new.__getitem__, pieces))
+        # The tokenizer lowers letters one by one, as Python does for these alphabets.
+        split = [PIECE.findall(t.lower()) if PLAIN.fullmatch(t) else None for t in texts]
+        found = [None if s is None else list(map(self.new.get, s)) for s in split]
+        missing = {p for s, f in zip(split, found) if s and None in f for p, ids in zip(s, f) if ids is None}
+        if missing:
+            self._look_up(missing)
+        for text, pieces, ids in zip(texts, split, found):
+            if pieces is None:
+                yield self._encode([text])[0]
+            elif None in ids:
+                yield b"".join([i if i is not None else self.new[p] for p, i in zip(pieces, ids)])
+            else:
+                yield b"".join(ids)
 
 
 @lru_cache(maxsize=2)
