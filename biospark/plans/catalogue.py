@@ -27,7 +27,6 @@ SHORT_AXES = views.windows_of(20, 10, ratio_columns=AXES)
 LONG = views.windows_of(40, 20, ratio_columns=SIGNALS)
 DENSE = views.windows_of(20, 5, ratio_columns=SIGNALS)
 ON_GRID = views.windows_of(48, 24, 0.25, ratio_columns=SIGNALS)
-MODEL_COLUMNS = ["hrv_hr_mean", "hrv_rmssd", "eda_mean", "eda_slope", "temp_mean", "acc_mag_std"]
 
 
 def query(function: Query) -> Query:
@@ -552,39 +551,66 @@ def per_subject_report(spark, sf_dir):
     return tidy(metrics.per_group_report(views.scored_documents(spark, sf_dir)))
 
 
-# Models (no SQL counterpart)
+# Models: the predictions have no SQL counterpart, what must hold for them has one
 
 
-def _training_windows(spark, sf_dir, columns=None):
+def _training_windows(spark, sf_dir):
     windows = _labelled_windows(spark, sf_dir)
     split = splits.create_stratified_splits(windows)
-    return stage(split.select("window_id", "subject", "label", "split", *(columns or feature_columns(windows.columns))))
+    return stage(split.select("window_id", "subject", "label", "split", *feature_columns(windows.columns)))
+
+
+_FITTED: dict[tuple, tuple[ml.BaselineModel, DataFrame]] = {}
 
 
 def _fit_and_predict(spark, sf_dir, **options):
-    data = _training_windows(spark, sf_dir)
-    model = ml.BaselineModel(**options).fit(data.filter("split = 'train'").drop("split"))
-    return model, model.predictions(data.filter("split = 'test'").drop("split"))
+    """A model at its defaults and its predictions for the test windows; fitted once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(options.items()))
+    if key not in _FITTED:
+        data = _training_windows(spark, sf_dir)
+        model = ml.BaselineModel(**options).fit(data.filter("split = 'train'").drop("split"))
+        _FITTED[key] = model, stage(model.predictions(data.filter("split = 'test'").drop("split")))
+    return _FITTED[key]
+
+
+def _checks(predictions: DataFrame) -> DataFrame:
+    """Per window: what its probabilities add up to, and whether the predicted class is the likeliest one."""
+    shares = [c for c in predictions.columns if c.startswith("prob_")]
+    likeliest = F.element_at(F.create_map(*[x for c in shares for x in (F.lit(c[5:]), F.col(c))]), F.col("predicted_label"))
+    return tidy(predictions.select(
+        "window_id", "subject", "label", sum(map(F.col, shares), F.lit(0.0)).alias("total"),
+        (likeliest == F.greatest(*shares)).cast("int").alias("likeliest")))
 
 
 @query
 def rf_predictions(spark, sf_dir):
-    return tidy(_fit_and_predict(spark, sf_dir, n_estimators=20, max_depth=8)[1])
+    return tidy(_fit_and_predict(spark, sf_dir)[1])
+
+
+@query
+def rf_checks(spark, sf_dir):
+    return _checks(_fit_and_predict(spark, sf_dir)[1])
 
 
 @query
 def gbt_predictions(spark, sf_dir):
-    return tidy(_fit_and_predict(spark, sf_dir, model_type="xgboost", n_estimators=5, max_depth=3)[1])
+    return tidy(_fit_and_predict(spark, sf_dir, model_type="xgboost")[1])
 
 
 @query
 def importance_top20(spark, sf_dir):
-    model, _ = _fit_and_predict(spark, sf_dir, n_estimators=20, max_depth=8)
+    model, _ = _fit_and_predict(spark, sf_dir)
     return model.feature_importance(spark).limit(20)
 
 
+@query
+def importance_checks(spark, sf_dir):
+    """Number of features with an importance, and the sum of all importances."""
+    table = _fit_and_predict(spark, sf_dir)[0].feature_importance(spark)
+    return tidy(table.agg(F.count("*").alias("features"), F.sum("importance").alias("total")))
+
+
 @query
 def cross_validation(spark, sf_dir):
-    data = _training_windows(spark, sf_dir, MODEL_COLUMNS).drop("split")
-    scores = ml.cross_validate_model(data, cv_folds=3, n_estimators=10, max_depth=5)
+    scores = ml.cross_validate_model(_training_windows(spark, sf_dir).drop("split"))
     return tidy(ml.summarize_scores(scores).drop("scores"))

