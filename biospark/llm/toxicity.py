@@ -43,12 +43,12 @@ ROUNDS = 3
 # Copies with an inserted letter that a word to blame is trained with.
 VARIANTS = 2
 THRESHOLD = 0.3
-# Longest word that is one string for the kernel; longer ones are read in overlapping windows.
-WINDOW = 24
+# Longest word that is one string for the kernel; longer ones are read in windows of PIECE letters, STEP apart.
+WINDOW, PIECE, STEP = 24, 12, 4
 # Words whose decisions a worker remembers in each of two generations.
 REMEMBERED = 300_000
-# Characters of a text that are split into words at once.
-CHUNK = 1 << 20
+# Characters of a text that are split into words at once, and words whose decisions are looked up together.
+CHUNK, GROUP_WORDS = 1 << 20, 100_000
 SENTENCE_END = re.compile(r"[.!?\n]+")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 GAP = re.compile(r"\s")
@@ -133,7 +133,7 @@ def pieces_of(word: str) -> list[str]:
     own = letters(word)
     if len(own) <= WINDOW:
         return [own] if own else []
-    return [own[i : i + WINDOW] for i in range(0, len(own) - WINDOW // 2, WINDOW // 2)]
+    return [own[i : i + PIECE] for i in range(0, len(own) - PIECE + STEP, STEP)]
 
 
 @dataclass
@@ -183,30 +183,33 @@ class Scorer:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Per text: highest decision, logarithm of the words above 0, and of their number per 100 words, and 1."""
-        out = np.tile(document_features(np.empty(0), 0), (len(texts), 1))
+        top, hits, total = np.full(len(texts), -1.0), np.zeros(len(texts)), np.zeros(len(texts))
+        for some in self._groups(texts):
+            self._learn(set().union(*[words for _, words in some]))
+            for i, words in some:
+                scores = np.fromiter(map(self.new.__getitem__, words), float, len(words))
+                top[i], hits[i], total[i] = max(top[i], scores.max()), hits[i] + (scores > 0).sum(), total[i] + len(words)
+        rate = 100.0 * hits / np.maximum(total, 1)
+        return np.c_[top, np.log1p(hits), np.log1p(rate), np.ones(len(texts))]
+
+    def _groups(self, texts: list[str | None]) -> Iterator[list[tuple[int, list[str]]]]:
+        """(text's position, words) in groups of bounded size, so that many new words are scored together."""
+        some, size = [], 0
         for i, text in enumerate(texts):
-            high, total = [], 0
             for words in words_in(text or ""):
-                self._learn(set(words))
-                scores = np.fromiter(map(self.new.__getitem__, words), float, len(words))
-                total += len(words)
-                high.append(np.r_[scores[scores > 0], scores.max()])
-            if high:
-                out[i] = document_features(np.concatenate(high), total)
-        return out
+                some.append((i, words))
+                size += len(words)
+                if size >= GROUP_WORDS:
+                    yield some
+                    some, size = [], 0
+        if some:
+            yield some
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         z = self.features(texts) @ self.model.logistic
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def document_features(decisions: np.ndarray, n_words: int) -> np.ndarray:
-    """``decisions`` holds those above 0 (the highest twice) or the highest only."""
-    top = decisions.max(initial=-1.0)
-    hits = max(0, len(decisions) - 1) if top > 0 else 0
-    return np.array([max(top, -1.0), np.log1p(hits), np.log1p(100.0 * hits / max(n_words, 1)), 1.0])
-
-
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Squared hinge loss, minimised by Newton steps over the active set; the last column of x is constant."""
     active, w = np.ones(len(y), bool), np.zeros(x.shape[1])
