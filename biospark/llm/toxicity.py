@@ -9,10 +9,11 @@ Nystroem: with landmarks l_1..l_m the kernel is replaced by the inner product of
 support vector machine is trained there. Its decision is linear in K(x, l), so it is stored as one weight per (hashed)
 subsequence and a word is scored without comparing it with any landmark.
 
-Training on labelled sentences: sentences take the label of their document. In a toxic sentence one word is to blame, at
+Training on labelled sentences: different sentences take the label of their document. In a toxic sentence one word is to blame, at
 first the one with the highest odds of toxic documents, later the one with the highest decision; the words of clean
 sentences are the other class, the hardest ones included after each round. A logistic regression turns a
-document's highest decision, its words over the margin and their share into a probability. The sample is
+document's highest decision, its words over the margin and their share into a probability; it is fitted to documents
+whose words were not learned, weighted to the classes' real shares. The sample is
 bounded: about ``MAX_TRAINING_ROWS`` labelled documents per class (those with the smallest hash of their identifier).
 
 Defined cases: null and empty texts, and texts without a letter, get the score of a document without any suspect word; without a
@@ -40,6 +41,10 @@ BITS = 18
 LANDMARKS = 256
 MAX_TRAINING_ROWS = 3000
 ROUNDS = 3
+# Clean words of each kind (frequent, random, hard) in training, and the log odds that a word to blame must have.
+FREQUENT, LEAST_ODDS = 3000, 1.0
+# Toxic (and clean) documents that the probability must be fitted to.
+LEAST_CALIBRATION = 15
 # Copies with an inserted letter that a word to blame is trained with.
 VARIANTS = 2
 THRESHOLD = 0.3
@@ -224,12 +229,13 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     w = np.zeros(x.shape[1])
     keep = ridge * np.eye(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
+        curve = (x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + keep
+        step = np.linalg.solve(curve, x.T @ (weight * (y - p)) - keep @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -261,78 +267,104 @@ def _landmark_kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 42) -> ToxicityModel:
-    """Learn from labelled documents, in memory; ``fit`` bounds their number."""
+def train(texts: list[str], toxic: list[int], class_weight: tuple[float, float] = (1.0, 1.0), seed: int = 42) -> ToxicityModel:
+    """Learn from labelled documents in random order, in memory; ``fit`` bounds their number.
+
+    Words are learned from the first two thirds of each class, the probability from the rest, whose words the support vector
+    machine has not seen; from all where the rest has fewer than LEAST_CALIBRATION toxic documents. ``class_weight``:
+    how many clean and how many toxic documents one of the sample stands for.
+    """
     y = np.array(toxic, float)
+    weight = np.where(y > 0, class_weight[1], class_weight[0])
     if len(set(toxic)) < 2:
-        return _constant(y)
+        return _constant(y, weight)
+    place = np.where(y > 0, np.cumsum(y) / y.sum(), np.cumsum(1 - y) / (len(y) - y.sum()))
+    rest = place > 2 / 3
+    if y[rest].sum() < LEAST_CALIBRATION or (1 - y)[rest].sum() < LEAST_CALIBRATION:
+        rest = np.ones(len(y), bool)
+        learned = rest
+    else:
+        learned = ~rest
+    model = _learn_words([t for t, k in zip(texts, learned) if k], y[learned], seed)
+    if model is None:
+        return _constant(y, weight)
+    features = Scorer(model).features([t for t, k in zip(texts, rest) if k])
+    model.logistic = _logistic(features, y[rest], weight[rest] / weight[rest].mean())
+    return model
+
+
+def _sentences(texts: list[str], known: dict[str, list[str]]) -> list[list[str]]:
+    """The words (as kernel strings) of every different sentence; copies of documents do not count again."""
+    found: dict[str, None] = {}
+    for text in dict.fromkeys(texts):
+        found.update(dict.fromkeys(s.strip().lower() for s in SENTENCE_END.split(text or "")))
+    out = []
+    for sentence in found:
+        words = sentence.split()
+        for w in words:
+            if w not in known:
+                known[w] = pieces_of(w)
+        if pieces := {p for w in words for p in known[w]}:
+            out.append(sorted(pieces))
+    return out
+
+
+def _learn_words(texts: list[str], y: np.ndarray, seed: int) -> ToxicityModel | None:
+    """The support vector machine; None if no word is to blame."""
     rng = np.random.default_rng(seed)
-    sentences: list[list[str]] = []  # of toxic documents
-    toxic_docs: Counter = Counter()
-    clean_docs: Counter = Counter()
-    for text, label in zip(texts, toxic):
-        seen: set[str] = set()
-        for sentence in SENTENCE_END.split(text or ""):
-            pieces = {p for words in words_in(sentence) for w in words for p in pieces_of(w) if len(p) > 2}
-            seen |= pieces
-            if label and pieces:
-                sentences.append(sorted(pieces))
-        (toxic_docs if label else clean_docs).update(seen)
+    known: dict[str, list[str]] = {}
+    toxic, other = (_sentences([t for t, label in zip(texts, y) if label == k], known) for k in (1, 0))
+    in_toxic, in_other = (Counter(w for pieces in group for w in pieces) for group in (toxic, other))
     odds = {
-        w: np.log((n + 0.5) / (y.sum() + 1)) - np.log((clean_docs[w] + 0.5) / (len(y) - y.sum() + 1))
-        for w, n in toxic_docs.items()
+        w: np.log((n + 0.5) / (len(toxic) + 1)) - np.log((in_other[w] + 0.5) / (len(other) + 1)) for w, n in in_toxic.items()
     }
-    clean = sorted(clean_docs)
-    frequent = [w for w, _ in clean_docs.most_common(3000)]
-    others = [clean[i] for i in rng.permutation(len(clean))[:6000]]
-    negatives = sorted(set(frequent + others))
-    # A word is evidence if several toxic documents have it and clean ones hardly do.
-    decision = {w: o + np.log(toxic_docs[w]) - 3 for w, o in odds.items() if toxic_docs[w] > 1}
+    # Words of clean sentences: the frequent ones and a random choice.
+    clean = sorted(in_other)
+    negatives = {w for w, _ in in_other.most_common(FREQUENT)} | {clean[i] for i in rng.permutation(len(clean))[:FREQUENT]}
+    # A word is evidence if several different toxic sentences have it and clean ones hardly do.
+    decision = {w: o + np.log(in_toxic[w]) - 3 for w, o in odds.items() if in_toxic[w] > 1}
     model = None
     for _ in range(ROUNDS):
         blamed: Counter = Counter()
-        for pieces in sentences:
+        for pieces in toxic:
             best = max(pieces, key=lambda w: (decision.get(w, -9.0), w))
-            if decision.get(best, -9.0) > 0:
+            if decision.get(best, -9.0) > 0 and odds[best] > LEAST_ODDS and in_toxic[best] > 1:
                 blamed[best] += 1
-        blamed = Counter({w: n for w, n in blamed.items() if odds.get(w, 0) > 0.5})
         if not blamed:
             break
-        positives = [w for w, _ in blamed.most_common(4000)]
-        negatives = [w for w in negatives if w not in blamed]
+        positives = [w for w, _ in blamed.most_common(FREQUENT)]
+        negatives = sorted(set(negatives) - set(blamed))
+        often = sorted(negatives, key=lambda w: (-in_other[w], w))
         marks = positives[: LANDMARKS // 2]
-        marks += [negatives[i] for i in rng.permutation(len(negatives))[: LANDMARKS - len(marks)]]
-        marks = list(dict.fromkeys(marks))
+        chosen = [negatives[i] for i in rng.permutation(len(negatives))]
+        marks = list(dict.fromkeys(marks + often[: LANDMARKS // 4] + chosen))[:LANDMARKS]
         values, vectors = np.linalg.eigh(_landmark_kernel(marks, marks))
-        usable = values > 1e-6
+        usable = values > 1e-3 * values.max()
         root = vectors[:, usable] / np.sqrt(values[usable])
         disguised = [(_disguised(w, rng), 0.5 * blamed[w]) for w in positives if len(w) > 4 for _ in range(VARIANTS)]
         words = positives + [v for v, _ in disguised] + negatives
         x = np.c_[_landmark_kernel(words, marks) @ root, np.ones(len(words))]
         sign = np.r_[np.ones(len(words) - len(negatives)), -np.ones(len(negatives))]
-        weight = np.r_[np.sqrt([blamed[w] for w in positives] + [n for _, n in disguised]), np.ones(len(negatives))]
-        w = _svm(x, sign, weight, ridge=0.1)
+        # Words weigh by the root of the sentences they stand for.
+        stands = [blamed[w] for w in positives] + [n for _, n in disguised] + [max(1, in_other[w]) for w in negatives]
+        w = _svm(x, sign, np.sqrt(stands))
         weights = np.zeros(1 << BITS)
         row, feature, value = subsequences(marks)
         np.add.at(weights, feature, (root @ w[:-1])[row] * value)
         model = ToxicityModel(weights, float(w[-1]), np.zeros(4))
         # The next round blames by the new decisions and learns from the clean words that came too close.
-        pieces = sorted(toxic_docs)
-        decision = dict(zip(pieces, model.decisions(pieces)))
+        seen = sorted(in_toxic)
+        decision = dict(zip(seen, model.decisions(seen)))
         scored = model.decisions(clean)
         hard = np.flatnonzero(scored > -0.5)
-        hard = hard[np.argsort(-scored[hard], kind="stable")][:4000]
-        negatives = sorted(set(negatives) | {clean[i] for i in hard if odds.get(clean[i], -9.0) < 0.5})
-    if model is None:
-        return _constant(y)
-    features = Scorer(model).features(texts)
-    model.logistic = _logistic(features, y)
+        hard = hard[np.argsort(-scored[hard], kind="stable")][:FREQUENT]
+        negatives = set(negatives) | {clean[i] for i in hard if odds.get(clean[i], -9.0) < LEAST_ODDS}
     return model
 
 
-def _constant(y: np.ndarray) -> ToxicityModel:
+def _constant(y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
     """Every score is the share of toxic labels (0 without labels)."""
-    share = min(max(float(y.mean()) if len(y) else 0.0, 1e-13), 1 - 1e-13)
+    share = min(max(float(y @ weight / weight.sum()) if len(y) else 0.0, 1e-13), 1 - 1e-13)
     return ToxicityModel(np.zeros(1 << BITS), -1.0, np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))]))
 
 
@@ -356,8 +388,12 @@ def fit(
     # About max_rows rows per class, so the join needs no shuffle of the texts.
     chosen = F.broadcast(known.filter(place < limit))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
-    sample = rows.filter("text is not null").toPandas().sort_values(["id", "text"])
-    return train(sample["text"].tolist(), sample["toxic"].clip(0, 1).tolist())
+    sample = rows.filter("text is not null").withColumn("place", F.xxhash64("id")).toPandas()
+    sample = sample.sort_values(["place", "id", "text"])
+    toxic = (sample["toxic"] > 0).astype(int)
+    counts = {k: sum(n for label, n in sizes.items() if (label > 0) == bool(k)) for k in (0, 1)}
+    stands_for = tuple(counts[k] / max(1, (toxic == k).sum()) for k in (0, 1))
+    return train(sample["text"].tolist(), toxic.tolist(), stands_for)
 
 
 def scores(text: Column, model: ToxicityModel, docs: DataFrame) -> Column:
