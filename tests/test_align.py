@@ -139,3 +139,13 @@ def test_bucket_mean(spark):
 def test_other_types_stay_at_their_sample(spark):
     table = samples(spark, [("a", 0.0, 1.0), ("a", 2.0, 3.0)]).withColumn("worn", F.lit(True))
     assert collect(align_to_1hz(table), "worn") == [(True,), (None,), (True,)]
+
+
+def test_both_ways_across_chunk_borders_agree(spark):
+    """A gap limit up to a quarter of a chunk copies samples over its border, a longer one carries values."""
+    times = [i for i in range(0, 400) if i % 37 < 5]
+    table = samples(spark, [("f1", float(i), 50.0 + i % 11) for i in times])
+    for gap in ("10s", "11s", "30s", "32s"):
+        small = align_to_grid(table, GridOptions(max_gap=gap, chunk=40)).collect()
+        large = align_to_grid(table, GridOptions(max_gap=gap)).collect()
+        assert sorted(map(str, small)) == sorted(map(str, large))
