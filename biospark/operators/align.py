@@ -132,22 +132,24 @@ def dense_chunks(df: DataFrame, options: GridOptions, size: int, overlap: int =
     margin = (halo or 0) * options.step_us
     reach = overlap * options.step_us + margin
 
-    rows = _usable(df, series, ts)
-    if options.on_duplicate == "first":
-        first = Window.partitionBy(*series, ts).orderBy(options.tie_breaker)
-        rows = rows.withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").drop("__rank")
-    rows = rows.withColumn("__us", micros(F.col(ts)))
+    rows = _usable(df, series, ts).withColumn("__us", micros(F.col(ts)))
 
     marks = _markers(_bounds(rows, series, options), series, span, margin, options.step_us)
     carried = text + (numeric if halo is None else [])
     if carried:
-        marks = _with_carried(marks, rows, series, carried, text, span, options.step_us)
+        single = _first_of_instant(rows, [*series, "__us"], options.tie_breaker) if options.on_duplicate == "first" else rows
+        marks = _with_carried(marks, single, series, carried, text, span, options.step_us)
     chunks = F.sequence(_floor_div(F.col("__us") - reach, span), _floor_div(F.col("__us") + margin, span))
     samples = rows.withColumn("__chunk", F.explode(chunks)).withColumn("__sample", F.lit(True))
     chunked = samples.unionByName(marks, allowMissingColumns=True).repartition(*series, "__chunk")
     return _densify(chunked, series, columns, ts, numeric, text, options, span, overlap, halo)
 
 
+def _first_of_instant(rows: DataFrame, instant: list[str], tie_breaker: str) -> DataFrame:
+    first = Window.partitionBy(*instant).orderBy(tie_breaker)
+    return rows.withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").drop("__rank")
+
+
 def _usable(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     for c in [*keys, ts]:
         df = df.filter(F.col(c).isNotNull())
@@ -226,6 +228,9 @@ def _densify(
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     over = f"over (partition by {', '.join(f'`{k}`' for k in series)}, __chunk order by __us, __sample)"
 
+    if options.on_duplicate == "first":
+        # Copies of an instant share a chunk, in whose partitioning and order this runs.
+        chunked = _first_of_instant(chunked, [*series, "__chunk", "__us", "__sample"], options.tie_breaker)
     # The marker is the first row of its chunk. Chunks without one lie outside the series.
     attached = {c: F.first(c, True).over(so_far) for c in ("__anchor", "__n")}
     if options.on_duplicate == "error":
