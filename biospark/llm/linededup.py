@@ -97,6 +97,6 @@ def deduplicate_lines(
     return left.select(
         F.col("id").alias(id_col),
         F.array_join(F.transform("left", lambda i: F.get(F.col("lines"), i)), "\n").alias("clean_text"),
-        F.size("lines").alias("n_lines"),
-        F.size("deleted").alias("n_deleted"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size("deleted").cast("long").alias("n_deleted"),
     )

@@ -110,6 +110,24 @@ ORACLE: dict[str, str] = {
               FROM w LEFT JOIN c USING (r)),
         b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
         SELECT *, NOT base_failed AND n_words - n_kept_words <= 0.5 * n_words AS kept FROM b""",
+    "op7_line_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        a AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM d),
+        l AS (SELECT *, len(regexp_extract_all(line, {_quoted(WORD)})) AS w FROM a WHERE regexp_matches(line, {_quoted(WORD_CLASS)})),
+        s AS (SELECT *, sum(w) OVER (PARTITION BY r ORDER BY pos) - w AS start FROM l),
+        n AS (SELECT x.r, x.doc_id, x.pos, x.start, list(y.line ORDER BY y.pos) AS near, list(y.pos ORDER BY y.pos) AS places,
+                count(*) FILTER (y.start < x.start + {linededup.MIN_WORDS}) AS size,
+                max(y.start + y.w) FILTER (y.start < x.start + {linededup.MIN_WORDS}) AS stop
+              FROM s x JOIN s y ON x.r = y.r AND y.start BETWEEN x.start AND x.start + {2 * linededup.MIN_WORDS}
+              GROUP BY x.r, x.doc_id, x.pos, x.start),
+        w AS (SELECT *, near[1:size] AS content FROM n WHERE stop >= start + {linededup.MIN_WORDS}),
+        f AS (SELECT *, first_value(near) OVER q AS earliest, row_number() OVER q AS k FROM w
+              WINDOW q AS (PARTITION BY content ORDER BY doc_id, pos)),
+        c AS (SELECT r, places, [coalesce(z[1] = z[2], false) FOR z IN list_zip(near, earliest)] AS agree FROM f WHERE k > 1),
+        g AS (SELECT DISTINCT r, unnest(places[1:coalesce(list_position(agree, false) - 1, len(agree))]) AS pos FROM c)
+        SELECT doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY a.pos) FILTER (g.pos IS NULL), '')) AS clean_sha256
+        FROM a LEFT JOIN g ON a.r = g.r AND a.pos = g.pos GROUP BY a.r, doc_id""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept,
