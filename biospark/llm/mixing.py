@@ -247,22 +247,20 @@ def mixed_documents(docs: DataFrame, options: MixOptions = MixOptions(), **colum
     sources = stage(source_targets(sized, options))
     spans = pieces_of(sized, sources, options).join(slots_of(sources, options), ["sid", "block"])
     copies = spans.groupBy("rid", "epoch").agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("spans"))
+    places = F.flatten(
+        F.transform("spans", lambda s: F.sequence(s["from_word"].cast("int"), s["to_word"].cast("int") - 1))
+    )
     word_with_gap = F.lit(f"{WORD}{GAP_CLASS}*")
     cut = (
         kept.join(copies, "rid")
         .select("doc", "spans", F.regexp_extract_all(F.col("doc").getField(text_col), word_with_gap, F.lit(0)).alias("words"))
         .select(
             "doc",
-            F.array_join(
-                F.flatten(
-                    F.transform(
-                        "spans",
-                        lambda s: F.slice(
-                            F.col("words"), (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")
-                        ),
-                    )
-                ),
-                "",
+            # Word by word: a slice would copy all words for every span. The words are named twice, so that Spark keeps them as
+            # a column instead of splitting the text for every word.
+            F.when(
+                F.size("words") > 0,
+                F.array_join(F.transform(places, lambda i: F.get(F.col("words"), i)), ""),
             ).alias("mixed"),
         )
     )
