@@ -1,15 +1,15 @@
 """Line deduplication by winnowing.
 
-Lines without a word are left out of the sequence and stay. For every line s of a document the window is s and the lines
-after it until the window holds ``min_words`` words (a document's last lines may hold too few and have no
-window). Winnowing keeps the line with the smallest hash of each window: two documents that share a run of at least
-``min_words`` words share the window at its start, hence a kept line.
+Lines without a word are left out of the sequence and stay. For every line s of a document the forward window is s and
+the lines after it until the window holds ``min_words`` words, the backward window is s and the lines before it until it
+does (a document's last or first lines may hold too few and have no such window). A line goes if it lies in a run of at
+least ``min_words`` words that also stands at any earlier place: the forward window of such a run's first line and the
+backward windows of the lines after that one's end lie inside the run and cover it, so all lines of windows whose
+contents stand at an earlier place are deleted, and no others. Earlier is the order of document identifiers, then of lines.
 
-Windows whose kept line's hash is kept at one place only are dropped. The others are joined by their contents with the
-earliest place of the same contents, in the order of document identifiers, then of lines. Each later match is extended
-line by line. To the left, every further line of a shared run starts a shared window itself; to the right, at most
-the lines that the next window would need can follow, and these are compared with those after the earliest place.
-All lines of extended later matches are deleted.
+Winnowing keeps the line with the smallest hash of each window: places that share a window share its kept line. Windows
+whose kept line's hash is kept at one place only are dropped. The others are joined by their contents with the earliest
+place of the same contents.
 
 A passage that very many documents share is one group of places. Its earliest place is a minimum that is combined
 before the shuffle, and the way back is a join on stored tables whose skewed keys adaptive execution splits; places
@@ -44,45 +44,49 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """One row per window: id, key, at (its first line), content (hash of its lines), mark (their smallest hash), size,
-    and for its lines and those that may extend it: hs (hashes), ats (places)."""
+    """One row per window: id, key, at (its first line), ats (the places of its lines), content (two hashes of its lines),
+    mark (their smallest hash), kept (its place)."""
     document = Window.partitionBy("id", "key")
-    placed = lines.withColumn(
-        "start", F.sum("w").over(document.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")
+    placed = lines.withColumn("stop", F.sum("w").over(document.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.withColumn("start", F.col("stop") - F.col("w"))
+    # Every line has a word, so starts and stops grow and a frame of words is a bounded list of lines.
+    item = F.struct("at", "h", "start", "stop")
+    listed = placed.select(
+        "id", "key", "start", "stop",
+        F.collect_list(item).over(document.orderBy("start").rangeBetween(0, min_words - 1)).alias("after"),
+        F.collect_list(item).over(document.orderBy("stop").rangeBetween(1 - min_words, 0)).alias("before"),
+    )
+    forward = F.when(F.element_at("after", -1)["stop"] - F.col("start") >= min_words, F.col("after"))
+    # One that holds enough words only with its last line is the forward window of its first line.
+    first = F.col("before")[0]["start"]
+    backward = F.when(
+        (F.col("stop") - first >= min_words) & (F.element_at("before", -1)["start"] - first >= min_words), F.col("before")
     )
-    # Every line has a word, so starts grow and a frame of words is a bounded list of lines.
-    near = document.orderBy("start").rangeBetween(0, 2 * min_words)
-    listed = placed.select("id", "key", "at", "start", F.collect_list(F.struct("at", "h", "start", "w")).over(near).alias("near"))
-    end = F.col("start") + min_words
-    inside = F.filter("near", lambda x: x["start"] < end)
-    sized = listed.withColumn("size", F.size(inside)).filter(
-        F.element_at("near", F.col("size"))["start"] + F.element_at("near", F.col("size"))["w"] >= end
-    )
-    hs = sized.select("id", "key", "at", "size", F.col("near.h").alias("hs"), F.col("near.at").alias("ats"))
-    own = F.slice("hs", F.lit(1), F.col("size"))
-    return hs.withColumns({"content": F.xxhash64(own, "size"), "mark": F.array_min(own)})
+    found = listed.select("id", "key", F.explode(F.array(forward, backward)).alias("own")).filter("own is not null")
+    hs = found.select("id", "key", F.col("own.at").alias("ats"), F.col("own.h").alias("hs"))
+    marked = hs.withColumns({
+        "at": F.col("ats")[0],
+        "content": F.struct(F.xxhash64("hs", F.size("hs")).alias("a"), F.xxhash64(F.lit(1), "hs").alias("b")),
+        "mark": F.array_min("hs"),
+    })
+    return marked.withColumn("kept", F.element_at("ats", F.array_position("hs", F.col("mark")).cast("int"))).drop("hs")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """For ``docs(id, key, text)``: id, key and ``deleted``, the places of the lines to delete, where there are any."""
     windows = stage(_windows(_lines(docs), min_words))
-    kept = F.element_at("ats", F.array_position("hs", F.col("mark")).cast("int"))
-    place = F.struct("id", "key", kept.alias("kept"))
+    place = F.struct("id", "key", "kept")
     marks = windows.groupBy("mark").agg(F.min(place).alias("low"), F.max(place).alias("high"))
     shared = stage(marks.filter("low <> high").select("mark"))
-    candidates = stage(windows.join(shared, "mark", "left_semi"))
-    first = F.min(F.struct("id", "key", "at", "hs", "size"))
+    candidates = stage(windows.join(shared, "mark", "left_semi").select("content", "id", "key", "at", "ats"))
+    place = F.struct("id", "key", "at")
     earliest = stage(
-        candidates.groupBy("content").agg(first.alias("f"), F.count("*").alias("n")).filter("n > 1").select("content", "f")
+        candidates.groupBy("content").agg(F.min(place).alias("f"), F.max(place).alias("l")).filter("f <> l").select("content", "f")
     )
     later = candidates.join(earliest, "content").filter(
         ~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("key") == F.col("f.key")) & (F.col("at") == F.col("f.at")))
     )
-    # Lines in common: the window's and those after it up to the first difference.
-    agree = F.zip_with("hs", "f.hs", lambda a, b: a.eqNullSafe(b))
-    common = F.array_position(F.concat(agree, F.array(F.lit(False))), F.lit(False)) - 1
-    deleted = F.slice("ats", F.lit(1), F.least(common, F.size("ats")).cast("int"))
-    return later.select("id", "key", F.explode(deleted).alias("at")).groupBy("id", "key").agg(F.collect_set("at").alias("deleted"))
+    return later.select("id", "key", F.explode("ats").alias("at")).groupBy("id", "key").agg(F.collect_set("at").alias("deleted"))
 
 
 def deduplicate_lines(

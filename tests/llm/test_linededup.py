@@ -105,3 +105,54 @@ def test_every_shared_run_keeps_a_mark(spark):
     docs = table(spark, rows).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
     marks = Counter(r["mark"] for r in linededup._windows(linededup._lines(docs), 50).select("id", "mark").distinct().collect())
     assert max(marks.values()) == 2
+
+
+def brute_runs(texts, need):
+    """(document, line) of every later place of a run of ``need`` words that stands at an earlier place, by all runs."""
+    runs, gone = {}, set()
+    for n, text in enumerate(texts):
+        own = [(i, x, len(x.split())) for i, x in enumerate(text.split("\n")) if x.strip()]
+        for s in range(len(own)):
+            for e in range(s, len(own)):
+                if sum(w for _, _, w in own[s : e + 1]) >= need:
+                    earlier = runs.setdefault(tuple(x for _, x, _ in own[s : e + 1]), (n, s))
+                    gone |= {(n, i) for i, _, _ in own[s : e + 1]} if earlier != (n, s) else set()
+    return gone
+
+
+def deleted_lines(spark, texts, need):
+    from pyspark.sql import functions as F
+
+    docs = table(spark, list(enumerate(texts))).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
+    return {(r["id"], at) for r in linededup.repeated_lines(docs, need).collect() for at in r["deleted"]}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_against_all_runs_at_any_earlier_place(spark, seed):
+    rng = random.Random(seed)
+    passages = [prose(200 + i, rng.randint(8, 60), rng.randint(2, 15)).split("\n") for i in range(6)]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            cut = rng.choice(passages)
+            a = rng.randrange(len(cut))
+            parts += cut[a : a + rng.randint(1, 6)] if rng.random() < 0.8 else prose(rng.random(), 12, 4).split("\n")
+            if rng.random() < 0.2:
+                parts.append("  ")
+        texts.append("\n".join(parts))
+    expected = brute_runs(texts, 10)
+    assert deleted_lines(spark, texts, 10) == expected and len(expected) > 100
+
+
+def test_the_earliest_place_may_end_before_the_run(spark):
+    a, c = prose(1, 50), prose(2, 20, 10)
+    texts = [f"{a}\n{prose(3, 30)}"] + [f"{a}\n{c}\n{prose(10 + i, 30)}" for i in range(5)]
+    n = a.count("\n") + 1
+    whole = {(i, at) for i in range(2, 6) for at in range(n + 2)} | {(1, at) for at in range(n)}
+    assert deleted_lines(spark, texts, 50) == whole == brute_runs(texts, 50)
+
+
+def test_short_line_after_a_very_long_one(spark):
+    text = "\n".join([prose(1, 9, 9), prose(2, 160, 160), prose(3, 4, 4)])
+    assert deleted_lines(spark, [text + "\n\nsome", text], 50) == {(1, 0), (1, 1), (1, 2)}
