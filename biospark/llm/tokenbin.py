@@ -2,7 +2,8 @@
 
 Encoding: the tokenizers library, its file given by path. ASCII white space never lies inside a token of a pre-split
 that drops white space, so for plain Latin texts without apostrophes the runs of letters, of digits and of punctuation
-are encoded once each and remembered; every other text is encoded as it stands.
+are encoded once each and remembered; every other text is encoded as it stands, as is one that spells an added token
+of the vocabulary (``<|endoftext|>``), which the library gives that token's identifier.
 
 File format: documents are sorted by identifier and dealt out in ranges, one row of the Parquet output per segment of a
 range. A segment holds
@@ -64,7 +65,8 @@ class Encoder:
         # Spark runs one worker per core; threads of their own would only contend.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a text that spells a special token is ordinary text
+        added = [re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)")
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -81,10 +83,14 @@ class Encoder:
         unknown = [p for p in missing if p not in known]
         self.new.update(zip(unknown, self._encode(unknown)))
 
+    def _pieces(self, text: str) -> list[str] | None:
+        lowered = text.lower()
+        return None if self.added.search(lowered) else PIECE.findall(lowered)
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """``texts`` are few, so that their pieces fit in memory."""
         # The tokenizer lowers letters one by one, as Python does for these alphabets.
-        split = [PIECE.findall(t.lower()) if PLAIN.fullmatch(t) else None for t in texts]
+        split = [self._pieces(t) if PLAIN.fullmatch(t) else None for t in texts]
         found = [None if s is None else list(map(self.new.get, s)) for s in split]
         missing = {p for s, f in zip(split, found) if s and None in f for p, ids in zip(s, f) if ids is None}
         if missing:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from biospark.llm import tokenbin
-from tests.llm.conftest import prose
+from tests.llm.conftest import prose, table
 
 TOKENS = st.lists(st.one_of(st.integers(0, 60_000), st.integers(0, 2**32 - 1)), min_size=1, max_size=300)
 CODER = Tokenizer.from_file(tokenbin.VOCABULARY)
@@ -74,3 +74,15 @@ def test_files_are_small_and_indexed(spark, odd, odd_rows, tmp_path):
 
 def test_empty_table(nothing, tmp_path):
     assert tokenbin.token_report(nothing, str(tmp_path / "t")).count() == 0
+
+
+def test_texts_that_spell_an_added_token(spark, tmp_path):
+    library = Tokenizer.from_file(tokenbin.VOCABULARY)
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "A <|ENDOFTEXT|> b", "x<|endoftext|><|endoftext|>y\n<|start", "é中 <|endoftext|>", "a b"]
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0] == [320, 49407, 321]
+    packed = [np.array(i, "<u4").tobytes() for i in ids]
+    assert list(tokenbin.encoder(tokenbin.VOCABULARY).encode(texts)) == packed
+    got = tokenbin.token_report(table(spark, list(enumerate(texts))), str(tmp_path / "t")).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in got] == [len(i) + 1 for i in ids]
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(p + np.array([1], "<u4").tobytes()) for p in packed]
