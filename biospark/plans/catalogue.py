@@ -560,17 +560,16 @@ def _training_windows(spark, sf_dir):
     return stage(split.select("window_id", "subject", "label", "split", *feature_columns(windows.columns)))
 
 
-_FITTED: dict[tuple, tuple[ml.BaselineModel, DataFrame]] = {}
+def _fit(spark, sf_dir, **options) -> tuple[ml.BaselineModel, DataFrame]:
+    """A model at its defaults and the windows it was fitted for; every query reads its tables and fits its own."""
+    data = _training_windows(spark, sf_dir)
+    return ml.BaselineModel(**options).fit(data.filter("split = 'train'").drop("split")), data
 
 
-def _fit_and_predict(spark, sf_dir, **options):
-    """A model at its defaults and its predictions for the test windows; fitted once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, *sorted(options.items()))
-    if key not in _FITTED:
-        data = _training_windows(spark, sf_dir)
-        model = ml.BaselineModel(**options).fit(data.filter("split = 'train'").drop("split"))
-        _FITTED[key] = model, stage(model.predictions(data.filter("split = 'test'").drop("split")))
-    return _FITTED[key]
+def _fit_and_predict(spark, sf_dir, **options) -> DataFrame:
+    """The predictions for the test windows."""
+    model, data = _fit(spark, sf_dir, **options)
+    return stage(model.predictions(data.filter("split = 'test'").drop("split")))
 
 
 def _checks(predictions: DataFrame) -> DataFrame:
@@ -584,29 +583,29 @@ def _checks(predictions: DataFrame) -> DataFrame:
 
 @query
 def rf_predictions(spark, sf_dir):
-    return tidy(_fit_and_predict(spark, sf_dir)[1])
+    return tidy(_fit_and_predict(spark, sf_dir))
 
 
 @query
 def rf_checks(spark, sf_dir):
-    return _checks(_fit_and_predict(spark, sf_dir)[1])
+    return _checks(_fit_and_predict(spark, sf_dir))
 
 
 @query
 def gbt_predictions(spark, sf_dir):
-    return tidy(_fit_and_predict(spark, sf_dir, model_type="xgboost")[1])
+    return tidy(_fit_and_predict(spark, sf_dir, model_type="xgboost"))
 
 
 @query
 def importance_top20(spark, sf_dir):
-    model, _ = _fit_and_predict(spark, sf_dir)
+    model, _ = _fit(spark, sf_dir)
     return model.feature_importance(spark).limit(20)
 
 
 @query
 def importance_checks(spark, sf_dir):
     """Number of features with an importance, and the sum of all importances."""
-    table = _fit_and_predict(spark, sf_dir)[0].feature_importance(spark)
+    table = _fit(spark, sf_dir)[0].feature_importance(spark)
     return tidy(table.agg(F.count("*").alias("features"), F.sum("importance").alias("total")))
 
 

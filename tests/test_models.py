@@ -235,3 +235,27 @@ def test_previous_values_over_sparse_orders(spark, monkeypatch):
     for k, o, v in rows:
         expected[o], before[k] = before.get(k), v
     assert got == expected
+
+
+def known_windows(spark, leading):
+    """Windows of a train and a test split in which ``leading`` tells the labels apart and the others are noise."""
+    rng = random.Random(7)
+    names = ["eda_mean", "hrv_hr_mean", "temp_mean"]
+    rows = []
+    for i in range(160):
+        stress = i % 2
+        values = [rng.gauss(3 * stress if n == leading else 0, 1) for n in names]
+        rows.append((f"w{i}", f"s{i % 8}", "stress" if stress else "baseline", "test" if i % 8 == 7 else "train", *values))
+    columns = ", ".join(f"{n} double" for n in names)
+    return spark.createDataFrame(rows, f"window_id string, subject string, label string, split string, {columns}")
+
+
+def test_queries_fit_the_tables_as_they_are(spark, monkeypatch):
+    from biospark.plans import catalogue
+
+    leads, reads = [], []
+    for leading in ("hrv_hr_mean", "temp_mean"):
+        monkeypatch.setattr(catalogue, "_training_windows", lambda *_: reads.append(leading) or known_windows(spark, leading))
+        leads.append(catalogue.QUERIES["importance_top20"](spark, "a-folder-of-this-test").first()["feature"])
+        catalogue.QUERIES["rf_checks"](spark, "a-folder-of-this-test")
+    assert leads == ["hrv_hr_mean", "temp_mean"] and len(reads) == 4
