@@ -259,3 +259,14 @@ def test_queries_fit_the_tables_as_they_are(spark, monkeypatch):
         leads.append(catalogue.QUERIES["importance_top20"](spark, "a-folder-of-this-test").first()["feature"])
         catalogue.QUERIES["rf_checks"](spark, "a-folder-of-this-test")
     assert leads == ["hrv_hr_mean", "temp_mean"] and len(reads) == 4
+
+
+def test_importance_of_a_known_leading_feature(spark, monkeypatch):
+    from biospark.plans import catalogue
+
+    monkeypatch.setattr(catalogue, "_training_windows", lambda *_: known_windows(spark, "temp_mean"))
+    rows = catalogue.QUERIES["importance_top20"](spark, "a-folder-of-this-test").collect()
+    weights = [r["importance"] for r in rows]
+    assert rows[0]["feature"] == "temp_mean" and weights == sorted(weights, reverse=True)
+    assert {r["feature"] for r in rows} == {"eda_mean", "hrv_hr_mean", "temp_mean"}
+    assert weights[0] > 0.5 and sum(weights) == pytest.approx(1)
