@@ -2,7 +2,7 @@
 
 1. Every text gets a 64-bit fingerprint from its word shingles.
 2. Equal fingerprints are one class; copies never become pairs.
-3. A tree is fitted to a bounded sample of the classes. Each inner node has a vantage point v and a radius m:
+3. A tree is fitted to a small, bounded sample of the classes. Each inner node has a vantage point v and a radius m:
    fingerprints with d(x, v) <= m + r go left, those with d(x, v) > m go right (r: maximum distance of a
    link). By the triangle inequality two linked fingerprints whose distances to v lie on different sides
    of m differ by r at most, so both are in the left shard; every other linked pair shares a side. Fingerprints
@@ -175,12 +175,16 @@ def shard_links(points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(a), np.concatenate(b)
 
 
+def _sample(classes: DataFrame, total: int) -> DataFrame:
+    """``SAMPLE_PER_SHARD`` of ``SHARD_ROWS`` fingerprints, a small part of tables of any size, ``SAMPLE_ROWS`` at most."""
+    share = min(SAMPLE_PER_SHARD / SHARD_ROWS, SAMPLE_ROWS / max(total, 1))
+    return classes.filter(F.pmod(F.xxhash64("fp", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * share))
+
+
 def near_links(classes: DataFrame, reach: int = 2) -> DataFrame:
     """Links (a, b) between the distinct fingerprints in column ``fp`` that connect what ``reach`` connects."""
     total = classes.count()
-    wanted = min(total, SAMPLE_ROWS)
-    share = F.pmod(F.xxhash64("fp", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * wanted / max(total, 1))
-    sample = np.sort(classes.filter(share).select("fp").toPandas()["fp"].to_numpy("int64").view(np.uint64))
+    sample = np.sort(_sample(classes, total).select("fp").toPandas()["fp"].to_numpy("int64").view(np.uint64))
     tree = Tree.fit(sample, -(-total // SHARD_ROWS), reach)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

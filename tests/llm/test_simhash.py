@@ -135,3 +135,17 @@ def test_near_copies_meet_and_one_stays(spark):
 def test_empty_table(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
     assert simhash.drop_near_duplicates(nothing).count() == 0
+
+
+def test_sample_is_a_small_part_of_a_middle_table(spark, monkeypatch):
+    sizes, fit = [], simhash.Tree.fit
+    monkeypatch.setattr(simhash.Tree, "fit", lambda sample, *a: sizes.append(len(sample)) or fit(sample, *a))
+    points = clusters(3, 8000, 4, 2)
+    classes = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long").repartition(4)
+    links = simhash.near_links(classes, 2).collect()
+    assert 0 < sizes[0] < len(points) / 64
+    place = {int(p): i for i, p in enumerate(points.view(np.int64))}
+    got = joined(len(points), [(place[r["a"]], place[r["b"]]) for r in links])
+    a, b = simhash.shard_links(points, 2)
+    whole = joined(len(points), [(place[int(x)], place[int(y)]) for x, y in zip(a.view(np.int64), b.view(np.int64))])
+    assert got == whole
