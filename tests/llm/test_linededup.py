@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import random
-import re
 from collections import Counter
 
 import pytest
@@ -10,33 +9,27 @@ from biospark.llm import linededup
 from tests.llm.conftest import prose, table
 
 
+def brute_runs(texts, need):
+    """(document, line) of every later place of a run of ``need`` words that stands at an earlier place, by all runs."""
+    runs, gone = {}, set()
+    for n, text in enumerate(texts):
+        own = [(i, x, len(x.split())) for i, x in enumerate(text.split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
+        for s in range(len(own)):
+            words = 0
+            for e in range(s, len(own)):
+                words += own[e][2]
+                if words >= need:
+                    earlier = runs.setdefault(tuple(x for _, x, _ in own[s : e + 1]), (n, s))
+                    gone |= {(n, i) for i, _, _ in own[s : e + 1]} if earlier != (n, s) else set()
+    return gone
+
+
 def brute(rows, need):
-    """Deleted lines per (doc_id, text): later occurrences of windows of ``need`` words, extended to the right."""
+    """Deleted lines per (doc_id, text)."""
     docs = sorted({(r[0], r[1] or "") for r in rows}, key=lambda d: (d[0] is not None, d[0] or 0))
-    lines = [[(i, x, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for i, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)] for _, t in docs]
-    first, deleted = {}, {d: set() for d in docs}
-
-    def window(own, s):
-        words = 0
-        for e in range(s, len(own)):
-            words += own[e][2]
-            if words >= need:
-                return tuple(x for _, x, _ in own[s : e + 1])
-        return None
-
-    for n, own in enumerate(lines):
-        for s in range(len(own)):
-            w = window(own, s)
-            if w is None:
-                continue
-            if w not in first:
-                first[w] = (n, s)
-                continue
-            m, t = first[w]
-            k = 0
-            while s + k < len(own) and t + k < len(lines[m]) and own[s + k][1] == lines[m][t + k][1]:
-                deleted[docs[n]].add(own[s + k][0])
-                k += 1
+    deleted = {d: set() for d in docs}
+    for n, line in brute_runs([t for _, t in docs], need):
+        deleted[docs[n]].add(line)
     return deleted
 
 
@@ -107,19 +100,6 @@ def test_every_shared_run_keeps_a_mark(spark):
     assert max(marks.values()) == 2
 
 
-def brute_runs(texts, need):
-    """(document, line) of every later place of a run of ``need`` words that stands at an earlier place, by all runs."""
-    runs, gone = {}, set()
-    for n, text in enumerate(texts):
-        own = [(i, x, len(x.split())) for i, x in enumerate(text.split("\n")) if x.strip()]
-        for s in range(len(own)):
-            for e in range(s, len(own)):
-                if sum(w for _, _, w in own[s : e + 1]) >= need:
-                    earlier = runs.setdefault(tuple(x for _, x, _ in own[s : e + 1]), (n, s))
-                    gone |= {(n, i) for i, _, _ in own[s : e + 1]} if earlier != (n, s) else set()
-    return gone
-
-
 def deleted_lines(spark, texts, need):
     from pyspark.sql import functions as F
 
