@@ -41,8 +41,9 @@ LEAST = 100
 TOP = 2000
 MODULUS = 64
 ROWS, LEAST_BITS, MOST_BITS = 2, 16, 24
-# Bytes of text that are parsed or counted together, and parts a lower-casing table maps bytes by.
-BATCH = 1 << 22
+# Bytes of text, and rows, that are parsed or counted together.
+BATCH = 1 << 21
+ROWS_AT_ONCE = 512
 SALTS = 32
 STEP = np.uint64(0x9E3779B97F4A7C15)
 _FROM = bytes(range(65, 91)) + b".,;:!?\x0a\x0b\x0c\x0d\t"
@@ -90,6 +91,12 @@ def parse(texts: list[str | None], longest: int = LONGEST, modulus: int = MODULU
     return owners, parts, lasts
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(low, ROWS_AT_ONCE)
+
+
 def _grouped(lengths: list[int], most: int = BATCH) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours with about ``most`` bytes."""
     start = size = 0
@@ -106,8 +113,8 @@ def dictionary(docs: DataFrame, longest: int = LONGEST, modulus: int = MODULUS)
     """Distinct parts of ``docs(lang, text)`` with their frequency: lang, part, last, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, texts = batch.column("lang"), batch.column("text").to_pylist()
+        for some in _slices(batches):
+            langs, texts = some.column("lang"), some.column("text").to_pylist()
             for low, high in _grouped([len(t or "") for t in texts]):
                 owners, parts, lasts = parse(texts[low:high], longest, modulus)
                 yield pa.RecordBatch.from_arrays(
@@ -160,9 +167,8 @@ def _batches(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[_Count
     """Dictionary rows of about ``BATCH`` bytes at a time."""
     held: list[tuple] = []
     size = 0
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("lang", "part", "last", "n")))
-        for row in rows:
+    for some in _slices(batches):
+        for row in zip(*(some.column(c).to_pylist() for c in ("lang", "part", "last", "n"))):
             held.append(row)
             size += len(row[1])
             if size >= BATCH:
@@ -190,9 +196,8 @@ def _sketched(parts: DataFrame, shape: sketch.Shape, longest: int) -> DataFrame:
                     if len(starts):
                         cells, sums = cells[starts], np.add.reduceat(sums, starts)
                         total[cells] = np.minimum(total[cells] + sums, shape.limit)
-        cells = np.flatnonzero(total)
-        if len(cells):
-            yield pa.RecordBatch.from_pandas(sketch.parts(cells, total[cells]), preserve_index=False)
+        for some in sketch.nonzero_parts(total):
+            yield pa.RecordBatch.from_pandas(some, preserve_index=False)
 
     return parts.select("lang", "part", "last", "n").mapInArrow(run, sketch.PART)
 

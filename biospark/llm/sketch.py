@@ -64,16 +64,28 @@ def parts(cells: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
     )
 
 
-def _merge(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """One part per combination of ``keys``, read as a sorted stream."""
+def nonzero_parts(total: np.ndarray) -> Iterator[pd.DataFrame]:
+    """``parts`` of an array of all counters, some slices at a time."""
+    width = 64 * SLICE
+    for low in range(0, len(total), width):
+        here = total[low : low + width]
+        cells = np.flatnonzero(here)
+        if len(cells):
+            yield parts(cells + low, here[cells])
+
+
+def _merge(df: DataFrame, keys: list[str], limit: int, bits: bool) -> DataFrame:
+    """One part per combination of ``keys``, read as a sorted stream; with ``bits`` only which cells reach the limit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, total = None, np.zeros(SLICE, np.int32)
 
         def done() -> pd.DataFrame:
+            if bits:
+                packed = np.packbits(total >= limit, bitorder="little").tobytes()
+                return pd.DataFrame({"slice": [now[0]], "bits": [packed]})
             cells = np.flatnonzero(total)
-            out = parts(cells + now[0] * SLICE, np.minimum(total[cells], limit))
-            return out.assign(lane=now[1])
+            return parts(cells + now[0] * SLICE, total[cells])
 
         for batch in batches:
             lanes = batch["lane"] if "lane" in keys else [0] * len(batch)
@@ -87,29 +99,19 @@ def _merge(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
         if now is not None:
             yield done()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, f"{PART}, lane int")
-
-
-def merge(partial: DataFrame, limit: int) -> DataFrame:
-    """One part per slice with the saturated sums of all ``partial`` ones (columns ``PART``)."""
-    lanes = partial.withColumn("lane", F.floor(F.spark_partition_id() / LANE).cast("int"))
-    return _merge(_merge(lanes, ["slice", "lane"], limit).select("slice", "cells", "counts"), ["slice"], limit)
+    sorted_parts = df.repartition(*keys).sortWithinPartitions(*keys)
+    return sorted_parts.mapInPandas(run, "slice int, bits binary" if bits else PART)
 
 
 def reached(partial: DataFrame, shape: Shape) -> Broadcast:
-    """Which cells reach the limit, as ``rows * 2 ** bits / 8`` bytes at most, for all workers."""
-
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for cells, counts in zip(batch["cells"], batch["counts"]):
-                flags = np.zeros(SLICE, bool)
-                flags[np.frombuffer(cells, "<u2")[np.frombuffer(counts, np.uint8) >= shape.limit]] = True
-                out.append(np.packbits(flags, bitorder="little").tobytes())
-            yield pd.DataFrame({"slice": batch["slice"], "bits": out})
+    """Which cells reach the limit, as ``rows * 2 ** bits / 8`` bytes at most, for all workers.
 
+    ``partial`` has the counters of each partition (columns ``PART``).
+    """
+    lanes = partial.withColumn("lane", F.floor(F.spark_partition_id() / LANE).cast("int"))
+    merged = _merge(lanes, ["slice", "lane"], shape.limit, bits=False)
+    found = _merge(merged, ["slice"], shape.limit, bits=True).toPandas()
     table = np.zeros(max(shape.rows << shape.bits, SLICE) // 8, np.uint8)
-    found = merge(partial, shape.limit).mapInPandas(bits, "slice int, bits binary").toPandas()
     for number, packed in zip(found["slice"], found["bits"]):
         table[number * SLICE // 8 : (number + 1) * SLICE // 8] = np.frombuffer(packed, np.uint8)
     return partial.sparkSession.sparkContext.broadcast(table)

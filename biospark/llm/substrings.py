@@ -48,7 +48,7 @@ BYTES_PER_CELL = 32
 LEAST_BITS, MOST_BITS = 16, 28
 # Documents whose rows are built at once, and keys that a partition holds before it hands on their counters.
 GROUP = 256
-HELD_KEYS = 1 << 22
+HELD_KEYS = 1 << 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -160,21 +160,22 @@ def _partial(docs: DataFrame, shape: sketch.Shape, min_words: int) -> DataFrame:
         starts = np.flatnonzero(np.diff(cells, prepend=-1))
         return sketch.parts(cells[starts], np.minimum(np.add.reduceat(counts, starts), shape.limit))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for text in batch["text"]:
-                keys = _Text(text, min_words).keys()
-                if len(keys):
-                    held.append(keys)
-                    size += len(keys)
+            for low in range(0, batch.num_rows, GROUP):
+                for text in batch.slice(low, GROUP).column("text").to_pylist():
+                    keys = _Text(text, min_words).keys()
+                    if len(keys):
+                        held.append(keys)
+                        size += len(keys)
                 if size >= HELD_KEYS:
-                    yield flush(held)
+                    yield pa.RecordBatch.from_pandas(flush(held), preserve_index=False)
                     held, size = [], 0
         if held:
-            yield flush(held)
+            yield pa.RecordBatch.from_pandas(flush(held), preserve_index=False)
 
-    return docs.select("text").mapInPandas(run, sketch.PART)
+    return docs.select("text").mapInArrow(run, sketch.PART)
 
 
 def _kept(data: bytes, digest: bool) -> str:
