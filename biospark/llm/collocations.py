@@ -7,13 +7,14 @@
    are the dictionary.
 2. Counting. Phrases are counted inside the distinct parts only, each weighted by its part's frequency. A phrase that starts in
    the overlap at a part's end is counted in the next part, where it starts again; only the last part of a
-   text counts those as well. A first pass over the dictionary sketches all phrases; a second one counts exactly those that
-   the sketch lets reach the least frequency. Estimates are never too low, so no frequent phrase is lost.
+   text counts those as well. A first pass over the dictionary sketches words and pairs of words; a second one counts exactly
+   the phrases all of whose pairs the sketch lets reach the least frequency. Estimates are never too low and no phrase
+   is more frequent than its pairs, so no frequent phrase is lost.
 3. Scoring, in joins over the frequent phrases. Every part of a frequent phrase is frequent too, so all counts that scores need
    are there.
 
-The sketch has ``2 ** MOST_BITS`` counters a row at most (one byte each while a partition is read, one bit each when sent to
-the workers). Beyond some hundred million phrases estimates get looser and more phrases are counted exactly.
+The sketch has a counter per ``BYTES_PER_CELL`` bytes of the dictionary, ``2 ** MOST_BITS`` at most, of which one bit each
+is sent to the workers (32 MiB at most). Beyond that size estimates get looser and more phrases are counted exactly.
 
 Defined cases: a null text is empty; a null language is ``und``; rows that repeat count as often as they stand there; a
 long text without a trigger is one part; ties in rank cannot remain, as phrases differ; an empty table
@@ -40,7 +41,9 @@ LONGEST = 5
 LEAST = 100
 TOP = 2000
 MODULUS = 64
-ROWS, LEAST_BITS, MOST_BITS = 2, 16, 24
+ROWS, BYTES_PER_CELL, LEAST_BITS, MOST_BITS = 1, 32, 16, 28
+# Cells that a partition holds before it hands on their counters.
+HELD_CELLS = 1 << 22
 # Bytes of text, and rows, that are parsed or counted together.
 BATCH = 1 << 21
 ROWS_AT_ONCE = 512
@@ -152,15 +155,14 @@ class _Counted:
         self.seed = np.repeat(np.array([names[lang] for lang in langs], np.uint64), counts)
         self.hashes = _hashes(self.words)
 
-    def phrases(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, places where a phrase of it starts that is this part's own, its hashes)."""
+    def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, whether a phrase of it starts at a word, its hashes) for the first words of all phrases."""
         whole, valid = self.hashes, np.ones(len(self.hashes), bool)
-        for length in range(1, self.longest + 1):
+        for length in range(1, longest + 1):
             if length > 1:
                 whole = sketch.mixed(whole[:-1] * STEP + self.hashes[length - 1 :])
                 valid = valid[:-1] & ~self.ends[length - 2 : len(self.ends) - 1]
-            at = np.flatnonzero(valid & self.own[: len(valid)])
-            yield length, at, sketch.mixed(whole[at] ^ self.seed[at] ^ np.uint64(length))
+            yield length, valid, sketch.mixed(whole ^ self.seed[: len(whole)] ^ np.uint64(length))
 
 
 def _batches(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[_Counted]:
@@ -183,21 +185,35 @@ def _counted(held: list[tuple], longest: int) -> _Counted:
     return _Counted(list(langs), list(parts), np.array(lasts, bool), np.array(n, np.int64), longest)
 
 
+def _sums(cells: np.ndarray, counts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(cells)
+    cells, counts = cells[order], counts[order]
+    starts = np.flatnonzero(np.diff(cells, prepend=-1))
+    return cells[starts], np.minimum(np.add.reduceat(counts, starts), limit) if len(starts) else counts
+
+
 def _sketched(parts: DataFrame, shape: sketch.Shape, longest: int) -> DataFrame:
+    """The counters of words and pairs, per partition and in slices."""
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        cells, counts = _sums(*(np.concatenate(h) for h in zip(*held)), shape.limit)
+        return pa.RecordBatch.from_pandas(sketch.parts(cells, counts), preserve_index=False)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape.rows << shape.bits, np.uint8)
+        held, size = [], 0
         for counted in _batches(batches, longest):
-            for _, at, keys in counted.phrases():
+            for _, valid, keys in counted.phrases(2):
+                at = np.flatnonzero(valid & counted.own[: len(valid)])
                 weight = np.minimum(counted.weight[at], shape.limit)
-                for cells in shape.cells(keys):
-                    order = np.argsort(cells)
-                    cells, sums = cells[order], weight[order]
-                    starts = np.flatnonzero(np.diff(cells, prepend=-1))
-                    if len(starts):
-                        cells, sums = cells[starts], np.add.reduceat(sums, starts)
-                        total[cells] = np.minimum(total[cells] + sums, shape.limit)
-        for some in sketch.nonzero_parts(total):
-            yield pa.RecordBatch.from_pandas(some, preserve_index=False)
+                for cells in shape.cells(keys[at]):
+                    cells, sums = _sums(cells, weight, shape.limit)
+                    held.append((cells, sums.astype(np.int16)))
+                    size += len(cells)
+            if size >= HELD_CELLS:
+                yield flush(held)
+                held, size = [], 0
+        if size:
+            yield flush(held)
 
     return parts.select("lang", "part", "last", "n").mapInArrow(run, sketch.PART)
 
@@ -208,19 +224,25 @@ def _exact(parts: DataFrame, bits: Broadcast, shape: sketch.Shape, longest: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for counted in _batches(batches, longest):
             langs, phrases, sums = [], [], []
-            for length, at, keys in counted.phrases():
+            pairs = may = None
+            for length, valid, keys in counted.phrases(longest):
+                own = valid & counted.own[: len(valid)]
                 if length == 1:
-                    per_row = np.bincount(counted.row[at], counted.weight[at], len(counted.langs)).astype(np.int64)
+                    per_row = np.bincount(counted.row[own], counted.weight[own], len(counted.langs)).astype(np.int64)
                     all_words: dict[str, int] = {}
                     for lang, n in zip(counted.langs, per_row.tolist()):
                         all_words[lang] = all_words.get(lang, 0) + n
                     langs += all_words
                     phrases += [b""] * len(all_words)
                     sums += all_words.values()
-                chosen = sketch.passes(bits.value, shape, keys)
-                at, keys = at[chosen], keys[chosen]
+                if length <= 2:
+                    pairs = may = sketch.passes(bits.value, shape, keys)
+                else:
+                    may = may[:-1] & pairs[length - 2 :]
+                at = np.flatnonzero(own & may)
                 if not len(at):
                     continue
+                keys = keys[at]
                 order = np.argsort(keys, kind="stable")
                 at, keys = at[order], keys[order]
                 starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -251,8 +273,7 @@ def phrase_counts(
     )
     parts = stage(dictionary(texts, longest, modulus))
     size = parts.agg(F.sum(F.octet_length("part"))).first()[0] or 0
-    # A word has some six bytes and starts ``longest`` phrases; most of them are rare and share a counter with few others.
-    shape = sketch.Shape(ROWS, sketch.bits_for(size / 2, LEAST_BITS, MOST_BITS), least)
+    shape = sketch.Shape(ROWS, sketch.bits_for(size / BYTES_PER_CELL, LEAST_BITS, MOST_BITS), least)
     bits = sketch.reached(_sketched(parts, shape, longest), shape)
     counted = _exact(parts, bits, shape, longest).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
     return stage(counted.filter((F.col("a") >= least) | (F.col("phrase") == "")))

@@ -64,16 +64,6 @@ def parts(cells: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
     )
 
 
-def nonzero_parts(total: np.ndarray) -> Iterator[pd.DataFrame]:
-    """``parts`` of an array of all counters, some slices at a time."""
-    width = 64 * SLICE
-    for low in range(0, len(total), width):
-        here = total[low : low + width]
-        cells = np.flatnonzero(here)
-        if len(cells):
-            yield parts(cells + low, here[cells])
-
-
 def _merge(df: DataFrame, keys: list[str], limit: int, bits: bool) -> DataFrame:
     """One part per combination of ``keys``, read as a sorted stream; with ``bits`` only which cells reach the limit."""
 

@@ -3,11 +3,11 @@
 A window is ``min_words`` consecutive words of one document. A word goes if a window covers it whose word sequence also
 starts in a document with a smaller identifier.
 
-1. Each partition sketches its documents: the key of a window is the smallest hash of the word grams inside it, so equal
-   windows have equal keys, neighbouring windows mostly share one, and the sketch needs a small part of the windows'
-   number. Each document counts a key once. Partition sketches are merged in slices; the count of a key is never below
-   the number of documents with any of its windows.
-2. A second pass takes only windows whose key is estimated to be in two documents. They are grouped exactly, by 128-bit
+1. Each partition sketches its documents. A window is known by the keys of its two halves; the key of a half is the smallest
+   hash of the word grams inside it, so equal windows have equal keys, neighbouring ones mostly share them, and the sketch
+   holds a small part of the windows' number. Each document counts a key once. Partition sketches are merged in slices;
+   the lower count of a window's keys is never below the number of documents with the window.
+2. A second pass takes only windows that are estimated to be in two documents. They are grouped exactly, by 128-bit
    BLAKE2 digests of their words, to the smallest identifier; windows of larger identifiers are joined with it.
 
 A whole text is one more key of the sketch. Of texts estimated to be repeated only a digest goes on; those that a smaller
@@ -52,9 +52,14 @@ HELD_KEYS = 1 << 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _span(min_words: int) -> int:
-    """How many grams of a window its key is the smallest of; a power of two."""
-    return 1 << max(0, (2 * min_words // 3).bit_length() - 1)
+def _span(size: int) -> int:
+    """How many grams of ``size`` words their key is the smallest of; a power of two."""
+    return 1 << max(0, (2 * size // 3).bit_length() - 1)
+
+
+def _half(min_words: int) -> int:
+    """Words of each half; the halves of a window overlap by one word if it has an odd number."""
+    return -(-min_words // 2)
 
 
 def _gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -71,13 +76,13 @@ def _gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return whole
 
 
-def window_keys(words: list[bytes], min_words: int) -> np.ndarray:
-    """The key of the window that starts at each word but the last ``min_words - 1``."""
-    if len(words) < min_words:
+def run_keys(words: list[bytes], size: int) -> np.ndarray:
+    """The key of the ``size`` words from each word on."""
+    if len(words) < size:
         return np.zeros(0, np.uint64)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    span = _span(min_words)
-    keys, width = sketch.mixed(_gram_hashes(hashes, min_words - span + 1)), 1
+    span = _span(size)
+    keys, width = sketch.mixed(_gram_hashes(hashes, size - span + 1)), 1
     while width < span:
         keys = np.minimum(keys[:-width], keys[width:])
         width *= 2
@@ -109,42 +114,36 @@ class _Text:
             fresh = words[self.n_words - first :]
             whole.update(b" ".join(fresh) + b" ")
             self.n_words = first + len(words)
-            keys = window_keys(words, min_words)
-            if len(keys):
-                # A key mostly stays for many windows; only its first place and value are kept.
-                starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-                self.runs.append((first + starts, keys[starts], first + len(keys)))
+            keys = run_keys(words, _half(min_words)) if len(words) >= min_words else np.zeros(0, np.uint64)
+            # A key mostly stays for many places; only its first one and its value are kept.
+            starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+            self.runs.append((keys[starts], np.diff(starts, append=len(keys))))
         self.whole = whole.digest()
         number = np.frombuffer(self.whole, "<u8")[:1]
         self.whole_key = sketch.mixed(number ^ STEP) if self.n_words >= min_words else number[:0]
 
     def keys(self) -> np.ndarray:
-        return np.unique(np.concatenate([self.whole_key, *[k for _, k, _ in self.runs]]))
+        return np.unique(np.concatenate([self.whole_key, *[k for k, _ in self.runs]]))
 
     def candidates(self, table: np.ndarray, shape: sketch.Shape, min_words: int) -> dict[bytes, list[int]]:
-        """Digest of each window whose key passes, with the places where it starts."""
-        ranges = []
-        for starts, keys, end in self.runs:
-            ends = np.append(starts[1:], end)
-            chosen = sketch.passes(table, shape, keys)
-            ranges += zip(starts[chosen].tolist(), ends[chosen].tolist())
+        """Digest of each window whose keys pass, with the places where it starts."""
         found: dict[bytes, list[int]] = {}
-        if not ranges:
+        chosen = [sketch.passes(table, shape, keys) for keys, _ in self.runs]
+        if not any(c.any() for c in chosen):
             return found
-        at, ranges = 0, iter(ranges)
-        low, high = next(ranges)
-        for first, words in _stretches(self.data, min_words):
-            line = b" ".join(words)
-            sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            stops = np.cumsum(sizes) - 1
-            begins, stops, view = (stops - sizes + 1).tolist(), stops.tolist(), memoryview(line)
-            last = first + len(words) - min_words
-            while low is not None and low <= last:
-                for at in range(low, high):
-                    here = at - first
-                    digest = blake2b(view[begins[here] : stops[here + min_words - 1]], digest_size=16).digest()
-                    found.setdefault(digest, []).append(at)
-                low, high = next(ranges, (None, None))
+        for (first, words), (_, sizes), passing in zip(_stretches(self.data, min_words), self.runs, chosen):
+            halves = np.repeat(passing, sizes)
+            last = len(halves) - (min_words - _half(min_words))
+            places = np.flatnonzero(halves[: max(last, 0)] & halves[min_words - _half(min_words) :]).tolist()
+            if not places:
+                continue
+            view = memoryview(b" ".join(words))
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            stops = np.cumsum(lengths + 1) - 1
+            begins, stops = (stops - lengths).tolist(), stops.tolist()
+            for at in places:
+                digest = blake2b(view[begins[at] : stops[at + min_words - 1]], digest_size=16).digest()
+                found.setdefault(digest, []).append(first + at)
         return found
 
 
@@ -294,8 +293,8 @@ def remove_repeats(
 
     left = scanned.filter("not twin").unionByName(again)
     windows = left.filter("kept is null").select("rid", "id", F.inline("windows"))
-    repeated = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    repeated = stage(repeated.filter("first < last").select("h1", "h2", "first"))
+    repeated = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    repeated = stage(repeated.filter("n > 1").select("h1", "h2", "first"))
     gone = windows.join(repeated, ["h1", "h2"]).filter("id > first").groupBy("rid").agg(F.collect_list("at").alias("gone"))
     touched = left.filter("kept is null").select("rid", "id", "n_words", "text").join(gone, "rid", "left")
 

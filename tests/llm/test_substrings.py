@@ -105,7 +105,7 @@ def test_stretches_of_long_texts(monkeypatch):
     every = whole.candidates(table_of_all, shape, 50)
     monkeypatch.setattr("biospark.llm.words.word_chunks.__defaults__", (700,))
     parts = substrings._Text(text, 50)
-    assert len(parts.runs) > 10 and parts.n_words == whole.n_words and parts.whole == whole.whole
+    assert len(whole.runs) == 1 and len(parts.runs) > 10 and parts.n_words == whole.n_words and parts.whole == whole.whole
     assert (parts.keys() == whole.keys()).all() and parts.candidates(table_of_all, shape, 50) == every
     assert sum(map(len, every.values())) == len(text.split()) - 49
 
