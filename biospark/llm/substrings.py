@@ -7,13 +7,14 @@ starts in a document with a smaller identifier.
    hash of the word grams inside it, so equal windows have equal keys, neighbouring ones mostly share them, and the sketch
    holds a small part of the windows' number. Each document counts a key once. Partition sketches are merged in slices;
    the lower count of a window's keys is never below the number of documents with the window.
-2. A second pass takes only windows that are estimated to be in two documents. They are grouped exactly, by 128-bit
-   BLAKE2 digests of their words, to the smallest identifier; windows of larger identifiers are joined with it.
+2. A second pass takes only windows that are estimated to be in two documents and groups them exactly, by 128-bit BLAKE2
+   digests of their words: sampled splitters range-partition them by digest and identifier, each partition is sorted and
+   read as a stream, and all rows of a group whose identifier is not the first one's are repeats. Of a group that
+   goes on in the next partition the first identifier is handed on, one row per partition.
 
 A whole text is one more key of the sketch. Of texts estimated to be repeated only a digest goes on; those that a smaller
 identifier has word for word lose all their words, the others are taken up as in step 2. A window that one document
-repeats is one row. Groups are never paired with themselves: the smallest identifier is a minimum combined before its
-shuffle, and the way back a join on stored tables whose skewed keys adaptive execution splits.
+repeats is one row. A passage that very many documents share is spread over partitions by their identifiers.
 
 The sketch has about one counter per ``BYTES_PER_CELL`` bytes of text and row, ``MOST_BITS`` at most, of which one bit
 each is sent to the workers (``ROWS * 2 ** MOST_BITS / 8`` bytes, 96 MiB, at most). Beyond that size estimates get looser
@@ -33,13 +34,14 @@ from hashlib import blake2b, sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biospark.llm import sketch
-from biospark.llm.words import ship_package, word_chunks
+from biospark.llm.words import partitions_of, ship_package, word_chunks
 from biospark.session import stage
 
 MIN_WORDS = 50
@@ -239,6 +241,50 @@ def _scan(
     return docs.select("rid", "id", "text").mapInArrow(run, schema)
 
 
+def _later(windows: DataFrame) -> DataFrame:
+    """rid, at for the ``windows(h1, h2, id, rid, at)`` whose digest a smaller identifier has."""
+    kind = windows.schema["id"].dataType.simpleString()
+    order = ["h1", "h2", "id"]
+    names = ["kind", "h1", "h2", "id", "rid", "at"]
+    repeat, open_row, head = 0, 1, 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, first, groups = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h1, h2, ids = batch.column("h1").to_numpy(), batch.column("h2").to_numpy(), batch.column("id")
+            fresh = np.append(group != (h1[0], h2[0]), (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+            number = groups + np.cumsum(fresh)
+            # The first identifier of each row's group; that of a group from the batch before stands in front.
+            firsts = pa.concat_arrays([ids.slice(0, 1) if first is None else first, ids])
+            own_first = firsts.take(pa.array(np.maximum.accumulate(np.where(fresh, np.arange(1, len(h1) + 1), 0))))
+            later = pc.not_equal(ids, own_first).to_numpy(zero_copy_only=False)
+            unsure = ~later & (number == 1)
+            for flags, value in ((later, repeat), (unsure, open_row)):
+                at = pa.array(np.flatnonzero(flags))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), value, np.int32)), *[batch.column(c).take(at) for c in names[1:]]], names=names
+                    )
+            group, first, groups = (h1[-1], h2[-1]), own_first.slice(len(own_first) - 1), int(number[-1])
+        if group is not None:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([head], pa.int32()), pa.array([group[0]]), pa.array([group[1]]), first,
+                    pa.array([None], pa.int64()), pa.array([None], pa.binary()),
+                ],
+                names=names,
+            )
+
+    placed = windows.repartitionByRange(partitions_of(windows), *order).sortWithinPartitions(*order).select(*names[1:])
+    found = stage(placed.mapInArrow(run, f"kind int, h1 long, h2 long, id {kind}, rid long, at binary"))
+    # At most one row per partition.
+    heads = found.filter(F.col("kind") == head).groupBy("h1", "h2").agg(F.min("id").alias("first"))
+    unsure = found.filter(F.col("kind") == open_row).join(heads, ["h1", "h2"]).filter("id > first")
+    return found.filter(F.col("kind") == repeat).select("rid", "at").unionByName(unsure.select("rid", "at"))
+
+
 def _removed(df: DataFrame, min_words: int, digest: bool) -> DataFrame:
     """id, n_words, n_removed, kept for rows (id, n_words, text, gone): ``gone`` are places of windows to remove."""
     kind = df.schema["id"].dataType.simpleString()
@@ -292,10 +338,8 @@ def remove_repeats(
     again = stage(_scan(twins.join(others, "rid", "left_semi"), bits, shape, min_words, digest, texts_repeat=False))
 
     left = scanned.filter("not twin").unionByName(again)
-    windows = left.filter("kept is null").select("rid", "id", F.inline("windows"))
-    repeated = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    repeated = stage(repeated.filter("n > 1").select("h1", "h2", "first"))
-    gone = windows.join(repeated, ["h1", "h2"]).filter("id > first").groupBy("rid").agg(F.collect_list("at").alias("gone"))
+    windows = left.filter("kept is null and id is not null").select("rid", "id", F.inline("windows"))
+    gone = _later(windows).groupBy("rid").agg(F.collect_list("at").alias("gone"))
     touched = left.filter("kept is null").select("rid", "id", "n_words", "text").join(gone, "rid", "left")
 
     found = (
