@@ -146,6 +146,32 @@ def _moments(column: str, name: str) -> list[Column]:
     ]
 
 
+# Columns with moments: signal -> (name of its statistics, prefix of its features).
+MOMENTS = {"hr": ("hr", "hrv_hr"), "eda_scl": ("eda", "eda"), "temp": ("temp", "temp"), "acc_mag": ("acc", "acc_mag")}
+
+
+def moment_aggregates(columns: list[str], timestamp: str) -> list[Column]:
+    """Aggregates of a window that need no order: its length, label, bounds and the moments of each signal."""
+    aggs = [F.count("*").alias("window_length"), F.min(timestamp).alias("timestamp_start"), F.max(timestamp).alias("timestamp_end")]
+    if "label" in columns:
+        aggs.append(F.coalesce(F.mode("label", True), F.lit(UNKNOWN)).alias("label"))
+    for signal, (name, _) in MOMENTS.items():
+        aggs += _moments(signal, name) if signal in columns else []
+    return aggs
+
+
+def moment_columns(columns: list[str]) -> list[Column]:
+    """The feature columns over ``moment_aggregates``."""
+    out: dict[str, Column] = {}
+    for signal, (name, prefix) in MOMENTS.items():
+        if signal == "acc_mag" and signal in columns:
+            out |= {f"{prefix}_{s}": F.col(f"__{name}_{s}") for s in ("mean", "std", "min", "max")}
+        elif signal in columns:
+            out |= _basic(name, prefix)
+    fixed = ["window_length", "timestamp_start", "timestamp_end", *(["label"] if "label" in columns else [])]
+    return [F.col(c) for c in fixed] + [value.alias(c) for c, value in out.items()]
+
+
 def window_id_column(aggregated: DataFrame, size: int) -> Column:
     subject = F.col("subject") if "subject" in aggregated.columns else F.lit(UNKNOWN)
     return window_id(subject, F.col("__start"), size)
