@@ -14,8 +14,8 @@
 The sample fixes where the splits are, never which links are found.
 
 Defined cases: a null or empty text, or one without a word, has fingerprint zero and is linked like any
-other; rows that repeat an identifier are one document of the group; null identifiers do not become
-representatives; an empty table gives an empty result. Other input columns are not read.
+other; rows that repeat an identifier are rows of their own, of which one at most stays in a group; a row with a null
+identifier stays only if its group has no other; an empty table gives an empty result. Other input columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biospark.llm.components import components
-from biospark.llm.words import word_chunks
+from biospark.llm.words import ship_package, word_chunks
 from biospark.session import stage
 
 SEED = 42
@@ -201,14 +201,12 @@ def near_links(classes: DataFrame, reach: int = 2) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, reach: int = 2
-) -> DataFrame:
-    """One row per row of ``docs``: identifier, fp (signed), component_id, the smallest identifier reachable
-    over links of at most ``reach`` differing bits."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, reach: int, row: Column) -> DataFrame:
+    """row, id, fp, component (a fingerprint) and component_id for every row of ``docs``."""
+    ship_package(docs.sparkSession)
     rows = stage(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select(
-            "id", fingerprints(F.col("text"), shingle).alias("fp")
+        docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).select(
+            "row", "id", fingerprints(F.col("text"), shingle).alias("fp")
         )
     )
     classes = stage(rows.groupBy("fp").agg(F.min("id").alias("least")))
@@ -219,14 +217,32 @@ def near_duplicates(
         )
     )
     named = stage(grouped.groupBy("component").agg(F.min("least").alias("component_id")))
-    by_class = stage(grouped.join(named, "component").select("fp", "component_id"))
-    return rows.join(by_class, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    by_class = stage(grouped.join(named, "component").select("fp", "component", "component_id"))
+    return rows.join(by_class, "fp")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, reach: int = 2
+) -> DataFrame:
+    """One row per row of ``docs``: identifier, fp (signed), component_id, the smallest identifier reachable
+    over links of at most ``reach`` differing bits."""
+    judged = _judged(docs, id_col, text_col, shingle, reach, F.lit(None).cast("long"))
+    return judged.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, reach: int = 2
 ) -> DataFrame:
-    """The documents that are the smallest of their group, with all columns of ``docs``."""
-    judged = near_duplicates(docs, id_col, text_col, shingle, reach)
-    kept = judged.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    """One row of each group, with all columns of ``docs``: the one with the smallest identifier.
+
+    Of rows that share it (or that all have none) one stays. Rows are told apart by a number of their own, for which they are
+    stored once.
+    """
+    number = "__row"
+    while number in docs.columns:
+        number += "_"
+    held = stage(docs.withColumn(number, F.monotonically_increasing_id()))
+    judged = _judged(held, id_col, text_col, shingle, reach, F.col(number))
+    first = judged.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    kept = stage(first.select(F.col("first.row").alias(number)))
+    return held.join(kept, number, "left_semi").drop(number)

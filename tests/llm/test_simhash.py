@@ -149,3 +149,27 @@ def test_sample_is_a_small_part_of_a_middle_table(spark, monkeypatch):
     a, b = simhash.shard_links(points, 2)
     whole = joined(len(points), [(place[int(x)], place[int(y)]) for x, y in zip(a.view(np.int64), b.view(np.int64))])
     assert got == whole
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Also where identifiers repeat with other texts, or are null."""
+    a, b = prose(1, 200), prose(2, 200)
+
+    def left(rows):
+        return sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(table(spark, rows)).collect())
+
+    near = a + " more"
+    assert simhash.near_duplicates(table(spark, [(1, a), (2, near)])).select("component_id").distinct().count() == 1
+    assert len(left([(5, a), (5, near)])) == 1
+    assert left([(3, a), (5, b), (5, near)]) == [(False, 3, a), (False, 5, b)]
+    assert len(left([(None, a), (None, near), (None, a), (None, b)])) == 2
+    assert left([(None, a), (7, near), (7, near)]) == [(False, 7, near)]
+    assert len(left([(1, ""), (1, None), (1, " "), (2, "")])) == 1
+
+
+def test_rows_keep_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    df = table(spark, [(1, prose(1, 50)), (2, prose(1, 50))]).withColumn("__row", F.lit("x")).withColumn("row", F.lit("y"))
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns and [r["__row"] for r in kept.collect()] == ["x"]
