@@ -1,9 +1,10 @@
 """Token identifiers in binary files: patched frame-of-reference blocks.
 
 Encoding: the tokenizers library, its file given by path. ASCII white space never lies inside a token of a pre-split
-that drops white space, so for plain Latin texts without apostrophes the runs of letters, of digits and of punctuation
-are encoded once each and remembered; every other text is encoded as it stands, as is one that spells an added token
-of the vocabulary (``<|endoftext|>``), which the library gives that token's identifier.
+that drops white space, so for plain Latin texts without apostrophes what stands between white space is encoded once
+and remembered; new words are encoded many to a line, whose identifiers are cut where words end. Every other text is
+encoded as it stands, as is one that spells an added token of the vocabulary (``<|endoftext|>``), which the library gives
+that token's identifier.
 
 File format: documents are sorted by identifier and dealt out in ranges, one row of the Parquet output per segment of a
 range. A segment holds
@@ -18,11 +19,13 @@ the block's values fit in, all larger values are exceptions. Spark commits the f
 a repeated task leaves no half-written one.
 
 Defined cases: a null text is empty and has only its end token; null identifiers come first; rows that repeat an identifier
-follow each other in the order of their texts; an empty table gives an empty result.
+follow each other in the order of their texts; an empty table gives an empty result. Identifiers are whole numbers; one
+that is not (a text that spells none) is an error.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -47,13 +50,15 @@ PERCENTILE = 95
 # Tokens and documents of a segment; one longer document is a segment of its own.
 SEGMENT_TOKENS = 1 << 20
 SEGMENT_DOCS = 4096
-# Pieces that an encoder remembers in each of its two generations.
+# Words that an encoder remembers in each of its two generations, and new ones that it encodes as one line.
 REMEMBERED = 250_000
+LINE = 512
 # Texts that are encoded together.
 GROUP = 256
 
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-&(-~À-ÖØ-öø-ÿ]*")
-PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+")
+# What the tokenizer's pre-split makes of a plain text without white space.
+PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 HEADER = struct.Struct("<IHBBH")
 SEGMENT = "offset long, tokens long, ids array<long>, lengths array<long>, payload binary, block_starts array<long>"
 
@@ -65,43 +70,61 @@ class Encoder:
         # Spark runs one worker per core; threads of their own would only contend.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added) or "(?!)")
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        # Which identifiers end a word; without a mark for it words are encoded one by one.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _look_up(self, missing: set[str]) -> None:
-        """Bring pieces into the new generation, from the old one or from the tokenizer."""
+    def _encode_parts(self, parts: list[str]) -> Iterator[bytes]:
+        """The identifiers of each of ``parts``, words of the pre-split, from lines of many of them."""
+        lines = [parts[i : i + LINE] for i in range(0, len(parts), LINE)]
+        for line, ids in zip(lines, self._encode([" ".join(line) for line in lines])):
+            numbers = np.frombuffer(ids, "<u4")
+            stops = np.flatnonzero(self.ends[numbers]) + 1
+            if len(stops) != len(line) or stops[-1] != len(numbers):
+                yield from self._encode(line)
+                continue
+            edges = [0, *(4 * stops).tolist()]
+            yield from map(ids.__getitem__, map(slice, edges, edges[1:]))
+
+    def _look_up(self, needed: set[str]) -> None:
+        """Bring words into the new generation: from the old one, put together from their parts, or from the tokenizer."""
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
-        known = self.old
-        self.new.update({p: known[p] for p in missing if p in known})
-        unknown = [p for p in missing if p not in known]
-        self.new.update(zip(unknown, self._encode(unknown)))
-
-    def _pieces(self, text: str) -> list[str] | None:
+        new, old = self.new, self.old
+        missing = [w for w in needed if w not in new]
+        new.update({w: old[w] for w in missing if w in old})
+        missing = [w for w in missing if w not in old]
+        made = {w: PART.findall(w) for w in missing if not w.isalpha()}
+        parts = [p for p in {w for w in missing if w not in made}.union(*made.values()) if p not in new]
+        new.update({p: old[p] for p in parts if p in old})
+        unknown = [p for p in parts if p not in old]
+        new.update(zip(unknown, self._encode_parts(unknown)))
+        new.update({w: b"".join([new[p] for p in own]) for w, own in made.items()})
+
+    def _words(self, text: str) -> list[str] | None:
+        if not PLAIN.fullmatch(text):
+            return None
+        # The tokenizer lowers letters one by one, as Python does for these alphabets.
         lowered = text.lower()
-        return None if self.added.search(lowered) else PIECE.findall(lowered)
+        return None if any(a in lowered for a in self.added) else lowered.split()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """``texts`` are few, so that their pieces fit in memory."""
-        # The tokenizer lowers letters one by one, as Python does for these alphabets.
-        split = [self._pieces(t) if PLAIN.fullmatch(t) else None for t in texts]
-        found = [None if s is None else list(map(self.new.get, s)) for s in split]
-        missing = {p for s, f in zip(split, found) if s and None in f for p, ids in zip(s, f) if ids is None}
-        if missing:
-            self._look_up(missing)
-        for text, pieces, ids in zip(texts, split, found):
-            if pieces is None:
-                yield self._encode([text])[0]
-            elif None in ids:
-                yield b"".join([i if i is not None else self.new[p] for p, i in zip(pieces, ids)])
-            else:
-                yield b"".join(ids)
+        """``texts`` are few, so that their words fit in memory."""
+        split = [self._words(t) for t in texts]
+        needed = set().union(*[s for s in split if s])
+        self._look_up(needed)
+        for text, words in zip(texts, split):
+            yield self._encode([text])[0] if words is None else b"".join(map(self.new.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -240,6 +263,29 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     return unpacked.withColumnRenamed("id", id_col)
 
 
+def read_document(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
+    """The rows of ``read_tokens`` without start for one identifier; only the blocks that hold its tokens are unpacked."""
+
+    def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                lengths = np.asarray(row.lengths, np.int64)
+                stops = np.cumsum(lengths)
+                for at in np.flatnonzero(np.asarray(row.own, bool)):
+                    low, high = int(stops[at] - lengths[at]), int(stops[at])
+                    blocks = row.block_starts[low // BLOCK : -(-high // BLOCK)]
+                    found = b"".join(unpack_block(row.payload, int(s)).tobytes() for s in blocks)
+                    skip = 4 * (low % BLOCK)
+                    yield _found(doc_id, high - low, found[skip : skip + 4 * (high - low)])
+
+    def _found(key: int, n: int, ids: bytes) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": [key], "n_tokens": [n], "ids": [ids]})
+
+    held = spark.read.parquet(path).filter(F.array_contains("ids", F.lit(doc_id).cast("long")))
+    own = F.transform("ids", lambda i: i.eqNullSafe(F.lit(doc_id).cast("long"))).alias("own")
+    return held.select(own, "lengths", "payload", "block_starts").mapInPandas(seek, "doc_id long, n_tokens long, ids binary")
+
+
 def token_report(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Write the tokens (by default under the shared folder), read them back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession

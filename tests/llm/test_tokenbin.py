@@ -12,7 +12,6 @@ from tests.llm.conftest import prose, table
 
 TOKENS = st.lists(st.one_of(st.integers(0, 60_000), st.integers(0, 2**32 - 1)), min_size=1, max_size=300)
 CODER = Tokenizer.from_file(tokenbin.VOCABULARY)
-CODER.encode_special_tokens = True
 
 
 def direct(text):
@@ -72,6 +71,21 @@ def test_files_are_small_and_indexed(spark, odd, odd_rows, tmp_path):
     assert sum(len(r["payload"]) for r in spark.read.parquet(path).collect()) < 2.2 * total + 4096
 
 
+def test_one_document_through_the_block_index(spark, tmp_path):
+    path, rows = str(tmp_path / "t"), [(i, prose(i, 5 + 301 * i)) for i in range(20)] + [(7, prose(99, 70)), (30, None), (None, "none")]
+    tokenbin.write_tokens(table(spark, rows), path)
+    for key in (0, 7, 19, 30, 1000):
+        got = sorted(r["ids"] for r in tokenbin.read_document(spark, path, key).collect())
+        assert got == sorted(direct(t) + np.array([1], "<u4").tobytes() for k, t in rows if k == key)
+
+
+def test_lines_that_cannot_be_cut_are_encoded_apart():
+    own = tokenbin.Encoder(tokenbin.VOCABULARY)
+    own.ends[:] = False
+    texts = [prose(1, 60), "12 ab,c 3.5 (x) y!"]
+    assert list(own.encode(texts)) == [direct(t) for t in texts]
+
+
 def test_empty_table(nothing, tmp_path):
     assert tokenbin.token_report(nothing, str(tmp_path / "t")).count() == 0
 
