@@ -235,14 +235,25 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """One row of each group, with all columns of ``docs``: the one with the smallest identifier.
 
-    Of rows that share it (or that all have none) one stays. Rows are told apart by a number of their own, for which they are
-    stored once.
+    Of rows that share it (or that all have none) one stays; rows are told apart by hashes of their texts.
     """
-    number = "__row"
-    while number in docs.columns:
-        number += "_"
-    held = stage(docs.withColumn(number, F.monotonically_increasing_id()))
-    judged = _judged(held, id_col, text_col, shingle, reach, F.col(number))
-    first = judged.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    kept = stage(first.select(F.col("first.row").alias(number)))
-    return held.join(kept, number, "left_semi").drop(number)
+
+    def hashes(text: Column) -> list[Column]:
+        return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+    judged = _judged(docs, id_col, text_col, shingle, reach, F.struct(*hashes(F.col(text_col).cast("string"))))
+    counted = judged.groupBy("component", "id", "row").agg(F.count("*").alias("n"))
+    first = counted.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "n")).alias("first"))
+    kept = stage(
+        first.select(
+            F.col("first.id").alias("kept_id"), F.col("first.row.k1").alias("kept_1"), F.col("first.row.k2").alias("kept_2"),
+            (F.col("first.n") > 1).alias("repeated"),
+        )
+    )
+    held = docs.select(F.struct("*").alias("rest"), F.col(id_col).alias("id"), *hashes(F.col(text_col).cast("string")))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("k1") == F.col("kept_1")) & (F.col("k2") == F.col("kept_2"))
+    found = held.join(kept.filter("not repeated"), same, "left_semi")
+    repeated = kept.filter("repeated")
+    if not repeated.isEmpty():
+        found = found.unionByName(held.join(repeated, same, "left_semi").dropDuplicates(["id", "k1", "k2"]))
+    return found.select("rest.*")
