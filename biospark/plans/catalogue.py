@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,11 +11,12 @@ from pyspark.sql import types as T
 
 from biospark.contracts import ACC_COLUMNS, EDA_COLUMNS, HRV_COLUMNS, TEMP_COLUMNS, feature_columns
 from biospark.functions.scalars import file_stem, subject_from_file
-from biospark.operators import align, harmonize, metrics, ml, quality, splits
+from biospark.operators import align, cycles, fairness, harmonize, load, metrics, ml, quality, splits
 from biospark.operators.windows import WindowOptions, align_and_extract, extract_features_from_windows
 from biospark.plans import views
-from biospark.session import stage
+from biospark.session import scratch_dir, stage
 from biospark.sources.readers import extract_wesad
+from biospark.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -439,6 +441,100 @@ def window_metadata(spark, sf_dir):
         F.concat_ws(",", F.transform("label_distribution", lambda x: F.concat_ws("=", x["label"], x["count"]))).alias("labels"))
 
 
+# Beyond the window: loads, temperature rises, cycles, subgroups, streams
+
+RISES = cycles.RiseOptions(rise=0.3, min_after=1, min_before=2)
+
+
+def _dated(df: DataFrame) -> DataFrame:
+    """Dates as text."""
+    return tidy(df.withColumns({f.name: F.col(f.name).cast("string") for f in df.schema.fields if isinstance(f.dataType, T.DateType)}))
+
+
+@query
+def stress_load_daily(spark, sf_dir):
+    """Time under stress windows per subject and day; overlaps count once, midnight parts a window."""
+    return _dated(load.daily_load(views.predicted_windows(spark, sf_dir)))
+
+
+@query
+def stress_load_weekly(spark, sf_dir):
+    return _dated(load.weekly_load(load.daily_load(views.predicted_windows(spark, sf_dir))))
+
+
+@query
+def temperature_nights(spark, sf_dir):
+    """Each night with the means of the nights around it and whether the temperature rises there."""
+    nights = cycles.nightly_means(views.raw_samples(spark, sf_dir), RISES)
+    return _dated(cycles.night_rises(nights, RISES).withColumn("hit", F.col("hit").cast("int")))
+
+
+@query
+def temperature_rises(spark, sf_dir):
+    """Biphasic rises as episodes of nights."""
+    return _dated(cycles.temperature_rises(views.raw_samples(spark, sf_dir), RISES))
+
+
+def _cycle_loads(spark, sf_dir):
+    rises = cycles.temperature_rises(views.raw_samples(spark, sf_dir), RISES)
+    daily = load.daily_load(views.predicted_windows(spark, sf_dir))
+    return cycles.cycle_loads(cycles.cycles_of(rises), daily)
+
+
+@query
+def cycle_stress(spark, sf_dir):
+    """Stress load and irregularity of each cycle."""
+    return _dated(_cycle_loads(spark, sf_dir))
+
+
+@query
+def cycle_correlation(spark, sf_dir):
+    """Per subject: how stress load goes with irregularity."""
+    samples, daily = views.raw_samples(spark, sf_dir), load.daily_load(views.predicted_windows(spark, sf_dir))
+    return tidy(cycles.load_and_regularity(samples, daily, RISES, least=3)[0].select("subject", "n", "r"))
+
+
+@query
+def cycle_correlation_pooled(spark, sf_dir):
+    samples, daily = views.raw_samples(spark, sf_dir), load.daily_load(views.predicted_windows(spark, sf_dir))
+    return tidy(cycles.load_and_regularity(samples, daily, RISES, least=3)[1])
+
+
+@query
+def subgroup_spread(spark, sf_dir):
+    """Gaps of four metrics between subgroups, with intervals from a bootstrap over subjects."""
+    return tidy(fairness.subgroup_spread(views.predicted_windows(spark, sf_dir), "event_type", "subject", replicates=50, seed=7))
+
+
+def _stream(spark, sf_dir) -> tuple[DataFrame, str]:
+    """The events as a stream of one file, and a new folder for what the stream writes."""
+    file = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # A stream reads folders and patterns; a pattern also finds a single file.
+    events = spark.readStream.schema(file.schema).parquet(f"{sf_dir}/events.parque[t]")
+    return views.samples_of(events), f"{scratch_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query
+def stream_moments(spark, sf_dir):
+    """Moments of event-time windows of five days every two, as a stream leaves them: windows that are final."""
+    samples, place = _stream(spark, sf_dir)
+    picked = samples.select("subject", "timestamp", "hr", "eda_scl", "temp", "label")
+    live.start_moments(
+        picked, f"{place}/out", f"{place}/checkpoint", window="5 days", hop="2 days", delay="1 hour"
+    ).awaitTermination()
+    found = spark.read.schema(live.windowed_moments(picked, "5 days", "2 days").schema).parquet(f"{place}/out")
+    return tidy(found.select("subject", "window_start", "window_length", "hrv_hr_mean", "hrv_hr_std", "eda_max", "temp_range"))
+
+
+@query
+def stream_features(spark, sf_dir):
+    """Ordered features of the hourly grid's closed windows, as a stream leaves them."""
+    samples, place = _stream(spark, sf_dir)
+    options = live.LiveOptions(ON_GRID, step="1h", max_gap="5h", delay="1 hour", idle="60 days")
+    live.start_ordered_features(views.hourly_signal(samples), f"{place}/out", f"{place}/checkpoint", options).awaitTermination()
+    return tidy(spark.read.parquet(f"{place}/out/batch=*"))
+
+
 # Splits and model preparation
 
 

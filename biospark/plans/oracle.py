@@ -7,6 +7,7 @@ DataFrame operators they check.
 from __future__ import annotations
 
 from biospark.contracts import EDA_COLUMNS, FEATURE_TABLE_COLUMNS, HRV_COLUMNS, LABEL_CLASSES, TEMP_COLUMNS
+from biospark.operators.fairness import POISSON_STEPS
 from biospark.plans.views import EVENT_LABELS, SHIFT
 
 
@@ -252,6 +253,72 @@ def _hourly(columns: list[str], text: list[str] = (), method: str = "linear", li
     )
 
 
+PREDICTED = RAW + """, pw AS (
+  SELECT subject, timestamp AS s, timestamp + to_microseconds(CAST(round(value * 100) AS BIGINT) * 6000000) AS e, event_type,
+    CASE WHEN event_type IN ('error', 'click') THEN 'stress' ELSE 'baseline' END AS predicted_label,
+    CASE WHEN value % 1 < 0.4 THEN 'stress' ELSE 'baseline' END AS label FROM raw)"""
+DAY = 86400000000
+
+
+def islands(name: str, where: str) -> str:
+    """Microseconds of each day under at least one piece: overlapping pieces are put together before they are measured."""
+    return f"""{name} AS (SELECT subject, d, sum(t1 - f1) AS us FROM (SELECT subject, d, g, min(f) AS f1, max(t) AS t1 FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY subject, d ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS g FROM (
+        SELECT *, CAST(f > coalesce(max(t) OVER (PARTITION BY subject, d ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS INTEGER) AS fresh
+        FROM pc WHERE {where})) GROUP BY ALL) GROUP BY ALL)"""
+
+
+DAILY = PREDICTED + f""", pc AS (SELECT subject, predicted_label, d, greatest(epoch_us(s), d * {DAY}) AS f, least(epoch_us(e), (d + 1) * {DAY}) AS t
+    FROM (SELECT *, unnest(range(epoch_us(s) // {DAY}, (epoch_us(e) - 1) // {DAY} + 1)) AS d FROM pw WHERE s < e)),
+  {islands("cov", "true")}, {islands("str", "predicted_label = 'stress'")},
+  dn AS (SELECT subject, d, count(*) AS n_windows FROM pc GROUP BY ALL),
+  daily AS (SELECT subject, DATE '1970-01-01' + CAST(d AS INTEGER) AS day, n_windows, CAST(cov.us AS BIGINT) AS covered_us, CAST(coalesce(str.us, 0) AS BIGINT) AS stress_us
+    FROM dn JOIN cov USING (subject, d) LEFT JOIN str USING (subject, d))"""
+NIGHTS = """ns AS (SELECT subject, CAST(timestamp - INTERVAL 8 HOUR AS DATE) AS night, avg(temp) AS mean, count(*) AS n_samples FROM raw
+    WHERE temp IS NOT NULL AND (hour(timestamp) >= 20 OR hour(timestamp) < 8) GROUP BY ALL),
+  na AS (SELECT x.subject, x.night, count(*) AS n_after, avg(y.mean) AS mean_after FROM ns x JOIN ns y
+    ON x.subject = y.subject AND y.night - x.night BETWEEN 0 AND 2 GROUP BY ALL),
+  nb AS (SELECT x.subject, x.night, count(*) AS n_before, avg(y.mean) AS mean_before FROM ns x JOIN ns y
+    ON x.subject = y.subject AND x.night - y.night BETWEEN 1 AND 6 GROUP BY ALL),
+  nr AS (SELECT *, CASE WHEN n_before >= 2 THEN mean_after - mean_before END AS rise FROM
+    (SELECT ns.*, n_after, coalesce(n_before, 0) AS n_before, mean_after, mean_before FROM ns JOIN na USING (subject, night) LEFT JOIN nb USING (subject, night))),
+  hits AS (SELECT *, lag(night) OVER (PARTITION BY subject ORDER BY night) AS earlier FROM nr WHERE rise >= 0.3),
+  ep AS (SELECT subject, episode, min(night) AS start, max(night) AS last, count(*) AS hits, max(rise) AS peak FROM
+    (SELECT *, sum(CAST(earlier IS NULL OR night - earlier > 3 AS INTEGER)) OVER (PARTITION BY subject ORDER BY night) AS episode FROM hits) GROUP BY subject, episode)"""
+CYCLES = DAILY + ", " + NIGHTS + """, cy AS (SELECT *, abs(days - avg(days) OVER (PARTITION BY subject)) AS irregularity FROM
+    (SELECT subject, episode AS cycle, start, stop, stop - start AS days FROM (SELECT *, lead(start) OVER (PARTITION BY subject ORDER BY episode) AS stop FROM ep) WHERE stop IS NOT NULL)),
+  cl AS (SELECT cy.subject, cy.cycle, cy.start, cy.stop, cy.days, irregularity, CAST(sum(stress_us) AS BIGINT) AS stress_us, CAST(sum(covered_us) AS BIGINT) AS covered_us,
+    sum(stress_us) / CAST(sum(covered_us) AS DOUBLE) AS load
+    FROM cy LEFT JOIN daily ON cy.subject = daily.subject AND day >= start AND day < stop GROUP BY ALL),
+  co AS (SELECT subject, count(*) AS n, var_pop(load) * count(*) AS xx, var_pop(irregularity) * count(*) AS yy, covar_pop(load, irregularity) * count(*) AS xy,
+    CASE WHEN count(*) >= 3 AND var_pop(load) * count(*) > 1e-12 AND var_pop(irregularity) * count(*) > 1e-12 THEN corr(load, irregularity) END AS r
+    FROM cl WHERE load IS NOT NULL GROUP BY subject)"""
+
+
+def days(*columns: str) -> str:
+    return ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in columns)
+
+
+def spread(replicates: int, seed: int) -> str:
+    """The bootstrap of subgroup gaps, metric by metric."""
+    steps = ", ".join(f"CAST({s!r} AS DOUBLE)" for s in POISSON_STEPS)
+    share = f"CAST('0x' || substr(md5(unit || '|{seed}|' || b), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE)"
+    values = {"accuracy": "right_n / n", "precision": "tp / nullif(said, 0)", "recall": "tp / nullif(positive, 0)", "f1": "2 * tp / nullif(said + positive, 0)"}
+    metrics = " UNION ALL ".join(f"SELECT b, subgroup, '{m}' AS metric, {v} AS value FROM sm" for m, v in values.items())
+    return f"""WITH {PREDICTED}, uc AS (SELECT event_type AS subgroup, subject AS unit, count(*) AS n, count(*) FILTER (label = predicted_label) AS right_n,
+        count(*) FILTER (label = 'stress' AND predicted_label = 'stress') AS tp, count(*) FILTER (predicted_label = 'stress') AS said,
+        count(*) FILTER (label = 'stress') AS positive FROM pw GROUP BY ALL),
+      rp AS (SELECT *, CASE WHEN b = 0 THEN 1 ELSE len([x FOR x IN [{steps}] IF {share} >= x]) END AS w FROM (SELECT *, unnest(range({replicates + 1})) AS b FROM uc)),
+      sm AS (SELECT b, subgroup, CAST(sum(n * w) AS DOUBLE) AS n, CAST(sum(right_n * w) AS DOUBLE) AS right_n, CAST(sum(tp * w) AS DOUBLE) AS tp,
+        CAST(sum(said * w) AS DOUBLE) AS said, CAST(sum(positive * w) AS DOUBLE) AS positive FROM rp WHERE w > 0 GROUP BY ALL),
+      mv AS ({metrics}),
+      gp AS (SELECT metric, b, count(*) AS subgroups, min(value) AS lowest, max(value) AS highest, arg_min(subgroup, (value, subgroup)) AS lowest_in,
+        arg_max(subgroup, (value, subgroup)) AS highest_in FROM mv WHERE value IS NOT NULL GROUP BY ALL),
+      dr AS (SELECT metric, count(*) AS replicates, quantile_cont(highest - lowest, 0.025) AS gap_low, quantile_cont(highest - lowest, 0.975) AS gap_high FROM gp WHERE b > 0 GROUP BY metric)
+      SELECT metric, subgroups, {dbl("lowest")}, lowest_in, {dbl("highest")}, highest_in, {rnd("highest - lowest")} AS gap, replicates, {dbl("gap_low", "gap_high")}
+      FROM gp JOIN dr USING (metric) WHERE b = 0"""
+
+
 def statements() -> dict[str, str]:
     hourly_all = grid("sig", "1 HOUR", 3600000000, SIGNALS, ["label"], "linear", 5)
     # The first sample of an hour starts the relative time as well: they share the hour.
@@ -353,6 +420,28 @@ def statements() -> dict[str, str]:
             SELECT window_id, {dbl('acc_dominant_freq')} FROM kept JOIN best USING (window_id) WHERE r = 1""",
         "window_features": short(*ALL_GROUPS) + feature_select(),
         "aligned_window_features": "WITH " + ",\n  ".join([SIG, hourly_all, windows("grid", 48, 24, pos="pos"), kept(48, 0.25, SIGNALS), *ALL_GROUPS]) + "\n" + feature_select(),
+        # A stream's windows are final once its watermark and the series' own samples are five hours behind them.
+        "stream_features": "WITH " + ",\n  ".join([SIG, hourly_all, windows("grid", 48, 24, pos="pos"), kept(48, 0.25, SIGNALS), *ALL_GROUPS]) + f"""
+            SELECT * FROM ({feature_select()}) WHERE window_id IN (SELECT window_id FROM ids JOIN gb USING (subject)
+              WHERE k * 24 + 47 + 5 <= least(gb.n - 1, (epoch_us((SELECT max(timestamp) FROM sig)) - 3600000000 - 1 - epoch_us(a)) // 3600000000))""",
+        "stream_moments": f"""WITH {RAW}, wm AS (SELECT epoch_ms(max(timestamp)) * 1000 - 3600000000 AS at FROM raw),
+            sw AS (SELECT *, unnest(range((epoch_us(timestamp) - {5 * DAY}) // {2 * DAY} + 1, epoch_us(timestamp) // {2 * DAY} + 1)) AS k FROM raw),
+            sg AS (SELECT subject, k, count(*) AS window_length, CASE WHEN count(hr) >= 2 THEN avg(hr) END AS hrv_hr_mean, CASE WHEN count(hr) >= 2 THEN stddev_samp(hr) END AS hrv_hr_std,
+              CASE WHEN count(eda_scl) >= 2 THEN max(eda_scl) END AS eda_max, CASE WHEN count(temp) >= 2 THEN max(temp) - min(temp) END AS temp_range FROM sw GROUP BY subject, k)
+            SELECT subject, {clock(f"make_timestamp(k * {2 * DAY})")} AS window_start, window_length, {dbl("hrv_hr_mean", "hrv_hr_std", "eda_max", "temp_range")}
+            FROM sg, wm WHERE k * {2 * DAY} + {5 * DAY} <= wm.at""",
+        "stress_load_daily": f"""WITH {DAILY} SELECT subject, {days("day")}, n_windows, covered_us, stress_us, {rnd("stress_us / CAST(covered_us AS DOUBLE)")} AS load FROM daily""",
+        "stress_load_weekly": f"""WITH {DAILY} SELECT subject, strftime(date_trunc('week', day), '%Y-%m-%d') AS week, count(*) AS days, CAST(sum(n_windows) AS BIGINT) AS n_windows,
+            CAST(sum(covered_us) AS BIGINT) AS covered_us, CAST(sum(stress_us) AS BIGINT) AS stress_us, {rnd("sum(stress_us) / CAST(sum(covered_us) AS DOUBLE)")} AS load FROM daily GROUP BY 1, 2""",
+        "temperature_nights": f"""WITH {RAW}, {NIGHTS} SELECT subject, {days("night")}, {dbl("mean")}, n_samples, n_after, n_before, {dbl("mean_after", "mean_before", "rise")},
+            CAST(coalesce(rise >= 0.3, false) AS BIGINT) AS hit FROM nr""",
+        "temperature_rises": f"""WITH {RAW}, {NIGHTS} SELECT subject, CAST(episode AS BIGINT) AS episode, {days("start", "last")}, hits, {dbl("peak")} FROM ep""",
+        "cycle_stress": f"""WITH {CYCLES} SELECT subject, CAST(cycle AS BIGINT) AS cycle, {days("start", "stop")}, days, {dbl("irregularity")}, stress_us, covered_us, {dbl("load")} FROM cl""",
+        "cycle_correlation": f"WITH {CYCLES} SELECT subject, n, {dbl('r')} FROM co",
+        "cycle_correlation_pooled": f"""WITH {CYCLES}, us AS (SELECT *, atanh(greatest(least(r, 1 - 1e-9), 1e-9 - 1)) AS z FROM co WHERE r IS NOT NULL AND n > 3),
+            pl AS (SELECT count(*) AS subjects, CAST(sum(n) AS BIGINT) AS pairs, sum((n - 3) * z) / sum(n - 3) AS z, 1.959963984540054 / sqrt(sum(n - 3)) AS h, sum(xy) / sqrt(sum(xx) * sum(yy)) AS w FROM us)
+            SELECT subjects, pairs, {rnd("tanh(z)")} AS r, {rnd("tanh(z - h)")} AS r_low, {rnd("tanh(z + h)")} AS r_high, {rnd("w")} AS r_within FROM pl""",
+        "subgroup_spread": spread(50, 7),
         "quality_overall": f'WITH {QUALITY} SELECT total_rows, total_subjects, start, "end", duration_hours, sampling_rate FROM full_rep WHERE level = \'overall\'',
         "quality_by_group": f"WITH {QUALITY} SELECT * FROM full_rep",
         "missing_by_column": f"""WITH {TWO}, miss AS (SELECT CASE WHEN grouping(dataset) = 1 THEN 'overall' WHEN grouping(subject) = 1 THEN 'dataset' ELSE 'subject' END AS level, dataset, subject, count(*) AS n,

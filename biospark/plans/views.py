@@ -27,7 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sample per event at its own instant."""
-    events = table(spark, sf_dir, "events")
+    return samples_of(table(spark, sf_dir, "events"))
+
+
+def samples_of(events: DataFrame) -> DataFrame:
     value, ts = F.col("value"), F.col("ts").cast("timestamp")
     sex = F.when(F.col("user_id") % 3 == 0, "m").otherwise("f")
     labels = F.create_map(*[F.lit(x) for pair in EVENT_LABELS.items() for x in pair])
@@ -57,9 +60,25 @@ def hourly_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal(spark: SparkSession, sf_dir: str, axes: bool = False) -> DataFrame:
     """All samples of each subject by hour, with classes as raw labels; the event id orders those of one hour."""
+    return hourly_signal(raw_samples(spark, sf_dir), axes)
+
+
+def hourly_signal(samples: DataFrame, axes: bool = False) -> DataFrame:
     movement = ["acc_x", "acc_y", "acc_z"] if axes else [magnitude(*map(F.col, ("acc_x", "acc_y", "acc_z"))).alias("acc_mag")]
-    return hourly_samples(spark, sf_dir).select(
-        "event_id", "subject", "timestamp", "hr", "eda_scl", "temp", *movement, "label"
+    hourly = samples.withColumn("timestamp", F.date_trunc("hour", "timestamp"))
+    return hourly.select("event_id", "subject", "timestamp", "hr", "eda_scl", "temp", *movement, "label")
+
+
+def predicted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows with a predicted class: an event is a window of six seconds per hundredth of its value, so they overlap and
+    cross midnight; some classes say stress."""
+    raw = raw_samples(spark, sf_dir)
+    length = F.round(F.col("value") * 100).cast("long") * 6_000_000
+    predicted = F.when(F.col("event_type").isin("error", "click"), "stress").otherwise("baseline")
+    return raw.select(
+        "event_id", "subject", F.col("timestamp").alias("timestamp_start"),
+        F.timestamp_micros(F.unix_micros("timestamp") + length).alias("timestamp_end"),
+        predicted.alias("predicted_label"), F.when(F.col("value") % 1 < 0.4, "stress").otherwise("baseline").alias("label"), "event_type",
     )
 
 

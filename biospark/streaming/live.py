@@ -23,6 +23,7 @@ from biospark.operators import features, windows
 from biospark.operators.align import METHODS
 from biospark.operators.windows import WindowOptions
 
+TIE = "instant_tie"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -118,13 +119,15 @@ class _Series:
 class _Closer(StatefulProcessor):
     """Keeps, per series, the samples from ``limit`` grid steps before the next window on."""
 
-    def __init__(self, options: LiveOptions, keys: list[str], numbers: list[str], texts: list[str], timestamp: str):
+    def __init__(self, options: LiveOptions, keys: list[str], numbers: list[str], texts: list[str], tie: bool = False):
         self.size, self.hop, self.limit = options.windows.size, options.windows.hop, options.limit
         self.step, self.method, self.idle = options.step_us, options.method, duration_micros(options.idle)
-        self.keys, self.numbers, self.texts, self.timestamp = keys, numbers, texts, timestamp
+        self.keys, self.numbers, self.texts = keys, numbers, texts
+        # The tie breaker is stored behind the signals.
+        self.stored = [*numbers, TIE] if tie else numbers
 
     def state_schema(self) -> T.StructType:
-        arrays = [T.StructField(f"n_{i}", T.ArrayType(T.DoubleType())) for i in range(len(self.numbers))]
+        arrays = [T.StructField(f"n_{i}", T.ArrayType(T.DoubleType())) for i in range(len(self.stored))]
         arrays += [T.StructField(f"t_{i}", T.ArrayType(T.StringType())) for i in range(len(self.texts))]
         return T.StructType(
             [
@@ -149,7 +152,7 @@ class _Closer(StatefulProcessor):
 
     def _store(self, series: _Series) -> None:
         us = sorted(series.rows)
-        columns = list(zip(*(series.rows[u] for u in us))) or [()] * (len(self.numbers) + len(self.texts))
+        columns = list(zip(*(series.rows[u] for u in us))) or [()] * (len(self.stored) + len(self.texts))
         self.state.update(
             (series.anchor, series.settled, series.next, series.carried, series.timers, us, *[list(c) for c in columns])
         )
@@ -157,15 +160,20 @@ class _Closer(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         series = self._load()
         for batch in rows:
-            numbers = [batch[c].astype(float).tolist() for c in self.numbers]
+            numbers = [batch[c].astype(float).tolist() for c in self.stored]
             texts = [batch[c].tolist() for c in self.texts]
             for us, *values in zip(batch["instant_us"].tolist(), *numbers, *texts):
                 if series.settled and us < series.anchor + (series.next * self.hop - self.limit - 1) * self.step:
                     continue
                 clean = tuple(None if v is None or v != v else v for v in values)
-                series.rows.setdefault(us, clean)
+                if us not in series.rows or self.stored is not self.numbers and self._tie(clean) < self._tie(series.rows[us]):
+                    series.rows[us] = clean
         yield from self._advance(key, series, timerValues.getCurrentWatermarkInMs() * 1000)
 
+    def _tie(self, row: tuple) -> float:
+        value = row[len(self.numbers)]
+        return float("inf") if value is None else value
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._advance(key, self._load(), timerValues.getCurrentWatermarkInMs() * 1000)
 
@@ -191,7 +199,9 @@ class _Closer(StatefulProcessor):
         if over:
             self.state.clear()
             return
-        wanted = {last // 1000 + 1, (last + self.idle) // 1000 + 1}
+        # When the next window can be final, when the last sample is settled, when the series is over.
+        following = series.anchor + (series.next * self.hop + self.size - 1 + self.limit) * self.step
+        wanted = {at // 1000 + 1 for at in (min(following, last), last, last + self.idle)}
         series.timers = sorted(t for t in wanted if t > watermark // 1000)
         for timer in series.timers:
             self.handle.registerTimer(timer)
@@ -210,7 +220,7 @@ class _Closer(StatefulProcessor):
             for u in gone:
                 values = series.rows.pop(u)
                 if (u - series.anchor) % self.step == 0:
-                    texts = values[len(self.numbers) :]
+                    texts = values[len(self.stored) :]
                     series.carried = [new if new is not None else old for new, old in zip(texts, series.carried)]
         return out
 
@@ -234,7 +244,7 @@ class _Closer(StatefulProcessor):
             now, line = series.carried[i], []
             for p in range(length):
                 row = at.get(p)
-                now = row[len(self.numbers) + i] if row and row[len(self.numbers) + i] is not None else now
+                now = row[len(self.stored) + i] if row and row[len(self.stored) + i] is not None else now
                 line.append(now)
             out[name] = np.array(line, object)[take]
         return pd.DataFrame(out)
@@ -265,7 +275,7 @@ def closed_windows(samples: DataFrame, options: LiveOptions = LiveOptions()) ->
     """The gridded rows of every window of the stream ``samples`` that can no longer change.
 
     A series is laid on a grid from its first sample; samples off the grid drop out, an instant that is repeated counts
-    once, gaps up to the limit are filled, texts are carried forward. A window is handed on when the watermark and the series'
+    once (by the windows' tie breaker, a whole number, else the row that arrives first), gaps up to the limit are filled, texts are carried forward. A window is handed on when the watermark and the series'
     own samples have passed it by the gap limit; then no row can change it, and it equals the batch aligner's. State per
     series is one window, the gap limit and what arrived within the delay; it is cleared after ``idle``.
 
@@ -275,11 +285,13 @@ def closed_windows(samples: DataFrame, options: LiveOptions = LiveOptions()) ->
     keys = windows.window_keys(samples, options.windows)
     if not keys:
         raise ValueError("a stream needs key columns")
-    numbers = [c for c in numeric_columns(samples) if c not in keys and c != options.windows.tie_breaker]
+    tie = options.windows.tie_breaker
+    numbers = [c for c in numeric_columns(samples) if c not in keys and c != tie]
     texts = [c for c in text_columns(samples) if c not in keys]
     rows = _usable(samples, keys, ts).select(
-        *keys, ts, F.unix_micros(ts).alias("instant_us"), *[F.col(c).cast("double").alias(c) for c in numbers], *texts
-    )
+        *keys, ts, F.unix_micros(ts).alias("instant_us"), *[F.col(c).cast("double").alias(c) for c in numbers], *texts,
+        *([F.col(tie).cast("double").alias(TIE)] if tie else []),
+    )
     schema = T.StructType(
         [
             *[samples.schema[k] for k in keys],
@@ -291,7 +303,7 @@ def closed_windows(samples: DataFrame, options: LiveOptions = LiveOptions()) ->
     closed = (
         rows.withWatermark(ts, _span(options.delay))
         .groupBy(*keys)
-        .transformWithStateInPandas(_Closer(options, keys, numbers, texts, ts), schema, "append", "eventTime")
+        .transformWithStateInPandas(_Closer(options, keys, numbers, texts, bool(tie)), schema, "append", "eventTime")
     )
     return closed.select(
         *keys, *numbers, *texts, F.timestamp_micros("instant_us").alias(ts), "__k", (F.col("__k") * options.windows.hop).alias("__start"),
