@@ -36,6 +36,8 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -53,10 +55,11 @@ SEGMENT_DOCS = 4096
 # Words that an encoder remembers in each of its two generations, and new ones that it encodes as one line.
 REMEMBERED = 250_000
 LINE = 512
-# Texts that are encoded together.
-GROUP = 256
+# Texts, and their characters, that are encoded together.
+GROUP = 1024
+GROUP_CHARS = 1 << 22
 
-PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-&(-~À-ÖØ-öø-ÿ]*")
+PLAIN = r"^[\t\n\x0b\x0c\r\x20-&(-~À-ÖØ-öø-ÿ]*$"
 # What the tokenizer's pre-split makes of a plain text without white space.
 PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 HEADER = struct.Struct("<IHBBH")
@@ -111,20 +114,38 @@ class Encoder:
         new.update(zip(unknown, self._encode_parts(unknown)))
         new.update({w: b"".join([new[p] for p in own]) for w, own in made.items()})
 
-    def _words(self, text: str) -> list[str] | None:
-        if not PLAIN.fullmatch(text):
-            return None
-        # The tokenizer lowers letters one by one, as Python does for these alphabets.
-        lowered = text.lower()
-        return None if any(a in lowered for a in self.added) else lowered.split()
+    def _plain_words(self, texts: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
+        """Which texts are plain, and the words of those, in lower case."""
+        # The tokenizer lowers letters one by one, as Arrow does for these alphabets.
+        lowered = pc.utf8_lower(texts)
+        plain = pc.match_substring_regex(texts, PLAIN)
+        for content in self.added:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(lowered, content)))
+        return plain.to_numpy(zero_copy_only=False), pc.ascii_split_whitespace(lowered.filter(plain))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """``texts`` are few, so that their words fit in memory."""
-        split = [self._words(t) for t in texts]
-        needed = set().union(*[s for s in split if s])
-        self._look_up(needed)
-        for text, words in zip(texts, split):
-            yield self._encode([text])[0] if words is None else b"".join(map(self.new.__getitem__, words))
+        """``texts`` are few, so that their words fit in memory. Words are looked up once each; numbers do the rest."""
+        plain, words = self._plain_words(pa.array(texts, pa.string()))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._look_up(set(distinct))
+        packed = list(map(self.new.__getitem__, distinct))
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        own = sizes[at]
+        stops = np.append(0, np.cumsum(own))
+        # Where each token of each word lies among the distinct words' tokens.
+        source = np.repeat(starts[at] - stops[:-1], own) + np.arange(stops[-1])
+        tokens = np.frombuffer(b"".join(packed), "<u4")[source].tobytes()
+        edges = 4 * stops[np.append(0, np.cumsum(words.value_lengths().to_numpy()))]
+        ranges = iter(zip(edges[:-1].tolist(), edges[1:].tolist()))
+        for text, is_plain in zip(texts, plain.tolist()):
+            if is_plain:
+                low, high = next(ranges)
+                yield tokens[low:high]
+            else:
+                yield self._encode([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -190,6 +211,17 @@ def unpack_documents(lengths, payload: bytes, block_starts) -> Iterator[bytes]:
         rest = joined[4 * length :]
 
 
+def _groups(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
+    low = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= GROUP_CHARS or i + 1 - low >= GROUP:
+            yield ids[low : i + 1], texts[low : i + 1]
+            low, size = i + 1, 0
+    if low < len(texts):
+        yield ids[low:], texts[low:]
+
+
 def write_tokens(
     docs: DataFrame,
     path: str,
@@ -207,9 +239,8 @@ def write_tokens(
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, ids, coded, size, offset = encoder(vocabulary), [], [], 0, 0
         for batch in batches:
-            for i in range(0, len(batch), GROUP):
-                group = batch.iloc[i : i + GROUP]
-                for key, tokens in zip(group["id"], own.encode(group["text"].tolist())):
+            for keys, texts in _groups(batch["id"].tolist(), batch["text"].tolist()):
+                for key, tokens in zip(keys, own.encode(texts)):
                     ids.append(None if key is None else int(key))
                     coded.append(tokens + end)
                     size += len(coded[-1]) // 4
