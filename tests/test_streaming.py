@@ -232,6 +232,9 @@ def test_state_is_bounded():
         )
         watermark = _Watermark(max(0, (low - 1 - 10) * 1000))
         handed += sum(len(out) for out in closer.handleInputRows(("f1",), iter([rows]), watermark))
+        for at in sorted(t for t in handle.timers if t <= watermark.at):
+            handle.timers.discard(at)
+            handed += sum(len(out) for out in closer.handleExpiredTimer(("f1",), watermark, None))
         held.append(len(handle.value[5]))
         assert len(handle.timers) <= 3
     assert max(held) <= 20 + 10 + 5 + 10 + 30 + 2 and held[-1] <= max(held[:10])
