@@ -180,7 +180,7 @@ def window_id_column(aggregated: DataFrame, size: int) -> Column:
 def finish(stats: DataFrame, source_columns: list[str], rate: float, extra: list[str] = ()) -> DataFrame:
     """Feature columns from window statistics; a group is absent when its signal column is."""
     if "hr" in source_columns:
-        stats = stats.withColumn("__bands", spectral.band_powers()(F.col("__rr_list")))
+        stats = stats.withColumn("__bands", spectral.band_powers(float(spectral.UPSAMPLING * rate))(F.col("__rr_list")))
     out: dict[str, Column] = {}
     if "hr" in source_columns:
         out |= _hrv(stats)

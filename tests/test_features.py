@@ -226,3 +226,17 @@ def test_spaced_peaks_in_windows(spark):
         count = plain_spaced(eda, statistics.mean(eda) + 0.5 * statistics.stdev(eda), 2)
         row = got[f"f01_{start:06d}_{start + 60:06d}"]
         assert (row.eda_peak_count, row.eda_peak_rate) == (count, pytest.approx(count / (len(eda) / 2) * 60))
+
+
+def test_band_powers_follow_the_sampling_rate(spark):
+    """A breath every four seconds is high frequency, however often the heart rate is sampled."""
+    from datetime import datetime, timedelta
+
+    for rate in (1.0, 2.0, 4.0):
+        n = int(120 * rate)
+        beats = [60 / (0.8 + 0.05 * math.sin(2 * math.pi * 0.25 * i / rate)) for i in range(n)]
+        start = datetime(2024, 1, 1)
+        rows = [("w", start + timedelta(seconds=i / rate), b) for i, b in enumerate(beats)]
+        df = spark.createDataFrame(rows, "window string, timestamp timestamp, hr double")
+        got = features.compute_hrv_features(df, ["window"], "timestamp", sampling_rate=rate).first()
+        assert got["hrv_hf_power"] > 10 * got["hrv_lf_power"]
