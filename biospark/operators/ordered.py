@@ -15,6 +15,8 @@ FAN_IN = 1024
 # Rows that a value range should hold, and the most ranges whose bounds one row can carry.
 ROWS_PER_BUCKET = 65536
 MOST_BUCKETS = 10_000
+# Leading binary digits that tell the bins of whole numbers apart.
+VALUE_BITS = 12
 
 
 def hash_bucket(text: Column, hex_digits: int = 3) -> Column:
@@ -129,31 +131,31 @@ def quantile_bucket(df: DataFrame, value: str, buckets: int | None = None) -> Da
     return bounded.withColumn("__bucket", F.aggregate(steps, start, halve)["low"].cast("long")).drop("__bounds")
 
 
-def medians(counted: DataFrame, keys: list[str], value: str, copies: str, name: str = "median") -> DataFrame:
-    """Exact median of ``value`` per key, for a stored table with one row per (key, value) and its number of ``copies``.
+def median_of_counts(counted: DataFrame, keys: list[str], value: str, copies: str, name: str = "median") -> DataFrame:
+    """Exact median per key of non-negative whole numbers, given as rows (key, value) with their number of ``copies``.
 
-    Values are dealt to ranges; only the ranges that hold the two middle ranks of a key are looked into, so neither
-    a task nor a hash map holds all values of a key.
+    Values are dealt to fixed bins that get wider with the value, VALUE_BITS leading binary digits each. A key has some
+    2^VALUE_BITS bins for every doubling at most, and a bin of numbers of b digits 2^(b - VALUE_BITS) values, so both the
+    ranking of bins and that of the values in the middle ones are bounded, however many rows there are.
     """
-    ranged = quantile_bucket(counted.filter(F.col(value).isNotNull()), value)
-    sizes = ranged.groupBy(*keys, "__bucket").agg(F.sum(copies).alias("__size"))
-    along = _partition(keys).orderBy("__bucket")
-    sizes = sizes.withColumns(
-        {
-            "__before": F.sum("__size").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"),
-            "__total": F.sum("__size").over(_partition(keys)),
-        }
+    digits = F.length(F.bin(F.col(value)))
+    dropped = F.greatest(digits - VALUE_BITS, F.lit(0)).cast("int")
+    leading = F.call_function("shiftright", F.col(value).cast("long"), dropped)
+    binned = counted.filter(F.col(value).isNotNull()).withColumn(
+        "__bin", F.shiftleft(dropped.cast("long"), VALUE_BITS) + leading
     )
+    sizes = binned.groupBy(*keys, "__bin").agg(F.sum(copies).alias("__size"))
+    upto = _partition(keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sizes.withColumns({"__end": F.sum("__size").over(upto), "__total": F.sum("__size").over(_partition(keys))})
     lower, upper = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
-    end = F.col("__before") + F.col("__size")
-    middle = sizes.filter((F.col("__before") <= upper) & (end > lower))
-    named = middle.withColumnsRenamed({k: f"__k_{k}" for k in keys} | {"__bucket": "__b"}).drop("__size")
-    on = F.col("__bucket") == F.col("__b")
+    ends = ends.withColumn("__before", F.col("__end") - F.col("__size"))
+    middle = ends.filter((F.col("__before") <= upper) & (F.col("__end") > lower))
+    middle = middle.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__bin").alias("__b"), "__before", "__total")
+    on = F.col("__bin") == F.col("__b")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("__before") + F.sum(copies).over(inside)
-    ranked = ranged.join(named, on).withColumn("__upto", upto)
+    inside = Window.partitionBy(*keys, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = binned.join(middle, on).withColumn("__upto", F.col("__before") + F.sum(copies).over(inside))
     least = [F.min(F.when(F.col("__upto") > rank, F.col(value))) for rank in (lower, upper)]
     return ranked.groupBy(*keys).agg(((least[0] + least[1]) / 2).alias(name))
 

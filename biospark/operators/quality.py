@@ -1,22 +1,23 @@
 """Validation against the contract and quality reports.
 
-Reports aggregate once per recording and roll the small result up to all levels, so the number of scans does not
-depend on the number of levels: one for the totals and one for the gaps between samples.
+Reports aggregate once per recording and roll the small result up to the levels asked for, so the number of scans does
+not depend on the number of levels: one for the totals and one for the gaps between samples.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from biospark.contracts import CONTRACT, feature_columns, series_keys
 from biospark.functions.scalars import duration_micros, micros, nan_to_null, seconds_between
-from biospark.operators.ordered import medians, previous_value, quantile_bucket, time_bucket
+from biospark.operators.ordered import median_of_counts, previous_value, quantile_bucket
 from biospark.session import stage
 
 # Fixed value: hours in seconds.
 HOUR = 3600.0
+OVERALL = "overall"
 
 
 def schema_issues(df: DataFrame) -> list[str]:
@@ -72,21 +73,34 @@ def validate_schema(df: DataFrame, strict: bool = False, order: str | None = Non
     return not issues, issues
 
 
-def _roll_up(per_recording: DataFrame, keys: list[str], aggs: list[Column], always: list[str] = ()) -> DataFrame:
+def report_levels(keys: list[str], levels: list[str] | None) -> list[str]:
+    """The levels of a report, "overall" and the keys, or those of them that are asked for; others are an error."""
+    known = [OVERALL, *keys]
+    if levels is None:
+        return known
+    if not levels or set(levels) - set(known):
+        raise ValueError(f"Unknown levels {levels}, the table has {known}")
+    return [name for name in known if name in levels]
+
+
+def roll_up(
+    per_recording: DataFrame, keys: list[str], aggs: list[Column], always: list[str] = (), levels: list[str] | None = None
+) -> DataFrame:
     """Aggregate a per-recording table overall, per dataset and per recording, in each level also by ``always``."""
-    sets = [[*keys[:i], *always] for i in range(len(keys) + 1)]
+    wanted = report_levels(keys, levels)
     if not keys:
-        return per_recording.groupBy(*always).agg(*aggs).withColumn("level", F.lit("overall"))
-    names = F.array(F.lit("overall"), *[F.lit(k) for k in keys])
+        return per_recording.groupBy(*always).agg(*aggs).withColumn("level", F.lit(OVERALL))
+    names = [OVERALL, *keys]
+    sets = [[*keys[:depth], *always] for depth, name in enumerate(names) if name in wanted]
     # grouping() is 0 for columns that are part of the grouping set of the row.
     depth = sum((1 - F.grouping(k).cast("int") for k in keys), F.lit(1))
     return per_recording.groupingSets([[F.col(k) for k in s] for s in sets], *keys, *always).agg(
-        F.element_at(names, depth).alias("level"), *aggs
+        F.element_at(F.array(*[F.lit(n) for n in names]), depth).alias("level"), *aggs
     )
 
 
-def get_data_quality_report(df: DataFrame, bucket: str = "1 hour") -> DataFrame:
-    """Rows, subjects, time range and sampling rate: overall, per dataset, per subject.
+def get_data_quality_report(df: DataFrame, bucket: str = "1 hour", levels: list[str] | None = None) -> DataFrame:
+    """Rows, subjects, time range and sampling rate: overall, per dataset, per subject, or at the ``levels`` named.
 
     Columns: level, the key columns, total_rows, total_subjects, start, end, duration_hours,
     sampling_rate. Time columns are null for a table without timestamps or with a single row.
@@ -100,42 +114,62 @@ def get_data_quality_report(df: DataFrame, bucket: str = "1 hour") -> DataFrame:
     aggs = [F.sum("rows").alias("total_rows"), F.count_distinct("__subject").alias("total_subjects")]
     if timed:
         aggs += [F.min("start").alias("start"), F.max("end").alias("end")]
-    report = _roll_up(per_recording, keys, aggs)
+    report = roll_up(per_recording, keys, aggs, levels=levels)
     if not timed:
         absent = {"start": "timestamp", "end": "timestamp", "duration_hours": "double", "sampling_rate": "string"}
         return report.withColumns({c: F.lit(None).cast(t) for c, t in absent.items()})
-    several = F.col("total_rows") > 1
-    report = report.withColumns({c: F.when(several, F.col(c)) for c in ("start", "end")}).withColumn(
-        "duration_hours", seconds_between(F.col("start"), F.col("end")) / HOUR
-    )
-    rates = sampling_rate(df, bucket)
+    rates = sampling_rate(df, bucket, levels)
     on = F.col("r.level") == F.col("s.level")
     for key in keys:
         on = on & F.col(f"r.{key}").eqNullSafe(F.col(f"s.{key}"))
-    rate = F.when(several, F.coalesce(F.col("s.sampling_rate"), F.lit("Unknown")))
-    return report.alias("r").join(rates.alias("s"), on, "left").select("r.*", rate.alias("sampling_rate"))
+    rate = F.coalesce(F.col("s.sampling_rate"), F.lit("Unknown")).alias("sampling_rate")
+    return timed_report(report.alias("r").join(rates.alias("s"), on, "left").select("r.*", rate))
+
+
+def timed_report(report: DataFrame) -> DataFrame:
+    """Add the duration to a report with its rates; times and rates of a single row are null."""
+    several = F.col("total_rows") > 1
+    return report.withColumns({c: F.when(several, F.col(c)) for c in ("start", "end", "sampling_rate")}).withColumn(
+        "duration_hours", seconds_between(F.col("start"), F.col("end")) / HOUR
+    )
 
 
-def sampling_rate(df: DataFrame, bucket: str = "1 hour") -> DataFrame:
+def sampling_rate(df: DataFrame, bucket: str = "1 hour", levels: list[str] | None = None) -> DataFrame:
     """Median interval between successive samples of a recording and its rate text, per level.
 
-    The exact median is taken over (interval, count) pairs, which are stored once for all levels.
+    The exact median is taken over (interval, count) pairs. Rows without a key or an instant belong to no recording.
     """
     keys = series_keys(df.columns)
-    picked = df.select(*keys, "timestamp").filter(F.col("timestamp").isNotNull())
-    gaps = previous_value(picked, keys, time_bucket(F.col("timestamp"), duration_micros(bucket)), "timestamp")
-    counted = (
-        gaps.filter(F.col("previous").isNotNull())
-        .withColumn("gap", seconds_between(F.col("previous"), F.col("timestamp")))
-        .groupBy(*keys, "gap")
-        .agg(F.count("*").alias("n"))
-    )
+    intervals = _intervals(df, keys, duration_micros(bucket))
     # The interval is part of every level.
-    rolled = stage(_roll_up(counted, keys, [F.sum("n").alias("n")], ["gap"]))
-    found = medians(rolled, ["level", *keys], "gap", "n", "median_interval")
+    rolled = roll_up(intervals, keys, [F.sum("n").alias("n")], ["gap"], levels)
+    found = median_of_counts(rolled, ["level", *keys], "gap", "n", "median_interval")
+    found = found.withColumn("median_interval", F.col("median_interval") / F.lit(1e6))
     return found.select(*keys, "level", "median_interval", rate_text(F.col("median_interval")).alias("sampling_rate"))
 
 
+def _intervals(df: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """How often (``n``) each interval (``gap``, in microseconds) between successive samples of a recording occurs.
+
+    One scan and one shuffle of samples, by stretches of time: a window gives the intervals inside a stretch, counted
+    where they arise; those between stretches follow from one row per stretch. A regular recording leaves a few rows per
+    stretch, which are stored, as every level reads them.
+    """
+    known = F.col("timestamp").isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    at = df.filter(known).select(*keys, micros(F.col("timestamp")).alias("__at"))
+    at = at.withColumn("__stretch", F.floor(F.col("__at") / F.lit(width)).cast("long")).repartition(*keys, "__stretch")
+    ends = at.groupBy(*keys, "__stretch").agg(F.min("__at").alias("__first"), F.max("__at").alias("__until"))
+    # As many rows per recording as it has stretches, whatever its rate.
+    entered = F.lag("__until").over(Window.partitionBy(*keys or [F.lit(0)]).orderBy("__stretch"))
+    between = ends.select(*keys, (F.col("__first") - entered).alias("gap"), F.lit(1).cast("long").alias("n"))
+    within = Window.partitionBy(*keys, "__stretch").orderBy("__at")
+    inside = at.withColumn("gap", F.col("__at") - F.lag("__at").over(within))
+    inside = inside.groupBy(*keys, "__stretch", "gap").agg(F.count("*").alias("n")).drop("__stretch")
+    return stage(inside.unionByName(between).filter(F.col("gap").isNotNull()))
+
+
 def rate_text(interval: Column) -> Column:
     rate = F.lit(1.0) / F.when(interval > 0, interval)
     # Quarters are exact in binary and round half to even.
@@ -153,7 +187,7 @@ def missing_by_column(df: DataFrame) -> DataFrame:
         F.count("*").alias("__rows"), *[F.count(v).alias(f"__known_{c}") for c, v in named.items()]
     )
     sums = [F.sum(f"__known_{c}").alias(f"__known_{c}") for c in df.columns]
-    rolled = _roll_up(per_recording, keys, [F.sum("__rows").alias("__rows"), *sums])
+    rolled = roll_up(per_recording, keys, [F.sum("__rows").alias("__rows"), *sums])
     listed = F.array(
         *[F.struct(F.lit(c).alias("column"), (F.col("__rows") - F.col(f"__known_{c}")).alias("missing")) for c in df.columns]
     )

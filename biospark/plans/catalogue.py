@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from biospark.contracts import ACC_COLUMNS, EDA_COLUMNS, HRV_COLUMNS, TEMP_COLUMNS, feature_columns
 from biospark.functions.scalars import file_stem, subject_from_file
-from biospark.operators import align, cycles, fairness, harmonize, load, metrics, ml, quality, splits
+from biospark.operators import align, cycles, fairness, harmonize, load, metrics, ml, quality, splits, states
 from biospark.operators.windows import WindowOptions, align_and_extract, extract_features_from_windows
 from biospark.plans import views
 from biospark.session import scratch_dir, stage
@@ -382,8 +382,8 @@ def _two_datasets(spark, sf_dir):
 
 @query
 def quality_overall(spark, sf_dir):
-    report = quality.get_data_quality_report(_two_datasets(spark, sf_dir), "1 day")
-    return tidy(report.filter("level = 'overall'").select(
+    report = quality.get_data_quality_report(_two_datasets(spark, sf_dir), "1 day", ["overall"])
+    return tidy(report.select(
         "total_rows", "total_subjects", "start", "end", "duration_hours", "sampling_rate"))
 
 
@@ -402,6 +402,20 @@ def sampling_rate(spark, sf_dir):
     return tidy(quality.sampling_rate(_two_datasets(spark, sf_dir), "1 day"))
 
 
+@query
+def quality_from_states(spark, sf_dir):
+    """The exact part of the report from states that were stored in one load per half of the days."""
+    samples, path = _two_datasets(spark, sf_dir), f"{scratch_dir(spark).rstrip('/')}/states-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        part = samples.filter(F.dayofyear("timestamp") % 2 == half)
+        states.store_states(states.quality_states(part), path, f"half-{half}")
+    stored = spark.read.parquet(path)
+    report = states.report_of_states(stored).select("level", "dataset", "subject", "total_rows", "start", "end", "duration_hours")
+    missing = states.missing_of_states(stored).groupBy("level", "dataset", "subject").agg(F.sum("missing_count").alias("missing"))
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("level", "dataset", "subject")]
+    return tidy(report.alias("r").join(missing.alias("m"), on).select("r.*", "missing"))
+
+
 @query
 def dataset_counts(spark, sf_dir):
     data = _two_datasets(spark, sf_dir)

@@ -444,6 +444,11 @@ def statements() -> dict[str, str]:
         "subgroup_spread": spread(50, 7),
         "quality_overall": f'WITH {QUALITY} SELECT total_rows, total_subjects, start, "end", duration_hours, sampling_rate FROM full_rep WHERE level = \'overall\'',
         "quality_by_group": f"WITH {QUALITY} SELECT * FROM full_rep",
+        "quality_from_states": f"""WITH {TWO} SELECT CASE WHEN grouping(dataset) = 1 THEN 'overall' WHEN grouping(subject) = 1 THEN 'dataset' ELSE 'subject' END AS level, dataset, subject,
+            count(*) AS total_rows, CASE WHEN count(*) > 1 THEN {clock('min(timestamp)')} END AS start, CASE WHEN count(*) > 1 THEN {clock('max(timestamp)')} END AS "end",
+            CASE WHEN count(*) > 1 THEN {rnd('(epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / CAST(3600000000 AS DOUBLE)')} END AS duration_hours,
+            CAST(4 * count(*) - count(hr) - count(eda_scl) - count(temp) - count(label) AS BIGINT) AS missing
+            FROM two GROUP BY GROUPING SETS ((), (dataset), (dataset, subject))""",
         "missing_by_column": f"""WITH {TWO}, miss AS (SELECT CASE WHEN grouping(dataset) = 1 THEN 'overall' WHEN grouping(subject) = 1 THEN 'dataset' ELSE 'subject' END AS level, dataset, subject, count(*) AS n,
               0 AS m1, 0 AS m2, count(*) - count(timestamp) AS m3, count(*) - count(hr) AS m4, count(*) - count(eda_scl) AS m5, count(*) - count(temp) AS m6, count(*) - count(label) AS m7
               FROM two GROUP BY GROUPING SETS ((), (dataset), (dataset, subject))),

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
 from biospark.contracts import CONTRACT
 from biospark.functions.scalars import duration_micros
-from biospark.operators import harmonize, quality
+from biospark.operators import harmonize, quality, states
 from tests.conftest import at, samples
 
 
@@ -96,6 +99,29 @@ def test_quality_single_row_and_unknown_rate(spark):
     assert by[("subject", "b")].sampling_rate == "Unknown"
 
 
+def test_rates_across_stretches_and_levels(spark):
+    rng = random.Random(4)
+    rows = [("a", i * 0.25, 1.0) for i in range(40)] + [("b", 7.0 * i, 1.0) for i in range(30)] + [("a", 9000.0, 1.0)] * 2
+    rows += [("c", rng.randrange(10**9) / 1e3, 1.0) for _ in range(200)] + [("d", 5.0, 1.0), (None, 1.0, 1.0), (None, 2.0, 1.0)]
+    table = samples(spark, rows).unionByName(spark.createDataFrame([("b", None, 2.0)] * 50, "subject string, timestamp timestamp, hr double"))
+    gaps = {}
+    for subject in "abcd":
+        own = sorted(t for s, t, _ in rows if s == subject)
+        gaps[subject] = [b - a for a, b in zip(own, own[1:])]
+    expected = {("subject", s): statistics.median(g) for s, g in gaps.items() if g}
+    expected["overall", None] = statistics.median(sum(gaps.values(), []))
+    for width in ("1 s", "1 min", "400 days"):
+        got = {(r.level, r.subject): r.median_interval for r in quality.sampling_rate(table, width).collect()}
+        assert got == {k: pytest.approx(v) for k, v in expected.items()}
+    whole = {(r.level, r.subject): tuple(r) for r in quality.get_data_quality_report(table).collect()}
+    for levels in (["overall"], ["subject"]):
+        part = {(r.level, r.subject): tuple(r) for r in quality.get_data_quality_report(table, levels=levels).collect()}
+        assert part == {k: v for k, v in whole.items() if k[0] in levels}
+    for levels in (["dataset"], []):
+        with pytest.raises(ValueError, match="levels"):
+            quality.get_data_quality_report(table, levels=levels)
+
+
 @pytest.mark.parametrize("interval, text", [(4.0, "0.2 Hz"), (20.0, "0.1 Hz"), (0.8, "1.2 Hz"), (1.0, "1.0 Hz"), (0.015625, "64.0 Hz")])
 def test_rate_text(spark, interval, text):
     assert spark.range(1).select(quality.rate_text(F.lit(interval))).first()[0] == text
@@ -125,3 +151,49 @@ def test_durations():
     assert duration_micros(None) is None and duration_micros("") is None
     with pytest.raises(ValueError):
         duration_micros("-1s")
+
+
+def stated(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(40):
+        t = 0.0
+        for _ in range(300):
+            t += rng.choice([0.25, 0.25, 1.0, rng.expovariate(0.0002)])
+            rows.append((f"f{k:02d}", at(t), rng.choice([None, float("nan"), 1.0, 2.0])))
+    rows += [("f01", None, 1.0), (None, at(3.0), 1.0), (None, at(9.0), 1.0), ("f99", at(1.0), None)]
+    return spark.createDataFrame(rows, "subject string, timestamp timestamp, hr double")
+
+
+def test_report_of_stored_states(spark, tmp_path):
+    """Loads of single days give the exact report's counts, and medians within the stated rank error."""
+    table, path = stated(spark), str(tmp_path / "states")
+    days = [r.d for r in table.select(F.to_date("timestamp").alias("d")).distinct().collect()]
+    for day in [*days, days[0]]:
+        part = table.filter(F.to_date("timestamp").eqNullSafe(F.lit(day)))
+        states.store_states(states.quality_states(part, "6 hours"), path, str(day))
+    stored = spark.read.parquet(path)
+    assert len(days) > 3 and stored.select("load").distinct().count() == len(days)
+    kept = ("level", "subject", "total_rows", "total_subjects", "start", "end", "duration_hours")
+    exact = quality.get_data_quality_report(table)
+    got = states.report_of_states(stored)
+    assert set(map(tuple, got.select(*kept).collect())) == set(map(tuple, exact.select(*kept).collect()))
+    medians = {(r.level, r.subject): r.median_interval for r in quality.sampling_rate(table).collect()}
+    enclosed = {(r.level, r.subject): (r.low_interval, r.high_interval) for r in got.collect() if r.subject or r.level == "overall"}
+    single = ("subject", "f99")
+    assert enclosed.pop(single) == (None, None) and set(enclosed) == set(medians)
+    assert all(low <= medians[k] <= high for k, (low, high) in enclosed.items())
+    missing = quality.missing_by_column(table).filter("column = 'hr'")
+    assert set(map(tuple, states.missing_of_states(stored).collect())) == set(map(tuple, missing.collect()))
+
+
+def test_states_of_odd_tables(spark):
+    empty = stated(spark).limit(0)
+    assert states.quality_states(empty).count() == 0
+    assert states.report_of_states(states.quality_states(empty)).count() == quality.get_data_quality_report(empty).count() == 0
+    extra = stated(spark).withColumn("rows", F.lit(1)).withColumn("load", F.lit("x")).withColumn("start", F.lit(2.0))
+    got = {r["column"]: r.missing_count for r in states.missing_of_states(states.quality_states(extra), ["overall"]).collect()}
+    assert got == {"hr": got["hr"], "rows": 0, "load": 0, "start": 0}
+    repeated = samples(spark, [("a", 1.0, 1.0)] * 5)
+    row = states.report_of_states(states.quality_states(repeated), ["subject"]).first()
+    assert (row.total_rows, row.median_interval, row.sampling_rate) == (5, 0.0, "Unknown")

@@ -213,14 +213,17 @@ def test_counts_beyond_whole_numbers(spark):
     assert metrics.roc_auc_of(points).first()[0] == pytest.approx(1.0, abs=1e-6)
 
 
-def test_medians_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 20)
+def test_median_of_counts(spark):
     rng = np.random.default_rng(1)
-    values = {k: np.round(rng.normal(size=n) * 10, 2) for k, n in (("a", 1001), ("b", 400), ("c", 1), ("d", 2))}
-    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [(None, 3.0), (None, 4.0)]
-    counted = spark.createDataFrame(rows, "k string, v double").groupBy("k", "v").count()
-    got = {r.k: r["median"] for r in ordered.medians(counted, ["k"], "v", "count").collect()}
-    assert got == {k: pytest.approx(float(np.median(vs))) for k, vs in values.items()} | {None: 3.5}
+    spreads = {"a": (1001, 2**40), "b": (400, 50), "c": (1, 2**50), "d": (2, 2**30), "e": (3000, 2**14), "f": (6, 1)}
+    values = {k: rng.integers(0, most, n) for k, (n, most) in spreads.items()}
+    values["g"] = np.array([4095, 4096, 8191, 8192, 0, 2**62])
+    rows = [(k, int(v)) for k, vs in values.items() for v in vs] + [(None, 3), (None, 4), ("h", None)]
+    counted = spark.createDataFrame(rows, "k string, v long").groupBy("k", "v").count()
+    got = {r.k: r["median"] for r in ordered.median_of_counts(counted, ["k"], "v", "count").collect()}
+    assert got == {k: float(np.median(vs)) for k, vs in values.items()} | {None: 3.5}
+    total = ordered.median_of_counts(counted, [], "v", "count").first()["median"]
+    assert total == float(np.median(np.concatenate([*values.values(), [3, 4]])))
 
 
 def test_previous_values_over_sparse_orders(spark, monkeypatch):
