@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from biospark.contracts import feature_columns
 from biospark.functions.scalars import nan_to_null
 from biospark.operators import metrics
+from biospark.operators.ensembles import SoftmaxModel, fit_softmax, fit_subsample_forest
 from biospark.operators.ordered import quantile_bucket, running_sums
 from biospark.operators.splits import grouped_folds, stratified_folds
 from biospark.session import stage
@@ -166,8 +167,9 @@ class FeatureScaling:
 class BaselineModel:
     """Median filling, scaling, label encoding and a tree model.
 
-    ``max_depth=None`` means DEEPEST_TREE for forests and BOOSTED_DEPTH for boosted trees. ``class_weight`` is "balanced" or
-    None. ``impute`` fills gaps with training medians ("train") or with those of the scored table ("per_frame"). More than
+    ``max_depth=None`` means DEEPEST_TREE for forests and BOOSTED_DEPTH for boosted trees. ``class_weight`` is "balanced",
+    "balanced_subsample" (forests only: the weights of each tree's bootstrap sample) or None. More than two classes are
+    boosted with one softmax and ``learning_rate`` by "xgboost", one against the rest by "gbt". ``impute`` fills gaps with training medians ("train") or with those of the scored table ("per_frame"). More than
     ``max_training_rows`` labelled rows are an error. What cannot be done as asked is an error too.
     """
 
@@ -177,34 +179,43 @@ class BaselineModel:
     random_state: int = 42
     class_weight: str | None = "balanced"
     impute: str = "train"
+    learning_rate: float = 0.3
     max_training_rows: int = MOST_TRAINING_ROWS
     feature_cols: list[str] = field(default_factory=list)
     classes: list[str] = field(default_factory=list)
     scaling: FeatureScaling | None = None
-    model: Model | None = None
+    model: Model | SoftmaxModel | None = None
 
     def __post_init__(self):
         if self.model_type not in ("random_forest", "xgboost", "gbt"):
             raise ValueError(f"Unsupported model type: {self.model_type}")
         if self.max_depth is not None and not 0 <= self.max_depth <= DEEPEST_TREE:
             raise ValueError(f"max_depth {self.max_depth} is not between 0 and {DEEPEST_TREE}")
-        if self.class_weight == "balanced_subsample":
-            raise ValueError("class weights per bootstrap sample ('balanced_subsample') are not available, use 'balanced'")
-        if self.class_weight not in (None, "balanced"):
+        if self.class_weight == "balanced_subsample" and self.model_type != "random_forest":
+            raise ValueError("class weights per bootstrap sample ('balanced_subsample') need a forest, use 'balanced'")
+        if self.class_weight not in (None, "balanced", "balanced_subsample"):
             raise ValueError(f"Unknown class_weight: {self.class_weight}")
         if self.impute not in ("train", "per_frame"):
             raise ValueError(f"Unknown impute: {self.impute}")
 
-    def _estimator(self, classes: int):
+    def _fitted(self, prepared: DataFrame) -> Model | SoftmaxModel:
         columns = {"featuresCol": "__features", "labelCol": "__label", "weightCol": "__weight"}
+        depth = self.max_depth
+        if depth is None:
+            depth = DEEPEST_TREE if self.model_type == "random_forest" else BOOSTED_DEPTH
+        size, seed, classes = self.n_estimators, self.random_state, len(self.classes)
+        if self.class_weight == "balanced_subsample":
+            return fit_subsample_forest(prepared, classes, size, depth, seed)
         if self.model_type == "random_forest":
-            depth = DEEPEST_TREE if self.max_depth is None else self.max_depth
-            return RandomForestClassifier(
-                numTrees=self.n_estimators, maxDepth=depth, seed=self.random_state, **columns
-            )
-        depth = BOOSTED_DEPTH if self.max_depth is None else self.max_depth
-        boosted = GBTClassifier(maxIter=self.n_estimators, maxDepth=depth, seed=self.random_state, **columns)
-        return boosted if classes == 2 else OneVsRest(classifier=boosted, **columns)
+            return RandomForestClassifier(numTrees=size, maxDepth=depth, seed=seed, **columns).fit(prepared)
+        if self._softmax:
+            return fit_softmax(prepared, classes, size, depth, self.learning_rate, seed)
+        boosted = GBTClassifier(maxIter=size, maxDepth=depth, seed=seed, **columns)
+        return (boosted if classes == 2 else OneVsRest(classifier=boosted, **columns)).fit(prepared)
+
+    @property
+    def _softmax(self) -> bool:
+        return self.model_type == "xgboost" and len(self.classes) > 2
 
     def fit(self, train: DataFrame, feature_cols: list[str] | None = None) -> BaselineModel:
         """Fit on a window table; it is read several times, so give a stored or staged one."""
@@ -224,7 +235,7 @@ class BaselineModel:
             code.cast("double").alias("__label"),
             (weight if self.class_weight else F.lit(1.0)).alias("__weight"),
         )
-        self.model = self._estimator(len(self.classes)).fit(prepared)
+        self.model = self._fitted(prepared)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -232,6 +243,8 @@ class BaselineModel:
         scored = self.model.transform(self.scaling.transform(df, own_medians=self.impute == "per_frame"))
         if "probability" in scored.columns:
             shares = vector_to_array("probability")
+        elif "__shares" in scored.columns:
+            shares = F.col("__shares")
         else:
             raw = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
             scored = scored.withColumn("__shares", raw)
@@ -254,21 +267,29 @@ class BaselineModel:
     def save(self, path: str) -> None:
         """The fitted model with everything that ``transform`` needs, under ``path``."""
         spark = SparkSession.getActiveSession()
-        settings = {f: getattr(self, f) for f in ("model_type", "n_estimators", "max_depth", "random_state", "class_weight", "impute")}
+        settings = {f: getattr(self, f) for f in ("model_type", "n_estimators", "max_depth", "random_state", "class_weight", "impute", "learning_rate")}
         settings |= {"feature_cols": self.feature_cols, "classes": self.classes, "scaling": vars(self.scaling)}
         spark.createDataFrame([(json.dumps(settings),)], "value string").write.mode("overwrite").text(f"{path}/settings")
-        self.model.write().overwrite().save(f"{path}/trees")
+        if isinstance(self.model, SoftmaxModel):
+            self.model.save(f"{path}/trees")
+        else:
+            self.model.write().overwrite().save(f"{path}/trees")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> BaselineModel:
         settings = json.loads(spark.read.text(f"{path}/settings").first()["value"])
         scaling = FeatureScaling(**settings.pop("scaling"))
-        classes = settings["classes"]
-        if settings["model_type"] == "random_forest":
+        found = cls(**settings, scaling=scaling)
+        classes = len(found.classes)
+        if found._softmax:
+            found.model = SoftmaxModel.load(f"{path}/trees", classes)
+            return found
+        if found.model_type == "random_forest":
             reader = RandomForestClassificationModel
         else:
-            reader = GBTClassificationModel if len(classes) == 2 else OneVsRestModel
-        return cls(**settings, scaling=scaling, model=reader.load(f"{path}/trees"))
+            reader = GBTClassificationModel if classes == 2 else OneVsRestModel
+        found.model = reader.load(f"{path}/trees")
+        return found
 
     def feature_importance(self, spark) -> DataFrame:
         """feature, importance in descending order; features without any value have importance 0."""

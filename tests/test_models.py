@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from biospark.operators import metrics, ml, ordered, splits
+from biospark.operators import ensembles, metrics, ml, ordered, splits
 
 
 def windows(spark, counts, labels=("stress", "baseline"), seed=1):
@@ -185,7 +185,7 @@ def test_cross_validation(spark):
 
 
 @pytest.mark.parametrize(
-    "options", [{"max_depth": 31}, {"class_weight": "typo"}, {"class_weight": "balanced_subsample"}, {"impute": "mean"}, {"model_type": "svm"}]
+    "options", [{"max_depth": 31}, {"class_weight": "typo"}, {"class_weight": "balanced_subsample", "model_type": "gbt"}, {"impute": "mean"}, {"model_type": "svm"}]
 )
 def test_options_that_cannot_be_met_are_errors(options):
     with pytest.raises(ValueError):
@@ -197,10 +197,13 @@ def test_bound_on_training_rows(spark):
         ml.BaselineModel(max_training_rows=10).fit(separable(spark, ["baseline", "stress"]), ["x"])
 
 
-@pytest.mark.parametrize("model_type, labels", [("random_forest", 2), ("gbt", 2), ("gbt", 3)])
-def test_saved_models_predict_alike(spark, tmp_path, model_type, labels):
+@pytest.mark.parametrize(
+    "model_type, labels, weight",
+    [("random_forest", 2, "balanced"), ("random_forest", 3, "balanced_subsample"), ("gbt", 2, None), ("gbt", 3, None), ("xgboost", 3, "balanced")],
+)
+def test_saved_models_predict_alike(spark, tmp_path, model_type, labels, weight):
     table = separable(spark, ["baseline", "physical", "stress"][-labels:])
-    model = ml.BaselineModel(model_type, n_estimators=3, max_depth=3).fit(table, ["x", "noise"])
+    model = ml.BaselineModel(model_type, n_estimators=3, max_depth=3, class_weight=weight).fit(table, ["x", "noise"])
     model.save(str(tmp_path / "m"))
     again = ml.BaselineModel.load(spark, str(tmp_path / "m"))
     assert again.predictions(table).collect() == model.predictions(table).collect()
@@ -273,3 +276,87 @@ def test_importance_of_a_known_leading_feature(spark, monkeypatch):
     assert rows[0]["feature"] == "temp_mean" and weights == sorted(weights, reverse=True)
     assert {r["feature"] for r in rows} == {"eda_mean", "hrv_hr_mean", "temp_mean"}
     assert weights[0] > 0.5 and sum(weights) == pytest.approx(1)
+
+
+def ringed(spark, n=600, seed=11):
+    """Three classes by distance from the middle, in two noisy columns: no single split tells any of them apart."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        a, b = rng.uniform(-3, 3), rng.uniform(-3, 3)
+        ring = min(int((a * a + b * b) ** 0.5 + rng.gauss(0, 0.1)), 2)
+        rows.append((f"w{i}", f"s{i % 10}", ["baseline", "physical", "stress"][max(ring, 0)], a, b, rng.gauss(0, 1)))
+    return spark.createDataFrame(rows, "window_id string, subject string, label string, a double, b double, noise double")
+
+
+def losses(predictions, classes):
+    own = F.coalesce(*[F.when(F.col("label") == c, F.col(f"prob_{c}")) for c in classes])
+    return predictions.agg(F.avg(-F.log(F.greatest(own, F.lit(1e-6)))), F.avg((F.col("label") == F.col("predicted_label")).cast("int"))).first()
+
+
+def test_softmax_boosting_falls_and_beats_one_against_the_rest(spark):
+    table = ringed(spark).cache()
+    train, held_out = table.filter("subject < 's7'"), table.filter("subject >= 's7'")
+    columns = ["a", "b", "noise"]
+    shared = ml.BaselineModel("xgboost", n_estimators=12, max_depth=3, class_weight=None).fit(train, columns)
+    scaled = shared.scaling.transform(train).withColumn(
+        "__label", F.array_position(F.array(*[F.lit(c) for c in shared.classes]), F.col("label")) - 1
+    )
+    falling = [shared.model.first(r).log_loss(scaled) for r in (1, 3, 6, 12)]
+    assert falling == sorted(falling, reverse=True) and falling[0] < np.log(3) and falling[-1] < 0.35
+    predictions = shared.predictions(held_out)
+    assert predictions.filter(F.abs(F.col("prob_baseline") + F.col("prob_physical") + F.col("prob_stress") - 1) > 1e-9).isEmpty()
+    loss, right = losses(predictions, shared.classes)
+    apart = ml.BaselineModel("gbt", n_estimators=12, max_depth=3, class_weight=None).fit(train, columns)
+    loss_apart, _ = losses(apart.predictions(held_out), apart.classes)
+    assert right > 0.85 and loss < loss_apart
+    weights = {r.feature: r.importance for r in shared.feature_importance(spark).collect()}
+    assert min(weights["a"], weights["b"]) > weights["noise"]
+
+
+def test_a_round_is_the_newton_step(spark):
+    """Depth 0: the leaf is sum(w (y - p)) / sum(w p (1 - p)), at p = 1/3 in the first round."""
+    rows = [(0.0, 1.0)] * 5 + [(1.0, 2.0)] * 3 + [(2.0, 0.5)] * 4
+    table = spark.createDataFrame([(1.0, *r) for r in rows], "x double, __label double, __weight double")
+    table = ml.VectorAssembler(inputCols=["x"], outputCol="__features").transform(table)
+    total = sum(w for _, w in rows)
+    scores = []
+    for k in range(3):
+        step = (sum(w for y, w in rows if y == k) - total / 3) / (total * 2 / 9)
+        scores.append(0.5 * step)
+    powers = np.exp(scores)
+    got = ensembles.fit_softmax(table, 3, rounds=1, depth=0, rate=0.5).transform(table).first()["__shares"]
+    assert got == pytest.approx(list(powers / powers.sum()))
+
+
+def test_weights_of_each_bootstrap_sample(spark):
+    from biospark.operators.fairness import copies
+
+    rows = spark.range(60).select(F.col("id").alias("__unit"), F.when(F.col("id") < 50, 0.0).when(F.col("id") < 59, 1.0).otherwise(2.0).alias("__label"))
+    got = ensembles.sample_weights(rows, 12, 5)
+    drawn = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("i"))
+    counted = drawn.groupBy("i", "__label").agg(F.sum(copies(F.col("__unit"), 5, F.col("i"))).alias("n")).collect()
+    for i, weights in enumerate(got, 1):
+        sizes = {r["__label"]: r.n for r in counted if r.i == i and r.n}
+        assert weights == {k: pytest.approx(sum(sizes.values()) / (len(sizes) * n)) for k, n in sizes.items()}
+        # Every class of a sample weighs the same in it.
+        assert len({round(weights[k] * sizes[k], 9) for k in sizes}) == 1
+    assert {len(w) for w in got} == {2, 3}
+
+
+def test_forest_weighted_per_sample(spark):
+    rare = separable(spark, ["baseline"] * 19 + ["stress"], n=400)
+    model = ml.BaselineModel(n_estimators=12, max_depth=4, class_weight="balanced_subsample").fit(rare, ["x", "noise"])
+    predictions = model.predictions(rare)
+    assert model.model.getNumTrees == 12
+    assert losses(predictions, model.classes)[1] > 0.95 and predictions.filter("label = 'stress' and predicted_label = 'stress'").count() >= 18
+    again = ml.BaselineModel(n_estimators=12, max_depth=4, class_weight="balanced_subsample").fit(rare, ["x", "noise"])
+    assert sorted(map(tuple, again.predictions(rare).collect())) == sorted(map(tuple, predictions.collect()))
+
+
+@pytest.mark.parametrize("model_type, weight", [("random_forest", "balanced"), ("random_forest", "balanced_subsample"), ("gbt", "balanced")])
+def test_models_find_a_planted_rule(spark, model_type, weight):
+    table = ringed(spark).withColumn("label", F.when((F.col("a") > 0) != (F.col("b") > 0.5), "stress").otherwise("baseline"))
+    train, held_out = table.filter("subject < 's7'"), table.filter("subject >= 's7'")
+    model = ml.BaselineModel(model_type, n_estimators=15, max_depth=5, class_weight=weight).fit(train, ["a", "b", "noise"])
+    assert losses(model.predictions(held_out), model.classes)[1] > 0.9
+    assert ml.evaluate_model(model.predictions(held_out))["roc_auc"].first()[0] > 0.95
