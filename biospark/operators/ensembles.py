@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from biospark.operators.fairness import copies
 from biospark.session import stage
@@ -21,6 +23,8 @@ from biospark.session import stage
 ROUNDS_STORED = 5
 # Bound on a row's Newton step, as a row that is far off has next to no curvature.
 FARTHEST_STEP = 4.0
+# Trees of one round that are fitted at the same time.
+FITS_AT_ONCE = 8
 REGRESSORS = "org.apache.spark.ml.regression"
 CLASSIFIERS = "org.apache.spark.ml.classification"
 
@@ -76,7 +80,7 @@ def fit_softmax(
     """Newton boosting of the multinomial log loss over rows of ``__features``, ``__label`` (0, 1, ...), ``__weight``.
 
     A round fits one tree per class to (indicator - p) / (p (1 - p)) with weights p (1 - p): the weighted mean in a leaf
-    is the Newton step. All trees of a round see the same probabilities.
+    is the Newton step. All trees of a round see the same probabilities and are fitted at the same time.
     """
     scores = [f"__s_{k}" for k in range(classes)]
     rows = stage(prepared.select("__features", "__label", "__weight", *[F.lit(0.0).alias(s) for s in scores]))
@@ -84,15 +88,20 @@ def fit_softmax(
     for done in range(1, rounds + 1):
         shares = softmax(scores)
         curvature = [F.greatest(p * (1 - p), F.lit(1e-12)) for p in shares]
-        stepped = rows
-        for k, name in enumerate(scores):
+
+        def grow(k: int, rows=rows, shares=shares, curvature=curvature, done=done):
             step = ((F.col("__label") == k).cast("double") - shares[k]) / curvature[k]
             bounded = F.greatest(F.least(step, F.lit(FARTHEST_STEP)), F.lit(-FARTHEST_STEP))
             target = rows.select("__features", bounded.alias("__step"), (F.col("__weight") * curvature[k]).alias("__mass"))
-            tree = DecisionTreeRegressor(
+            return DecisionTreeRegressor(
                 featuresCol="__features", labelCol="__step", weightCol="__mass", predictionCol=f"__p_{k}", maxDepth=depth,
                 seed=seed + done * classes + k,
             ).fit(target)
+
+        with ThreadPool(min(classes, FITS_AT_ONCE)) as pool:
+            grown = pool.map(inheritable_thread_target(prepared.sparkSession)(grow), range(classes))
+        stepped = rows
+        for k, tree in enumerate(grown):
             trees[k].append(tree)
             stepped = tree.transform(stepped)
         rows = stepped.select(

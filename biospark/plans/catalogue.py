@@ -703,7 +703,13 @@ def rf_checks(spark, sf_dir):
 
 @query
 def gbt_predictions(spark, sf_dir):
-    return tidy(_fit_and_predict(spark, sf_dir, model_type="xgboost"))
+    return tidy(_fit_and_predict(spark, sf_dir, model_type="gbt"))
+
+
+@query
+def softmax_predictions(spark, sf_dir):
+    """Ten rounds of boosting with one softmax over all classes."""
+    return tidy(_fit_and_predict(spark, sf_dir, model_type="xgboost", n_estimators=10))
 
 
 @query

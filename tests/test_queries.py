@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables no
 
 QUERIES = {k: v for k, v in entry.queries().items() if k in entry.catalogue.QUERIES}
 ORACLE = {k: v for k, v in entry.oracle_sql().items() if k in QUERIES}
-MODELS = {"rf_predictions", "gbt_predictions", "importance_top20", "cross_validation"}
+MODELS = {"rf_predictions", "gbt_predictions", "softmax_predictions", "importance_top20", "cross_validation"}
 
 
 @pytest.fixture(scope="module")
