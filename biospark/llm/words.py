@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biospark.session import ship_package
+
 # White space between words: the six ASCII characters, in the notation that Java and DuckDB share.
 GAP_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -49,23 +48,6 @@ def word_chunks(data: bytes, size: int = CHUNK) -> Iterator[list[bytes]]:
         start = end
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application, for those that do not have it installed."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _SHIPPED.add(context.applicationId)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -23,15 +23,17 @@ from biospark.contracts import feature_columns
 from biospark.functions.scalars import nan_to_null
 from biospark.operators import metrics
 from biospark.operators.ensembles import SoftmaxModel, fit_softmax, fit_subsample_forest
+from biospark.operators.forests import GrownForest, fit_forest
 from biospark.operators.ordered import quantile_bucket, running_sums
 from biospark.operators.splits import grouped_folds, stratified_folds
 from biospark.session import stage
 
 # MLlib's limit; the depth of trees when none is given.
 DEEPEST_TREE = 30
-# Labelled rows that a model is trained on unless more are allowed: MLlib keeps the trees, which grow with them, on the
-# driver.
+# Labelled rows that a model is trained on unless more are allowed.
 MOST_TRAINING_ROWS = 10_000_000
+# Rows times trees up to which MLlib fits a forest on the driver; the trees of a larger one grow on the executors.
+MOST_DRIVER_TREE_ROWS = 1_000_000
 # Fixed value: depth of boosted trees when none is given.
 BOOSTED_DEPTH = 6
 SKETCH = 10000
@@ -184,7 +186,7 @@ class BaselineModel:
     feature_cols: list[str] = field(default_factory=list)
     classes: list[str] = field(default_factory=list)
     scaling: FeatureScaling | None = None
-    model: Model | SoftmaxModel | None = None
+    model: Model | SoftmaxModel | GrownForest | None = None
 
     def __post_init__(self):
         if self.model_type not in ("random_forest", "xgboost", "gbt"):
@@ -198,7 +200,7 @@ class BaselineModel:
         if self.impute not in ("train", "per_frame"):
             raise ValueError(f"Unknown impute: {self.impute}")
 
-    def _fitted(self, prepared: DataFrame) -> Model | SoftmaxModel:
+    def _fitted(self, prepared: DataFrame, rows: int, class_shares: list[float]) -> Model | SoftmaxModel | GrownForest:
         columns = {"featuresCol": "__features", "labelCol": "__label", "weightCol": "__weight"}
         depth = self.max_depth
         if depth is None:
@@ -206,6 +208,8 @@ class BaselineModel:
         size, seed, classes = self.n_estimators, self.random_state, len(self.classes)
         if self.class_weight == "balanced_subsample":
             return fit_subsample_forest(prepared, classes, size, depth, seed)
+        if self.model_type == "random_forest" and rows * size > MOST_DRIVER_TREE_ROWS:
+            return fit_forest(prepared, class_shares, size, depth, seed)
         if self.model_type == "random_forest":
             return RandomForestClassifier(numTrees=size, maxDepth=depth, seed=seed, **columns).fit(prepared)
         if self._softmax:
@@ -235,7 +239,7 @@ class BaselineModel:
             code.cast("double").alias("__label"),
             (weight if self.class_weight else F.lit(1.0)).alias("__weight"),
         )
-        self.model = self._fitted(prepared)
+        self.model = self._fitted(prepared, rows, [weights[c] if self.class_weight else 1.0 for c in self.classes])
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -269,8 +273,9 @@ class BaselineModel:
         spark = SparkSession.getActiveSession()
         settings = {f: getattr(self, f) for f in ("model_type", "n_estimators", "max_depth", "random_state", "class_weight", "impute", "learning_rate")}
         settings |= {"feature_cols": self.feature_cols, "classes": self.classes, "scaling": vars(self.scaling)}
+        settings["grown"] = isinstance(self.model, GrownForest)
         spark.createDataFrame([(json.dumps(settings),)], "value string").write.mode("overwrite").text(f"{path}/settings")
-        if isinstance(self.model, SoftmaxModel):
+        if isinstance(self.model, SoftmaxModel | GrownForest):
             self.model.save(f"{path}/trees")
         else:
             self.model.write().overwrite().save(f"{path}/trees")
@@ -279,8 +284,12 @@ class BaselineModel:
     def load(cls, spark: SparkSession, path: str) -> BaselineModel:
         settings = json.loads(spark.read.text(f"{path}/settings").first()["value"])
         scaling = FeatureScaling(**settings.pop("scaling"))
+        grown = settings.pop("grown", False)
         found = cls(**settings, scaling=scaling)
         classes = len(found.classes)
+        if grown:
+            found.model = GrownForest.load(spark, f"{path}/trees")
+            return found
         if found._softmax:
             found.model = SoftmaxModel.load(f"{path}/trees", classes)
             return found

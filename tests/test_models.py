@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from biospark.operators import ensembles, metrics, ml, ordered, splits
+from biospark.operators import ensembles, forests, metrics, ml, ordered, splits
 
 
 def windows(spark, counts, labels=("stress", "baseline"), seed=1):
@@ -360,3 +360,55 @@ def test_models_find_a_planted_rule(spark, model_type, weight):
     model = ml.BaselineModel(model_type, n_estimators=15, max_depth=5, class_weight=weight).fit(train, ["a", "b", "noise"])
     assert losses(model.predictions(held_out), model.classes)[1] > 0.9
     assert ml.evaluate_model(model.predictions(held_out))["roc_auc"].first()[0] > 0.95
+
+
+def grown(spark, monkeypatch, table, rows_per_task=50_000, **options):
+    """A forest whose trees grow on the executors, however small its table is."""
+    monkeypatch.setattr(ml, "MOST_DRIVER_TREE_ROWS", 0)
+    monkeypatch.setattr(forests, "ROWS_PER_TASK", rows_per_task)
+    return ml.BaselineModel(**({"n_estimators": 12} | options)).fit(table, ["a", "b", "noise"])
+
+
+@pytest.mark.parametrize("rows_per_task", [50_000, 60])
+def test_forest_on_the_executors(spark, monkeypatch, tmp_path, rows_per_task):
+    table = ringed(spark).cache()
+    train, held_out = table.filter("subject < 's7'"), table.filter("subject >= 's7'")
+    model = grown(spark, monkeypatch, train, rows_per_task)
+    assert isinstance(model.model, forests.GrownForest)
+    # With few rows per task the trees begin on the driver, else every tree is a single task's.
+    assert all((len(top["feature"]) > 1) == (rows_per_task == 60) for top in model.model.tops)
+    monkeypatch.setattr(forests, "SCORED_PER_TASK", 50)
+    predictions = model.predictions(held_out)
+    assert predictions.count() == held_out.count()
+    assert predictions.filter(F.abs(F.col("prob_baseline") + F.col("prob_physical") + F.col("prob_stress") - 1) > 1e-9).isEmpty()
+    loss, right = losses(predictions, model.classes)
+    monkeypatch.setattr(ml, "MOST_DRIVER_TREE_ROWS", 10**9)
+    plain = ml.BaselineModel(n_estimators=12).fit(train, ["a", "b", "noise"])
+    assert right > 0.85 and abs(right - losses(plain.predictions(held_out), plain.classes)[1]) < 0.06
+    weights = {r.feature: r.importance for r in model.feature_importance(spark).collect()}
+    assert min(weights["a"], weights["b"]) > weights["noise"] and sum(weights.values()) == pytest.approx(1)
+    model.save(str(tmp_path / "m"))
+    again = ml.BaselineModel.load(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, again.predictions(held_out).collect())) == sorted(map(tuple, predictions.collect()))
+
+
+def test_trees_on_the_executors_fit_their_samples_exactly(spark, monkeypatch):
+    """Without a limit of depth, values of one class each end in leaves of one class, also below upper nodes."""
+    classes = "abbabbbaaabaabbbabaa"
+    rows = [(f"w{i}", "s", classes[i % 20], float(i % 20), -float(i % 20), float(i % 20) ** 2) for i in range(400)]
+    table = spark.createDataFrame(rows, "window_id string, subject string, label string, a double, b double, noise double")
+    model = grown(spark, monkeypatch, table, 100, n_estimators=4)
+    for row in model.model.lower.collect():
+        shares = forests.unpacked(row)["shares"].reshape(-1, 2)
+        assert set(shares.ravel()) == {0.0, 1.0}
+    assert losses(model.predictions(table), model.classes)[1] == 1
+    shallow = grown(spark, monkeypatch, table, 100, n_estimators=4, max_depth=1)
+    assert all(len(forests.unpacked(row)["feature"]) <= 3 for row in shallow.model.lower.collect())
+    assert all(len(top["feature"]) <= 3 for top in shallow.model.tops)
+    assert losses(shallow.predictions(table), shallow.classes)[1] < 1
+
+
+def test_draws_of_rows_are_poisson(spark):
+    times = [forests.drawn_times(np.arange(200_000), 42, t).astype(float) for t in (0, 1)]
+    assert all(t.mean() == pytest.approx(1, abs=0.02) and t.var() == pytest.approx(1, abs=0.03) for t in times)
+    assert abs(np.corrcoef(*times)[0, 1]) < 0.01
