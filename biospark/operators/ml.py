@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from biospark.contracts import feature_columns
 from biospark.functions.scalars import nan_to_null
 from biospark.operators import metrics
-from biospark.operators.ensembles import SoftmaxModel, fit_softmax, fit_subsample_forest
+from biospark.operators.ensembles import FITS_AT_ONCE, SoftmaxModel, fit_softmax, fit_subsample_forest
 from biospark.operators.forests import GrownForest, fit_forest
 from biospark.operators.ordered import quantile_bucket, running_sums
 from biospark.operators.splits import grouped_folds, stratified_folds
@@ -215,7 +215,9 @@ class BaselineModel:
         if self._softmax:
             return fit_softmax(prepared, classes, size, depth, self.learning_rate, seed)
         boosted = GBTClassifier(maxIter=size, maxDepth=depth, seed=seed, **columns)
-        return (boosted if classes == 2 else OneVsRest(classifier=boosted, **columns)).fit(prepared)
+        # A fit is many short jobs one after another; those of different classes do not depend on each other.
+        apart = OneVsRest(classifier=boosted, parallelism=min(max(classes, 1), FITS_AT_ONCE), **columns)
+        return (boosted if classes == 2 else apart).fit(prepared)
 
     @property
     def _softmax(self) -> bool:

@@ -412,3 +412,15 @@ def test_draws_of_rows_are_poisson(spark):
     times = [forests.drawn_times(np.arange(200_000), 42, t).astype(float) for t in (0, 1)]
     assert all(t.mean() == pytest.approx(1, abs=0.02) and t.var() == pytest.approx(1, abs=0.03) for t in times)
     assert abs(np.corrcoef(*times)[0, 1]) < 0.01
+
+
+def test_classes_against_the_rest_are_fitted_at_the_same_time(spark, monkeypatch):
+    used = []
+    plain = ml.OneVsRest
+    monkeypatch.setattr(ml, "OneVsRest", lambda **options: used.append(options["parallelism"]) or plain(**options))
+    table = separable(spark, ["baseline", "physical", "stress"])
+    model = ml.BaselineModel("gbt", n_estimators=3, max_depth=2).fit(table, ["x", "noise"])
+    assert used == [3]
+    alone = ml.BaselineModel("gbt", n_estimators=3, max_depth=2)
+    monkeypatch.setattr(ml, "OneVsRest", lambda **options: plain(**(options | {"parallelism": 1})))
+    assert sorted(map(tuple, alone.fit(table, ["x", "noise"]).predictions(table).collect())) == sorted(map(tuple, model.predictions(table).collect()))
