@@ -99,20 +99,32 @@ class Encoder:
             edges = [0, *(4 * stops).tolist()]
             yield from map(ids.__getitem__, map(slice, edges, edges[1:]))
 
-    def _look_up(self, needed: set[str]) -> None:
-        """Bring words into the new generation: from the old one, put together from their parts, or from the tokenizer."""
+    def _look_up(self, needed: list[str]) -> list[bytes]:
+        """The identifiers of distinct words. Those that the new generation lacks are brought into it: from the old one, put
+        together from their parts, or from the tokenizer."""
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        missing = [w for w in needed if w not in new]
-        new.update({w: old[w] for w in missing if w in old})
-        missing = [w for w in missing if w not in old]
+        found = list(map(new.get, needed))
+        lacking = [i for i, ids in enumerate(found) if ids is None]
+        missing = []
+        for i in lacking:
+            word = needed[i]
+            if (ids := old.get(word)) is None:
+                missing.append(word)
+            else:
+                found[i] = new[word] = ids
         made = {w: PART.findall(w) for w in missing if not w.isalpha()}
         parts = [p for p in {w for w in missing if w not in made}.union(*made.values()) if p not in new]
         new.update({p: old[p] for p in parts if p in old})
         unknown = [p for p in parts if p not in old]
         new.update(zip(unknown, self._encode_parts(unknown)))
-        new.update({w: b"".join([new[p] for p in own]) for w, own in made.items()})
+        for word, own in made.items():
+            new[word] = b"".join([new[p] for p in own])
+        for i in lacking:
+            if found[i] is None:
+                found[i] = new[needed[i]]
+        return found
 
     def _plain_words(self, texts: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
         """Which texts are plain, and the words of those, in lower case."""
@@ -127,9 +139,9 @@ class Encoder:
         """``texts`` are few, so that their words fit in memory. Words are looked up once each; numbers do the rest."""
         plain, words = self._plain_words(pa.array(texts, pa.string()))
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self._look_up(set(distinct))
-        packed = list(map(self.new.__getitem__, distinct))
+        # By way of NumPy, which makes strings without an Arrow scalar for each.
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        packed = self._look_up(distinct)
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         starts = np.cumsum(sizes) - sizes
         at = coded.indices.to_numpy()
