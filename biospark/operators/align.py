@@ -29,6 +29,8 @@ from biospark.functions.scalars import duration_micros, micros, nan_to_null, num
 METHODS = ("linear", "forward", "backward")
 DUPLICATE_POLICIES = ("reject_subject", "error", "first", "unchecked")
 CHUNK_POSITIONS = 8192
+# Rows that one task sorts or groups after the grid has become dense.
+ROWS_PER_TASK = 262_144
 
 
 @dataclass(frozen=True)
@@ -100,13 +102,19 @@ def tumbling_mean(df: DataFrame, keys: list[str], timestamp: str, width: str) ->
     return grouped.agg(*means, *texts).withColumnRenamed("__start", timestamp)
 
 
-def dense_chunks(df: DataFrame, options: GridOptions, size: int, overlap: int = 0) -> DataFrame:
+def dense_chunks(
+    df: DataFrame, options: GridOptions, size: int, overlap: int = 0, copies: int | None = None
+) -> DataFrame:
     """Dense, filled rows by chunk: the columns of ``df`` plus ``__chunk`` and positions.
 
     A chunk holds the grid points of ``size`` steps of time and of ``overlap`` further steps, so
     rows in the overlap belong to both neighbours. ``__pos`` counts grid points from the start of the
     series; ``__own_first`` and ``__own_last`` bound the chunk without its overlap. Rows stay
     partitioned by (keys, ``__chunk``).
+
+    ``copies`` is for callers that sort or group the dense rows: how many rows they make of each. Spark sizes the
+    partitions of a shuffle by its bytes, here those of the sparse samples; with ``copies`` their number follows the grid
+    points instead, which a job of its own counts first, so that a task's rows do not grow with the table.
     """
     ts = options.timestamp
     if ts not in df.columns:
@@ -141,7 +149,8 @@ def dense_chunks(df: DataFrame, options: GridOptions, size: int, overlap: int =
         marks = _with_carried(marks, single, series, carried, text, span, options.step_us)
     chunks = F.sequence(_floor_div(F.col("__us") - reach, span), _floor_div(F.col("__us") + margin, span))
     samples = rows.withColumn("__chunk", F.explode(chunks)).withColumn("__sample", F.lit(True))
-    chunked = samples.unionByName(marks, allowMissingColumns=True).repartition(*series, "__chunk")
+    partitions = [] if copies is None else [_partitions(rows, series, options.step_us, copies)]
+    chunked = samples.unionByName(marks, allowMissingColumns=True).repartition(*partitions, *series, "__chunk")
     return _densify(chunked, series, columns, ts, numeric, text, options, span, overlap, halo)
 
 
@@ -173,6 +182,18 @@ def _bounds(rows: DataFrame, series: list[str], options: GridOptions) -> DataFra
     return bounds.select(*series, "__anchor", points.alias("__n"))
 
 
+def _partitions(rows: DataFrame, series: list[str], step: int, copies: int) -> int:
+    """Partitions that keep a task at about ROWS_PER_TASK rows, if each grid point becomes ``copies`` rows."""
+    spans = rows.groupBy(*series).agg((F.max("__us") - F.min("__us")).alias("__span"))
+    points = spans.agg(F.sum(_floor_div(F.col("__span"), step) + 1)).first()[0] or 0
+    return max(rows.sparkSession.sparkContext.defaultParallelism, tasks_for(points * copies))
+
+
+def tasks_for(rows: int) -> int:
+    """Tasks of about ROWS_PER_TASK rows."""
+    return -(-rows // ROWS_PER_TASK)
+
+
 def _markers(bounds: DataFrame, series: list[str], span: int, margin: int, step: int) -> DataFrame:
     """One row per chunk of each series, sorting before every sample that the chunk can see."""
     end = F.col("__anchor") + (F.col("__n") - 1) * step

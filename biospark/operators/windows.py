@@ -51,6 +51,11 @@ class WindowOptions:
     def hop(self) -> int:
         return int(self.hop_size_sec * self.sampling_rate)
 
+    @property
+    def copies(self) -> int:
+        """Windows that a row lies in."""
+        return -(-self.size // self.hop)
+
     @property
     def chunk_size(self) -> int:
         """Positions per chunk: whole hops, at least one window."""
@@ -67,12 +72,16 @@ def align_and_extract(
     df: DataFrame, grid: align.GridOptions = align.GridOptions(), options: WindowOptions = WindowOptions()
 ) -> DataFrame:
     """The aligner followed by the window features, in one shuffle of the samples."""
-    dense = align.dense_chunks(df, grid, options.chunk_size, overlap=options.size - 1)
+    # A row is sorted once for its neighbours, then once for each window that it lies in.
+    dense = align.dense_chunks(df, grid, options.chunk_size, overlap=options.size - 1, copies=options.copies)
     return window_features(_explode_windows(dense, options), df, options)
 
 
 def window_rows(df: DataFrame, options: WindowOptions) -> DataFrame:
-    """Rows of all windows, full or not: the input columns plus ``__chunk``, ``__pos``, ``__k``."""
+    """Rows of all windows, full or not: the input columns plus ``__chunk``, ``__pos``, ``__k``.
+
+    The rows of ``df`` are counted first, so store a table that is dear to compute.
+    """
     ts = options.timestamp
     if ts not in df.columns:
         raise ValueError(f"DataFrame must have '{ts}' column")
@@ -81,12 +90,18 @@ def window_rows(df: DataFrame, options: WindowOptions) -> DataFrame:
         df = df.filter(F.col(key).isNotNull())
     order = [c for c in (ts, options.tie_breaker) if c]
     bucket = time_bucket(F.col(ts), duration_micros(options.bucket))
-    numbered = row_positions(df.filter(F.col(ts).isNotNull()), keys, bucket, order, "__pos")
-    return _explode_windows(scatter(numbered, keys, options), options)
+    present = df.filter(F.col(ts).isNotNull())
+    numbered = row_positions(present, keys, bucket, order, "__pos")
+    return _explode_windows(scatter(numbered, keys, options, present.count()), options)
+
 
+def scatter(numbered: DataFrame, keys: list[str], options: WindowOptions, rows: int) -> DataFrame:
+    """Send each of the ``rows`` rows to the chunks whose windows contain it.
 
-def scatter(numbered: DataFrame, keys: list[str], options: WindowOptions) -> DataFrame:
-    """Send each row to the chunks whose windows contain it."""
+    Spark sizes the partitions by the rows' bytes, which suits few rows; many would be copied per window in as few tasks.
+    """
+    tasks = align.tasks_for(rows * options.copies)
+    partitions = [tasks] if tasks > numbered.sparkSession.sparkContext.defaultParallelism else []
     first, last = _window_range(options)
     starts = options.chunk_size // options.hop
     chunks = F.sequence(F.floor(first / starts), F.floor(last / starts))
@@ -94,7 +109,7 @@ def scatter(numbered: DataFrame, keys: list[str], options: WindowOptions) -> Dat
     return (
         numbered.filter(first <= last)
         .withColumn("__chunk", F.explode(chunks))
-        .repartition(*keys, "__chunk")
+        .repartition(*partitions, *keys, "__chunk")
         .withColumns({"__own_first": own_first, "__own_last": own_first + (options.chunk_size - 1)})
     )
 

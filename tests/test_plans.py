@@ -92,6 +92,46 @@ def test_no_group_exceeds_a_chunk(stored):
     assert dense.groupBy("subject", "__chunk").count().agg(F.max("count")).first()[0] <= 559
 
 
+def test_dense_rows_of_a_task_do_not_grow_with_the_table(stored, monkeypatch):
+    """Partitions follow the grid points and the windows over them, not the bytes of the sparse samples."""
+    picked = stored.select("subject", "timestamp", "hr")
+    options = WindowOptions(60, 30, min_valid_ratio=0, ratio_columns=("hr",), chunk=500)
+
+    def partitions(table) -> int:
+        return align_and_extract(table, GRID, options).select(F.spark_partition_id()).distinct().count()
+
+    def rows() -> list:
+        out = align_and_extract(picked, GRID, options).select("window_id", "window_length", F.round("hrv_hr_mean", 9))
+        return sorted(out.collect())
+
+    in_few = rows()
+    monkeypatch.setattr(align, "ROWS_PER_TASK", 20_000)
+    # The dominant subject has 90,000 grid points, 40 others have a sample every 40 s over 10,000 s.
+    assert 45 <= partitions(picked) <= 49
+    assert partitions(picked.filter(F.col("subject") != "f00")) <= 40
+    assert rows() == in_few and len(in_few) > 15_000
+
+
+def test_window_rows_of_a_task_do_not_grow_with_the_table(stored, monkeypatch):
+    picked = stored.select("subject", "timestamp", "hr")
+    options = WindowOptions(60, 15, ratio_columns=("hr",), chunk=500, bucket="10 minutes")
+
+    def rows() -> list:
+        return sorted(extract_features_from_windows(picked, options).select("window_id", "label", F.round("hrv_hr_mean", 9)).collect())
+
+    in_few = rows()
+    monkeypatch.setattr(align, "ROWS_PER_TASK", 20_000)
+    # 100,000 rows in four windows each.
+    parts = extract_features_from_windows(picked, options).select(F.spark_partition_id()).distinct().count()
+    assert 17 <= parts <= 20
+    assert rows() == in_few and len(in_few) > 6_000
+
+
+def test_nothing_to_align_makes_no_windows(stored):
+    none = stored.select("subject", "timestamp", "hr").filter(F.col("timestamp").isNull())
+    assert align_and_extract(none, GRID, WindowOptions(60, 30, ratio_columns=("hr",), chunk=500)).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables not present")
 def test_functions_travel_with_the_plan():
     """Workers must not need the package: run from a folder that does not hold it."""
