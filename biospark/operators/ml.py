@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biospark.contracts import feature_columns
@@ -24,7 +24,7 @@ from biospark.functions.scalars import nan_to_null
 from biospark.operators import metrics
 from biospark.operators.ensembles import FITS_AT_ONCE, SoftmaxModel, fit_softmax, fit_subsample_forest
 from biospark.operators.forests import GrownForest, fit_forest
-from biospark.operators.ordered import quantile_bucket, running_sums
+from biospark.operators.ranks import around_the_middle, as_doubles, medians_between, summaries
 from biospark.operators.splits import grouped_folds, stratified_folds
 from biospark.session import stage
 
@@ -36,61 +36,15 @@ MOST_TRAINING_ROWS = 10_000_000
 MOST_DRIVER_TREE_ROWS = 1_000_000
 # Fixed value: depth of boosted trees when none is given.
 BOOSTED_DEPTH = 6
-SKETCH = 10000
 
 
 def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact median of each column as (feature, median), without sorting whole columns.
 
-    A quantile sketch brackets the middle; its error bound guarantees that the median lies in the bracket, which is
-    checked. Only distinct values inside the bracket are counted, stored, and ranked in ranges of values.
+    One pass brackets the middle of each column; a second counts what lies below the bracket and the distinct values in it.
     """
-    around = F.array(F.lit(0.5 - 2 / SKETCH), F.lit(0.5 + 2 / SKETCH))
-    doubles = [F.col(c).cast("double").alias(c) for c in columns]
-    values = nan_to_null(df.select(*doubles))
-    sketch = values.agg(
-        F.struct(*[F.percentile_approx(c, around, F.lit(SKETCH)).alias(c) for c in columns]).alias("b")
-    )
-    bracketed = values.withColumn("__b", sketch.scalar())
-
-    def low(c: str) -> Column:
-        return F.col("__b")[c][0]
-
-    def high(c: str) -> Column:
-        return F.col("__b")[c][1]
-
-    sizes = bracketed.agg(
-        *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[F.count(F.when(F.col(c) < low(c), 1)).alias(f"below_{c}") for c in columns],
-        *[F.count(F.when(F.col(c) <= high(c), 1)).alias(f"upto_{c}") for c in columns],
-    )
-    counts = [
-        F.struct(F.lit(c).alias("feature"), *[F.col(f"{k}_{c}").alias(k) for k in ("n", "below", "upto")]) for c in columns
-    ]
-    sizes = sizes.select(F.inline(F.array(*counts)))
-    middle = (
-        bracketed.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(c).alias("feature"), F.when(F.col(c).between(low(c), high(c)), F.col(c)).alias("value"))
-                        for c in columns
-                    ]
-                )
-            )
-        )
-        .filter(F.col("value").isNotNull())
-        .groupBy("feature", "value")
-        .agg(F.count("*").alias("copies"))
-    )
-    ranged = quantile_bucket(stage(middle), "value")
-    ranked = running_sums(ranged, ["feature"], "__bucket", ["value"], {"__upto": F.col("copies")}).join(sizes, "feature")
-    last_rank = F.col("below") + F.col("__upto") - 1
-    lower, upper = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
-    missed = F.max((F.col("below") > lower) | (F.col("upto") <= upper))
-    found = (F.min(F.when(last_rank >= lower, F.col("value"))) + F.min(F.when(last_rank >= upper, F.col("value")))) / 2
-    outside = F.raise_error(F.lit("the sketch's bracket does not hold the median")).cast("double")
-    return ranked.groupBy("feature").agg(F.when(missed, outside).otherwise(found).alias("median"))
+    doubles = as_doubles(df, columns)
+    return medians_between(doubles, summaries(doubles, around_the_middle), columns)
 
 
 def impute_medians(df: DataFrame, columns: list[str], medians: DataFrame | None = None) -> DataFrame:
@@ -134,21 +88,18 @@ class FeatureScaling:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str]) -> FeatureScaling:
-        medians = {r["feature"]: r["median"] for r in column_medians(df, columns).collect()}
+        doubles = as_doubles(df, columns)
+        found = {columns[r["feature"]]: r for r in summaries(doubles, around_the_middle)}
+        medians = {r["feature"]: r["median"] for r in medians_between(doubles, list(found.values()), columns).collect()}
         used = [c for c in columns if c in medians]
-        doubles = nan_to_null(df.select(*[F.col(c).cast("double").alias(c) for c in used]))
-        row = doubles.agg(
-            F.count("*").alias("rows"),
-            *[f(c).alias(f"{n}_{c}") for c in used for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))],
-        ).first()
         means, deviations = {}, {}
         for c in used:
             # Moments of the column with its gaps filled, from those of the known part.
-            known, mean, variance, fill = row[f"n_{c}"], row[f"m_{c}"], row[f"v_{c}"], medians[c]
-            gaps = row["rows"] - known
-            means[c] = (known * mean + gaps * fill) / row["rows"]
-            spread = known * (variance + (mean - means[c]) ** 2) + gaps * (fill - means[c]) ** 2
-            deviations[c] = (spread / row["rows"]) ** 0.5 or 1.0
+            rows, known, mean, fill = found[c]["rows"], found[c]["n"], found[c]["mean"], medians[c]
+            gaps = rows - known
+            means[c] = (known * mean + gaps * fill) / rows
+            spread = found[c]["spread"] + known * (mean - means[c]) ** 2 + gaps * (fill - means[c]) ** 2
+            deviations[c] = (spread / rows) ** 0.5 or 1.0
         return cls(used, medians, means, deviations)
 
     def transform(self, df: DataFrame, own_medians: bool = False) -> DataFrame:

@@ -5,10 +5,11 @@ import random
 import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from biospark.operators import ensembles, forests, metrics, ml, ordered, splits
+from biospark.operators import ensembles, forests, metrics, ml, ordered, ranks, splits
 
 
 def windows(spark, counts, labels=("stress", "baseline"), seed=1):
@@ -133,6 +134,20 @@ def test_medians(spark, n):
     assert got == {"a": statistics.median(values), "b": statistics.median([-v for v in values[::2]])}
 
 
+def test_medians_of_chunks_that_hand_on_a_part_of_their_values(spark):
+    n = 5 * ranks.POINTS + 1
+    rng = np.random.default_rng(1)
+    values = pd.DataFrame({"a": rng.normal(size=n), "b": np.floor(rng.exponential(size=n) * 50), "c": np.full(n, 5.1)})
+    table = spark.createDataFrame(values).coalesce(1)
+    got = {r.feature: r["median"] for r in ml.column_medians(table, ["a", "b", "c"]).collect()}
+    assert got == values.median().to_dict()
+    fitted = ml.FeatureScaling.fit(table, ["a", "b", "c"])
+    assert fitted.means == pytest.approx(values.mean().to_dict()) and fitted.deviations["c"] == 1
+    assert fitted.deviations["a"] == pytest.approx(values["a"].std(ddof=0))
+    kept = ranks.kept_ranks(n)
+    assert kept[0] == 1 and kept[-1] == n and len(kept) <= ranks.POINTS + 1 and np.diff(kept).max() <= -(-n // ranks.POINTS)
+
+
 def test_imputing_and_scaling(spark):
     table = spark.createDataFrame([(1.0, 5.0), (None, 5.0), (3.0, 5.0), (float("nan"), 5.0)], "a double, b double")
     filled = ml.impute_medians(table, ["a"])
@@ -408,6 +423,46 @@ def test_trees_on_the_executors_fit_their_samples_exactly(spark, monkeypatch):
     assert losses(shallow.predictions(table), shallow.classes)[1] < 1
 
 
+@pytest.mark.parametrize("classes, field", [(2, 13), (4, 13), (9, 13), (4, 26), (30, 26)])
+def test_counts_packed_in_fields_split_as_histograms_do(classes, field):
+    rng = np.random.default_rng(classes)
+    sizes = np.array([3000, 40, 7, 2, 1, 300])
+    rows, weights = sizes.sum(), np.linspace(0.3, 4, classes)
+    bins, label, times = rng.integers(0, 32, (rows, 10)).astype(np.uint8), rng.integers(0, classes, rows), rng.integers(1, 3, rows)
+    # The first feature is the same for all rows, the second has few values.
+    bins[:, 0], bins[:, 1] = 5, bins[:, 1] % 2
+    drawn, node = forests.drawn_features(len(sizes), 10, 7), np.repeat(np.arange(len(sizes)), sizes)
+    total = np.array([np.bincount(label[node == k], times[node == k], classes) for k in range(len(sizes))])
+    got = forests.packed_splits(bins, label, times, sizes, drawn, total, weights, field)
+    expected = forests.best_splits(forests.histograms(bins, label, times, node, drawn, classes), weights)
+    split = expected[2] > 0
+    assert split[:4].all() and not split[4] and np.allclose(got[2], expected[2])
+    assert all((np.asarray(g)[split] == e[split]).all() for g, e in zip((got[0], got[1], got[3]), (expected[0], expected[1], expected[3])))
+
+
+def test_rows_and_trees_travel_small(spark, monkeypatch):
+    """Bins take five bits each on their way, leaves of one class no shares of their own, votes a record per block and tree."""
+    bins = np.random.default_rng(1).integers(0, 32, (50, 10)).astype(np.uint8)
+    packed = [row.tobytes() for row in forests.squeezed(bins)]
+    assert {len(row) for row in packed} == {8} and (forests.unsqueezed(pd.Series(packed), 10) == bins).all()
+    rows = [(f"w{i}", "s", "ab"[i % 2], float(i), -float(i), float(i)) for i in range(30)]
+    table = spark.createDataFrame(rows, "window_id string, subject string, label string, a double, b double, noise double")
+    model = grown(spark, monkeypatch, table, n_estimators=3)
+    trees = [forests.unpacked(row) for row in model.model.lower.collect()]
+    assert all(len(tree["feature"]) > 5 and tree["shares"].tolist() == [1, 0, 0, 1] for tree in trees)
+    scored = model.transform(table.repartition(3))
+    assert "sum(" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.count() == 30
+
+
+def test_leaves_of_several_classes_keep_their_shares(spark, monkeypatch):
+    rows = [(f"w{i}", "s", "aab"[i % 3], float(i % 2), 0.0, 0.0) for i in range(300)]
+    table = spark.createDataFrame(rows, "window_id string, subject string, label string, a double, b double, noise double")
+    model = grown(spark, monkeypatch, table, n_estimators=20, class_weight=None)
+    found = model.predictions(table).agg(F.avg("prob_a").alias("a"), F.avg("prob_b").alias("b")).first()
+    assert found.a == pytest.approx(2 / 3, abs=0.05) and found.a + found.b == pytest.approx(1)
+
+
 def test_draws_of_rows_are_poisson(spark):
     times = [forests.drawn_times(np.arange(200_000), 42, t).astype(float) for t in (0, 1)]
     assert all(t.mean() == pytest.approx(1, abs=0.02) and t.var() == pytest.approx(1, abs=0.03) for t in times)
