@@ -19,8 +19,8 @@ from biospark.session import ship_package
 # Rows that are sorted at a time, and the values that are kept of each column of them.
 CHUNK = 65_536
 POINTS = 10_240
-SUMMARY = "feature int, rows long, n long, mean double, spread double, points binary"
-MERGED = "feature int, rows long, n long, mean double, spread double, picked array<double>"
+SUMMARY = "feature int, n long, points binary"
+MERGED = "feature int, n long, picked array<double>"
 COUNTED = "feature int, below long, value binary, copies binary"
 
 
@@ -54,8 +54,8 @@ def known_of(column: np.ndarray) -> np.ndarray:
 
 
 def summaries(rows: DataFrame, wanted: Callable[[int, int], np.ndarray]) -> list:
-    """Per column with any value: its place, all rows, known values, their mean and summed squared distances from it, and the
-    values at the ranks, from 1, that ``wanted`` gives for the number of values and the most that ranks may be too low by."""
+    """Per column with any value: its place, the number of its values, and the values at the ranks, from 1, that ``wanted`` gives
+    for this number and the most that ranks may be too low by."""
     ship_package(rows.sparkSession)
 
     def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,30 +63,21 @@ def summaries(rows: DataFrame, wanted: Callable[[int, int], np.ndarray]) -> list
             found = []
             for i, column in enumerate(np.ascontiguousarray(block.T)):
                 known = np.sort(known_of(column))
-                # Measured from one of them: the mean of equal values is that value.
-                mean = float(known[0] + (known - known[0]).mean()) if len(known) else 0.0
-                spread = float(((known - mean) ** 2).sum())
-                found.append((i, len(column), len(known), mean, spread, known[kept_ranks(len(known)) - 1].tobytes()))
-            yield pd.DataFrame(found, columns=["feature", "rows", "n", "mean", "spread", "points"])
+                found.append((i, len(known), known[kept_ranks(len(known)) - 1].tobytes()))
+            yield pd.DataFrame(found, columns=["feature", "n", "points"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        # In one order, so that sums repeat.
-        group = group.sort_values(["n", "mean", "spread"])
         counts = group["n"].to_numpy()
         n = int(counts.sum())
         if not n:
-            return pd.DataFrame(columns=["feature", "rows", "n", "mean", "spread", "picked"])
-        first = group["mean"].iloc[-1]
-        mean = float(first + ((group["mean"] - first) * counts).sum() / n)
-        spread = float((group["spread"] + counts * (group["mean"] - mean) ** 2).sum())
+            return pd.DataFrame(columns=["feature", "n", "picked"])
         gaps = [np.diff(kept_ranks(k), prepend=0) for k in counts]
         points, gap = np.frombuffer(b"".join(group["points"])), np.concatenate(gaps)
         order = np.argsort(points, kind="stable")
         slack = sum(int(g.max()) - 1 for g in gaps if len(g))
         ranks = np.clip(wanted(n, slack), 1, n)
         picked = points[order][np.searchsorted(gap[order].cumsum(), ranks)]
-        return pd.DataFrame([(int(group["feature"].iloc[0]), int(group["rows"].sum()), n, mean, spread, picked.tolist())],
-                            columns=["feature", "rows", "n", "mean", "spread", "picked"])
+        return pd.DataFrame({"feature": [int(group["feature"].iloc[0])], "n": [n], "picked": [picked.tolist()]})
 
     return rows.mapInPandas(summarize, SUMMARY).groupBy("feature").applyInPandas(merge, MERGED).collect()
 
